@@ -1,7 +1,9 @@
-"""Byte access, header decoding and text forms of packets, as column expressions.
+"""Header decoding as SQL text, and text forms of packets as column expressions.
 
-Headers are read at computed offsets of the binary column ``frame``. Numbers are
-rendered as decimal text, because a layer's fields form one ``map<string,string>``.
+Headers are decoded from ``_b``, the first bytes of a frame as an array of numbers,
+at offsets that are columns themselves; longer pieces are cut from the binary column
+``frame``. A header needs dozens of expressions, so they are written as SQL text and
+parsed once per layer. Field values are text: a layer is one ``map<string,string>``.
 """
 
 from __future__ import annotations
@@ -9,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Link types, ether types, IP protocol numbers, ICMP error types.
+# Link types, ether types, IP protocol numbers, ICMP message types.
 LINK_ETHERNET = 1
 LINK_RAW_IP = (12, 14, 101, 228, 229)
 ETHER_IPV4 = 0x0800
@@ -23,191 +25,187 @@ ICMP_ERRORS = (3, 4, 5, 11, 12)
 ICMP_ECHOES = (0, 8)
 TCP_FLAGS = "FSRPAUEC"
 
-FIELDS = "map<string,string>"
-LAYER = "struct<name:string,fields:map<string,string>>"
+# Link, network, ICMP and quoted headers together are at most 166 bytes long.
+HEADER_BYTES = 192
 
 
-def part(frame: Column, offset, length) -> Column:
-    """``length`` bytes from the 0-based ``offset``."""
-    return F.substr(frame, F.lit(offset) + 1, F.lit(length))
+def header_bytes(frame: Column) -> Column:
+    """The leading bytes of a frame as ``array<int>``."""
+    text = F.decode(F.substring(frame, 1, HEADER_BYTES), "ISO-8859-1")
+    return F.transform(F.split(text, ""), lambda c: F.ascii(c))
 
 
-def hex_of(frame: Column, offset, length) -> Column:
-    return F.lower(F.hex(part(frame, offset, length)))
+# --- pieces of SQL: a number or text at byte ``i`` behind the offset ``at`` ------------------
 
 
-def uint(frame: Column, offset, length: int) -> Column:
-    """Big-endian unsigned number of up to 4 bytes."""
-    return F.conv(F.hex(part(frame, offset, length)), 16, 10).cast("bigint")
+def u8(at, i: int = 0) -> str:
+    return f"get(_b, cast({at} + {i} as int))"
 
 
-def uint_text(frame: Column, offset, length: int) -> Column:
-    return F.conv(F.hex(part(frame, offset, length)), 16, 10)
+def u16(at, i: int = 0) -> str:
+    return f"({u8(at, i)} * 256 + {u8(at, i + 1)})"
 
 
-def mac(frame: Column, offset) -> Column:
-    return F.regexp_replace(hex_of(frame, offset, 6), "(..)(?=.)", "$1:")
+def u32(at, i: int = 0) -> str:
+    return f"(cast({u16(at, i)} as bigint) * 65536 + {u16(at, i + 2)})"
 
 
-def ipv4(frame: Column, offset) -> Column:
-    return F.concat_ws(".", *[uint_text(frame, F.lit(offset) + i, 1) for i in range(4)])
+def high_bits(number: str, skip: int) -> str:
+    return f"shiftright({number}, {skip})"
 
 
-def ipv6(frame: Column, offset) -> Column:
+def low_bits(number: str, keep: int) -> str:
+    return f"({number} & {(1 << keep) - 1})"
+
+
+def piece(at, i: int, length) -> str:
+    return f"lower(hex(substring(frame, cast({at} + {i + 1} as int), cast({length} as int))))"
+
+
+def mac(at, i: int) -> str:
+    return f"regexp_replace({piece(at, i, 6)}, '(..)(?=.)', '$1:')"
+
+
+def ipv4(at, i: int) -> str:
+    return f"concat_ws('.', {', '.join(u8(at, i + n) for n in range(4))})"
+
+
+def ipv6(at, i: int) -> str:
     """Eight groups without leading zeros; the longest run of zero groups becomes ``::``."""
-    groups = F.concat_ws(
-        ":",
-        *[
-            F.lower(F.conv(F.hex(part(frame, F.lit(offset) + 2 * i, 2)), 16, 16))
-            for i in range(8)
-        ],
-    )
-    text = groups
-    for run in range(2, 9):
-        pattern = rf"^(.*?)(?:^|:)0(?::0){{{run - 1}}}(?::|$)"
-        text = F.when(groups.rlike(pattern), F.regexp_replace(groups, pattern, "$1::")).otherwise(
-            text
-        )
-    return text
-
-
-def fields(**values: Column) -> Column:
-    """A layer's fields; names keep the order given."""
-    items = []
-    for name, value in values.items():
-        items += [F.lit(name), value.cast("string")]
-    return F.create_map(*items)
-
-
-def layer(name, layer_fields: Column) -> Column:
-    return F.struct(
-        (name if isinstance(name, Column) else F.lit(name)).alias("name"),
-        layer_fields.alias("fields"),
+    groups = ", ".join(f"lower(hex({u16(at, i + 2 * n)}))" for n in range(8))
+    patterns = [
+        f"^(.*?)(?:^|:)0(?::0){{{run - 1}}}(?::|$)" for run in range(8, 1, -1)
+    ]
+    cases = " ".join(
+        f"when g rlike r'{p}' then regexp_replace(g, r'{p}', '$1::')" for p in patterns
     )
+    return f"transform(array(concat_ws(':', {groups})), g -> case {cases} else g end)[0]"
 
 
-def ethernet_fields(f: Column) -> Column:
-    return fields(dst=mac(f, 0), src=mac(f, 6), type=uint_text(f, 12, 2))
+def layer(name: str, **values: str) -> str:
+    """A layer with its fields in the order given."""
+    items = ", ".join(f"'{field}', cast({sql} as string)" for field, sql in values.items())
+    return f"struct('{name}' as name, map({items}) as fields)"
 
 
-def dot3_fields(f: Column) -> Column:
-    return fields(dst=mac(f, 0), src=mac(f, 6), len=uint_text(f, 12, 2))
+# --- headers ------------------------------------------------------------------------------
 
 
-def vlan_fields(f: Column, at) -> Column:
-    tag = uint(f, at, 2)
-    return fields(
-        prio=F.shiftright(tag, 13),
-        id=F.shiftright(tag, 12).bitwiseAND(F.lit(1)),
-        vlan=tag.bitwiseAND(F.lit(0xFFF)),
-        type=uint_text(f, F.lit(at) + 2, 2),
-    )
+def ethernet() -> str:
+    return layer("Ethernet", dst=mac(0, 0), src=mac(0, 6), type=u16(0, 12))
+
+
+def dot3() -> str:
+    return layer("802.3", dst=mac(0, 0), src=mac(0, 6), len=u16(0, 12))
 
 
-def arp_fields(f: Column, at: Column) -> Column:
-    return fields(
-        hwtype=uint_text(f, at, 2),
-        ptype=uint_text(f, at + 2, 2),
-        hwlen=uint_text(f, at + 4, 1),
-        plen=uint_text(f, at + 5, 1),
-        op=uint_text(f, at + 6, 2),
-        hwsrc=mac(f, at + 8),
-        psrc=ipv4(f, at + 14),
-        hwdst=mac(f, at + 18),
-        pdst=ipv4(f, at + 24),
+def vlan(at) -> str:
+    tag = u16(at)
+    return layer(
+        "802.1Q",
+        prio=high_bits(tag, 13),
+        id=low_bits(high_bits(tag, 12), 1),
+        vlan=low_bits(tag, 12),
+        type=u16(at, 2),
     )
 
 
-def ipv4_fields(f: Column, at: Column) -> Column:
-    fragment = uint(f, at + 6, 2)
-    return fields(
-        version=F.shiftright(uint(f, at, 1), 4),
-        ihl=uint(f, at, 1).bitwiseAND(F.lit(15)),
-        tos=uint_text(f, at + 1, 1),
-        len=uint_text(f, at + 2, 2),
-        id=uint_text(f, at + 4, 2),
-        flags=F.shiftright(fragment, 13),
-        frag=fragment.bitwiseAND(F.lit(0x1FFF)),
-        ttl=uint_text(f, at + 8, 1),
-        proto=uint_text(f, at + 9, 1),
-        chksum=uint_text(f, at + 10, 2),
-        src=ipv4(f, at + 12),
-        dst=ipv4(f, at + 16),
+def arp(at) -> str:
+    return layer(
+        "ARP",
+        hwtype=u16(at),
+        ptype=u16(at, 2),
+        hwlen=u8(at, 4),
+        plen=u8(at, 5),
+        op=u16(at, 6),
+        hwsrc=mac(at, 8),
+        psrc=ipv4(at, 14),
+        hwdst=mac(at, 18),
+        pdst=ipv4(at, 24),
     )
 
 
-def ipv6_fields(f: Column, at: Column) -> Column:
-    first = uint(f, at, 4)
-    return fields(
-        version=F.shiftright(first, 28),
-        tc=F.shiftright(first, 20).bitwiseAND(F.lit(0xFF)),
-        fl=first.bitwiseAND(F.lit(0xFFFFF)),
-        plen=uint_text(f, at + 4, 2),
-        nh=uint_text(f, at + 6, 1),
-        hlim=uint_text(f, at + 7, 1),
-        src=ipv6(f, at + 8),
-        dst=ipv6(f, at + 24),
+def ip(at, name: str = "IP") -> str:
+    return layer(
+        name,
+        version=high_bits(u8(at), 4),
+        ihl=low_bits(u8(at), 4),
+        tos=u8(at, 1),
+        len=u16(at, 2),
+        id=u16(at, 4),
+        flags=high_bits(u8(at, 6), 5),
+        frag=low_bits(u16(at, 6), 13),
+        ttl=u8(at, 8),
+        proto=u8(at, 9),
+        chksum=u16(at, 10),
+        src=ipv4(at, 12),
+        dst=ipv4(at, 16),
     )
 
 
-def tcp_flags(bits: Column) -> Column:
-    return F.concat(
-        *[
-            F.when(F.shiftright(bits, i).bitwiseAND(F.lit(1)) == 1, F.lit(letter)).otherwise("")
-            for i, letter in enumerate(TCP_FLAGS)
-        ]
+def ip6(at) -> str:
+    return layer(
+        "IPv6",
+        version=high_bits(u8(at), 4),
+        tc=low_bits(high_bits(u16(at), 4), 8),
+        fl=low_bits(u32(at), 20),
+        plen=u16(at, 4),
+        nh=u8(at, 6),
+        hlim=u8(at, 7),
+        src=ipv6(at, 8),
+        dst=ipv6(at, 24),
     )
 
 
-def tcp_fields(f: Column, at: Column) -> Column:
-    offset = uint(f, at + 12, 1)
-    return fields(
-        sport=uint_text(f, at, 2),
-        dport=uint_text(f, at + 2, 2),
-        seq=uint_text(f, at + 4, 4),
-        ack=uint_text(f, at + 8, 4),
-        dataofs=F.shiftright(offset, 4),
-        reserved=F.shiftright(offset, 1).bitwiseAND(F.lit(7)),
-        flags=tcp_flags(uint(f, at + 13, 1)),
-        window=uint_text(f, at + 14, 2),
-        chksum=uint_text(f, at + 16, 2),
-        urgptr=uint_text(f, at + 18, 2),
+def tcp_flags(bits: str) -> str:
+    letters = ", ".join(
+        f"if({low_bits(high_bits(bits, i), 1)} = 1, '{letter}', '')"
+        for i, letter in enumerate(TCP_FLAGS)
+    )
+    return f"concat({letters})"
+
+
+def tcp(at, name: str = "TCP") -> str:
+    return layer(
+        name,
+        sport=u16(at),
+        dport=u16(at, 2),
+        seq=u32(at, 4),
+        ack=u32(at, 8),
+        dataofs=high_bits(u8(at, 12), 4),
+        reserved=low_bits(high_bits(u8(at, 12), 1), 3),
+        flags=tcp_flags(u8(at, 13)),
+        window=u16(at, 14),
+        chksum=u16(at, 16),
+        urgptr=u16(at, 18),
     )
 
 
-def tcp_start_fields(f: Column, at: Column) -> Column:
+def tcp_start(at, name: str) -> str:
     """The first 8 bytes of a TCP header, all that an ICMP error has to carry."""
-    return fields(
-        sport=uint_text(f, at, 2), dport=uint_text(f, at + 2, 2), seq=uint_text(f, at + 4, 4)
-    )
+    return layer(name, sport=u16(at), dport=u16(at, 2), seq=u32(at, 4))
 
 
-def udp_fields(f: Column, at: Column) -> Column:
-    return fields(
-        sport=uint_text(f, at, 2),
-        dport=uint_text(f, at + 2, 2),
-        len=uint_text(f, at + 4, 2),
-        chksum=uint_text(f, at + 6, 2),
-    )
+def udp(at, name: str = "UDP") -> str:
+    return layer(name, sport=u16(at), dport=u16(at, 2), len=u16(at, 4), chksum=u16(at, 6))
 
 
-def icmp_fields(f: Column, at: Column) -> Column:
-    common = fields(
-        type=uint_text(f, at, 1), code=uint_text(f, at + 1, 1), chksum=uint_text(f, at + 2, 2)
-    )
-    echo = fields(id=uint_text(f, at + 4, 2), seq=uint_text(f, at + 6, 2))
-    rest = fields(unused=uint_text(f, at + 4, 4))
-    return F.when(
-        uint(f, at, 1).isin(*ICMP_ECHOES), F.map_concat(common, echo)
-    ).otherwise(F.map_concat(common, rest))
+def icmp(at, name: str = "ICMP") -> str:
+    common = {"type": u8(at), "code": u8(at, 1), "chksum": u16(at, 2)}
+    echo = layer(name, **common, id=u16(at, 4), seq=u16(at, 6))
+    return f"if({u8(at)} in {ICMP_ECHOES}, {echo}, {layer(name, **common, unused=u32(at, 4))})"
+
+
+def rest(name: str, start: str, stop: str) -> str:
+    return layer(name, load=piece(start, 0, f"{stop} - {start}"))
 
 
-# --- functions over the column ``layers`` ---------------------------------------------
+# --- functions over the column ``layers`` -----------------------------------------------------
 
 
 def layer_chain(layers: Column) -> Column:
     """Layer names from the link layer inward."""
-    return F.transform(layers, lambda l: l["name"])
+    return F.transform(layers, lambda item: item["name"])
 
 
 def last_token(name: Column) -> Column:
@@ -216,12 +214,12 @@ def last_token(name: Column) -> Column:
 
 
 def has_layer(layers: Column, name: str) -> Column:
-    return F.exists(layers, lambda l: l["name"] == name)
+    return F.exists(layers, lambda item: item["name"] == name)
 
 
 def layer_field(layers: Column, name: str, field: str) -> Column:
     """Field of the first layer with that name, null if there is none."""
-    found = F.filter(layers, lambda l: l["name"] == name)
+    found = F.filter(layers, lambda item: item["name"] == name)
     return F.try_element_at(F.get(found, F.lit(0))["fields"], F.lit(field))
 
 
@@ -234,33 +232,23 @@ def time_text(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd HH:mm:ss")
 
 
-def summary(layers: Column) -> Column:
-    """One line: layer names, then source and destination of the innermost address."""
-    ports = F.coalesce(
-        F.concat(
-            F.lit(":"),
-            F.coalesce(layer_field(layers, "TCP", "sport"), layer_field(layers, "UDP", "sport")),
-        ),
-        F.lit(""),
-    )
-    to_ports = F.coalesce(
-        F.concat(
-            F.lit(":"),
-            F.coalesce(layer_field(layers, "TCP", "dport"), layer_field(layers, "UDP", "dport")),
-        ),
-        F.lit(""),
+def _end(layers: Column, port: str, address: str, arp_address: str) -> Column:
+    """Address, with the port if there is one, at one end of the outermost packet."""
+    number = F.coalesce(layer_field(layers, "TCP", port), layer_field(layers, "UDP", port))
+    with_port = F.coalesce(F.concat(F.lit(":"), number), F.lit(""))
+    host = F.coalesce(layer_field(layers, "IP", address), layer_field(layers, "IPv6", address))
+    return F.coalesce(
+        F.concat(host, with_port),
+        layer_field(layers, "ARP", arp_address),
+        layer_field(layers, "Ethernet", address),
     )
-    source = F.coalesce(
-        F.concat(layer_field(layers, "IP", "src"), ports),
-        F.concat(layer_field(layers, "IPv6", "src"), ports),
-        layer_field(layers, "ARP", "psrc"),
-        layer_field(layers, "Ethernet", "src"),
+
+
+def summary(layers: Column) -> Column:
+    """One line: the layer names, then source and destination."""
+    ends = F.concat_ws(
+        " > ", _end(layers, "sport", "src", "psrc"), _end(layers, "dport", "dst", "pdst")
     )
-    target = F.coalesce(
-        F.concat(layer_field(layers, "IP", "dst"), to_ports),
-        F.concat(layer_field(layers, "IPv6", "dst"), to_ports),
-        layer_field(layers, "ARP", "pdst"),
-        layer_field(layers, "Ethernet", "dst"),
+    return F.concat_ws(
+        " ", F.array_join(layer_chain(layers), " / "), F.when(ends != "", ends)
     )
-    ends = F.when(source.isNotNull(), F.concat(source, F.lit(" > "), target))
-    return F.concat_ws(" ", F.array_join(layer_chain(layers), " / "), ends)

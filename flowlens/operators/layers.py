@@ -2,170 +2,131 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.functions import packets as P
 
 
-def _known(n: Column) -> Column:
-    return F.coalesce(n, F.lit(False))
+def _step(df: DataFrame, **columns: str) -> DataFrame:
+    """Add columns, given as SQL, that later steps refer to by name.
+
+    A plain projection would not do: the optimizer pushes filters through it by
+    pasting the expressions in, which multiplies with every step. It does not do
+    that through a generator, and ``inline`` of a one-element array keeps one row.
+    """
+    values = ", ".join(f"{sql} as {name}" for name, sql in columns.items())
+    return df.select("*", F.expr(f"inline(array(struct({values})))"))
+
+
+def _is(condition: str) -> str:
+    return f"coalesce({condition}, false)"
 
 
 def dissect(frames: DataFrame) -> DataFrame:
     """Replace ``frame`` by ``layers``: an array of ``(idx, name, fields)``.
 
-    Everything is a projection over the binary column. Offsets are computed first,
-    in steps, so that each header is decoded at a plain column offset. Bytes that no
-    known header covers, or that are cut off, become the layer ``Raw``; bytes behind
-    the IP length become ``Padding``. Layers keep their position, so a header inside
-    an ICMP error does not hide the outer one.
+    Everything is an expression over the bytes of the frame. Offsets are computed
+    first, in steps, so that each header is decoded at a plain column offset. Bytes
+    that no known header covers, or that are cut off, become the layer ``Raw``; bytes
+    behind the IP length become ``Padding``. Layers keep their position, so a header
+    inside an ICMP error does not hide the outer one.
     """
-    f = F.col("frame")
-    size = F.col("_size")
-
-    def room(at, length) -> Column:
-        return F.col("_end") - at >= length
-
-    ether = F.col("linktype") == P.LINK_ETHERNET
-    d = frames.withColumn("_size", F.length(f))
-    d = d.withColumns(
-        {
-            "_ether": _known(ether & (size >= 14)),
-            "_type": F.when(ether & (size >= 14), P.uint(f, 12, 2)),
-        }
-    )
-    d = d.withColumns(
-        {
-            "_dot3": _known(F.col("_type") <= 1500),
-            "_vlan": _known((F.col("_type") == P.ETHER_VLAN) & (size >= 18)),
-            "_version": F.when(
-                F.col("linktype").isin(*P.LINK_RAW_IP) & (size >= 1),
-                F.shiftright(P.uint(f, 0, 1), 4),
-            ),
-        }
-    )
-    d = d.withColumns(
-        {
-            "_net": F.when(F.col("_vlan"), 18).when(F.col("_ether"), 14).otherwise(0),
-            "_inner": F.when(F.col("_vlan"), P.uint(f, 16, 2))
-            .when(F.col("_version") == 4, P.ETHER_IPV4)
-            .when(F.col("_version") == 6, P.ETHER_IPV6)
-            .otherwise(F.col("_type")),
-        }
-    )
-    net = F.col("_net")
-    d = d.withColumns(
-        {
-            "_ip": _known((F.col("_inner") == P.ETHER_IPV4) & (size - net >= 20)),
-            "_ip6": _known((F.col("_inner") == P.ETHER_IPV6) & (size - net >= 40)),
-            "_arp": _known((F.col("_inner") == P.ETHER_ARP) & (size - net >= 28)),
-        }
+    fragment = P.low_bits(P.u16("_net", 6), 13)
+    quoted_version = P.high_bits(P.u8("_body"), 4)
+
+    def header_end(at: str, words: str, least: int) -> str:
+        return f"{at} + greatest({words} * 4, {least})"
+
+    d = frames.withColumn("size", F.length("frame"))
+    d = d.select("*", F.inline(F.array(F.struct(P.header_bytes(F.col("frame")).alias("_b")))))
+    d = _step(
+        d,
+        _type=f"if(linktype = {P.LINK_ETHERNET} and size >= 14, {P.u16(0, 12)}, null)",
+        _version=f"if(linktype in {P.LINK_RAW_IP} and size >= 1, {P.high_bits(P.u8(0), 4)}, null)",
+    )
+    d = _step(
+        d,
+        _dot3=_is("_type <= 1500"),
+        _vlan=_is(f"_type = {P.ETHER_VLAN} and size >= 18"),
+    )
+    # Start of the network header and what it is.
+    d = _step(
+        d,
+        _net="case when _vlan then 18 when _type is not null then 14 else 0 end",
+        _inner=f"case when _vlan then {P.u16(0, 16)} when _version = 4 then {P.ETHER_IPV4} "
+        f"when _version = 6 then {P.ETHER_IPV6} else _type end",
+    )
+    d = _step(
+        d,
+        _ip=_is(f"_inner = {P.ETHER_IPV4} and size - _net >= 20"),
+        _ip6=_is(f"_inner = {P.ETHER_IPV6} and size - _net >= 40"),
+        _arp=_is(f"_inner = {P.ETHER_ARP} and size - _net >= 28"),
     )
     # End of the packet proper, start of the transport header and its protocol.
-    length4 = P.uint(f, net + 2, 2)
-    d = d.withColumns(
-        {
-            "_end": F.when(
-                F.col("_ip") & (length4 >= 20), F.least(size.cast("bigint"), net + length4)
-            )
-            .when(F.col("_ip6"), F.least(size.cast("bigint"), net + 40 + P.uint(f, net + 4, 2)))
-            .when(F.col("_arp"), (net + 28).cast("bigint"))
-            .otherwise(size.cast("bigint")),
-            "_l4": F.when(
-                F.col("_ip"),
-                net + F.greatest(P.uint(f, net, 1).bitwiseAND(F.lit(15)) * 4, F.lit(20)),
-            )
-            .when(F.col("_ip6"), net + F.lit(40))
-            .when(F.col("_arp"), net + F.lit(28))
-            .otherwise(net),
-            "_proto": F.when(
-                F.col("_ip") & (P.uint(f, net + 6, 2).bitwiseAND(F.lit(0x1FFF)) == 0),
-                P.uint(f, net + 9, 1),
-            ).when(F.col("_ip6"), P.uint(f, net + 6, 1)),
-        }
-    )
-    l4 = F.col("_l4")
-    d = d.withColumns(
-        {
-            "_tcp": _known((F.col("_proto") == P.PROTO_TCP) & room(l4, 20)),
-            "_udp": _known((F.col("_proto") == P.PROTO_UDP) & room(l4, 8)),
-            "_icmp": _known((F.col("_proto") == P.PROTO_ICMP) & F.col("_ip") & room(l4, 8)),
-        }
-    )
-    d = d.withColumns(
-        {
-            "_body": F.when(
-                F.col("_tcp"), l4 + F.greatest(F.shiftright(P.uint(f, l4 + 12, 1), 4) * 4, F.lit(20))
-            )
-            .when(F.col("_udp") | F.col("_icmp"), l4 + 8)
-            .otherwise(l4),
-            "_error": _known(F.col("_icmp") & P.uint(f, l4, 1).isin(*P.ICMP_ERRORS)),
-        }
+    d = _step(
+        d,
+        _end=f"case when _ip and {P.u16('_net', 2)} >= 20 "
+        f"then least(size, _net + {P.u16('_net', 2)}) "
+        f"when _ip6 then least(size, _net + 40 + {P.u16('_net', 4)}) "
+        "when _arp then _net + 28 else size end",
+        _l4=f"case when _ip then {header_end('_net', P.low_bits(P.u8('_net'), 4), 20)} "
+        "when _ip6 then _net + 40 when _arp then _net + 28 else _net end",
+        _proto=f"case when _ip and {fragment} = 0 then {P.u8('_net', 9)} "
+        f"when _ip6 then {P.u8('_net', 6)} end",
+    )
+    d = _step(
+        d,
+        _tcp=_is(f"_proto = {P.PROTO_TCP} and _end - _l4 >= 20"),
+        _udp=_is(f"_proto = {P.PROTO_UDP} and _end - _l4 >= 8"),
+        _icmp=_is(f"_proto = {P.PROTO_ICMP} and _ip and _end - _l4 >= 8"),
+    )
+    d = _step(
+        d,
+        _body=f"case when _tcp then {header_end('_l4', P.high_bits(P.u8('_l4', 12), 4), 20)} "
+        "when _udp or _icmp then _l4 + 8 else _l4 end",
+        _error=_is(f"_icmp and {P.u8('_l4')} in {P.ICMP_ERRORS}"),
     )
-    body = F.col("_body")
     # The packet an ICMP error quotes.
-    d = d.withColumn(
-        "_qip",
-        _known(F.col("_error") & room(body, 20) & (F.shiftright(P.uint(f, body, 1), 4) == 4)),
-    )
-    d = d.withColumns(
-        {
-            "_q4": F.when(
-                F.col("_qip"),
-                body + F.greatest(P.uint(f, body, 1).bitwiseAND(F.lit(15)) * 4, F.lit(20)),
-            ).otherwise(body),
-            "_qproto": F.when(F.col("_qip"), P.uint(f, body + 9, 1)),
-        }
-    )
-    q4 = F.col("_q4")
-    d = d.withColumns(
-        {
-            "_qtcp": _known((F.col("_qproto") == P.PROTO_TCP) & room(q4, 8)),
-            "_qudp": _known((F.col("_qproto") == P.PROTO_UDP) & room(q4, 8)),
-            "_qicmp": _known((F.col("_qproto") == P.PROTO_ICMP) & room(q4, 8)),
-        }
-    )
-    d = d.withColumn(
-        "_raw",
-        F.when(F.col("_qtcp") & room(q4, 20), q4 + 20)
-        .when(F.col("_qtcp") | F.col("_qudp") | F.col("_qicmp"), q4 + 8)
-        .otherwise(q4),
+    d = _step(d, _qip=_is(f"_error and _end - _body >= 20 and {quoted_version} = 4"))
+    d = _step(
+        d,
+        _q4=f"if(_qip, {header_end('_body', P.low_bits(P.u8('_body'), 4), 20)}, _body)",
+        _qproto=f"if(_qip, {P.u8('_body', 9)}, null)",
+    )
+    d = _step(
+        d,
+        _qtcp=_is(f"_qproto = {P.PROTO_TCP} and _end - _q4 >= 8"),
+        _qudp=_is(f"_qproto = {P.PROTO_UDP} and _end - _q4 >= 8"),
+        _qicmp=_is(f"_qproto = {P.PROTO_ICMP} and _end - _q4 >= 8"),
+    )
+    d = _step(
+        d,
+        _raw="case when _qtcp and _end - _q4 >= 20 then _q4 + 20 "
+        "when _qtcp or _qudp or _qicmp then _q4 + 8 else _q4 end",
     )
-    raw, end = F.col("_raw"), F.col("_end")
     slots = [
-        F.when(F.col("_dot3"), P.layer("802.3", P.dot3_fields(f))).when(
-            F.col("_ether"), P.layer("Ethernet", P.ethernet_fields(f))
-        ),
-        F.when(F.col("_vlan"), P.layer("802.1Q", P.vlan_fields(f, 14))),
-        F.when(F.col("_ip"), P.layer("IP", P.ipv4_fields(f, net)))
-        .when(F.col("_ip6"), P.layer("IPv6", P.ipv6_fields(f, net)))
-        .when(F.col("_arp"), P.layer("ARP", P.arp_fields(f, net))),
-        F.when(F.col("_tcp"), P.layer("TCP", P.tcp_fields(f, l4)))
-        .when(F.col("_udp"), P.layer("UDP", P.udp_fields(f, l4)))
-        .when(F.col("_icmp"), P.layer("ICMP", P.icmp_fields(f, l4))),
-        F.when(F.col("_qip"), P.layer("IP in ICMP", P.ipv4_fields(f, body))),
-        F.when(F.col("_qtcp") & room(q4, 20), P.layer("TCP in ICMP", P.tcp_fields(f, q4)))
-        .when(F.col("_qtcp"), P.layer("TCP in ICMP", P.tcp_start_fields(f, q4)))
-        .when(F.col("_qudp"), P.layer("UDP in ICMP", P.udp_fields(f, q4)))
-        .when(F.col("_qicmp"), P.layer("ICMP in ICMP", P.icmp_fields(f, q4))),
-        F.when(raw < end, P.layer("Raw", P.fields(load=P.hex_of(f, raw, end - raw)))),
-        F.when(
-            F.greatest(raw, end) < size,
-            P.layer(
-                "Padding", P.fields(load=P.hex_of(f, F.greatest(raw, end), size - F.greatest(raw, end)))
-            ),
-        ),
+        f"case when _dot3 then {P.dot3()} when _type is not null then {P.ethernet()} end",
+        f"case when _vlan then {P.vlan(14)} end",
+        f"case when _ip then {P.ip('_net')} when _ip6 then {P.ip6('_net')} "
+        f"when _arp then {P.arp('_net')} end",
+        f"case when _tcp then {P.tcp('_l4')} when _udp then {P.udp('_l4')} "
+        f"when _icmp then {P.icmp('_l4')} end",
+        f"case when _qip then {P.ip('_body', 'IP in ICMP')} end",
+        f"case when _qtcp and _end - _q4 >= 20 then {P.tcp('_q4', 'TCP in ICMP')} "
+        f"when _qtcp then {P.tcp_start('_q4', 'TCP in ICMP')} "
+        f"when _qudp then {P.udp('_q4', 'UDP in ICMP')} "
+        f"when _qicmp then {P.icmp('_q4', 'ICMP in ICMP')} end",
+        f"case when _raw < _end then {P.rest('Raw', '_raw', '_end')} end",
+        f"case when greatest(_raw, _end) < size "
+        f"then {P.rest('Padding', 'greatest(_raw, _end)', 'size')} end",
     ]
-    present = F.filter(F.array(*[s.cast(P.LAYER) for s in slots]), lambda s: s.isNotNull())
-    numbered = F.transform(
-        present,
-        lambda s, i: F.struct(
-            i.cast("int").alias("idx"), s["name"].alias("name"), s["fields"].alias("fields")
-        ),
+    d = _step(
+        d,
+        layers=f"transform(filter(array({', '.join(slots)}), s -> s is not null), "
+        "(s, i) -> struct(i as idx, s.name as name, s.fields as fields))",
     )
-    kept = [c for c in frames.columns if c != "frame"]
-    return d.select(*kept, F.col("_size").alias("size"), numbered.alias("layers"))
+    return d.select(*[c for c in frames.columns if c != "frame"], "size", "layers")
 
 
 def layer_rows(packets: DataFrame) -> DataFrame:

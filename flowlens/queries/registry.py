@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowlens.queries import points, tabular
+from flowlens.queries import packets, points, tabular
 
-_MODULES = (tabular, points)
+_MODULES = (tabular, points, packets)
 
 QUERIES = {name: fn for module in _MODULES for name, fn in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
