@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from flowlens.queries import learning, packets, points, tabular
 
-from flowlens.queries import packets, points, tabular
-
-_MODULES = (tabular, points, packets)
+_MODULES = (tabular, points, packets, learning)
 
 QUERIES = {name: fn for module in _MODULES for name, fn in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
 
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tabular.leaderboard_topn(spark, sf_dir)
+flagship = learning.flagship
