@@ -32,60 +32,89 @@ class Cut:
         )
 
 
-def _narrow(df: DataFrame, column: str, low, high, need: int):
-    """Range of ``column`` that holds its ``need``-th value, and the rest of ``need``."""
+def _bounds(df: DataFrame, column: str):
+    return df.agg(F.count(column), F.min(column), F.max(column)).first()
+
+
+def _histogram(df: DataFrame, column: str, low, high) -> list[tuple]:
+    """Rows, smallest and largest value per range of equal width, in ascending order."""
     width = (F.lit(high) - F.lit(low)).cast("double")
     offset = (F.col(column) - F.lit(low)).cast("double")
     bucket = F.least(F.floor(offset / width * RANGES), F.lit(RANGES - 1)).alias("bucket")
-    ranges = (
-        df.groupBy(bucket)
+    return [
+        tuple(row)[1:]
+        for row in df.groupBy(bucket)
         .agg(F.count(F.lit(1)).alias("n"), F.min(column).alias("lo"), F.max(column).alias("hi"))
         .orderBy("bucket")
         .collect()
-    )
-    for _, n, lo, hi in ranges:
+    ]
+
+
+def _locate(ranges: list[tuple], need: int):
+    """The range that holds the ``need``-th value, and the place within that range."""
+    for n, low, high in ranges:
         if need <= n:
-            return lo, hi, n, need
+            return low, high, need
         need -= n
     raise ValueError("fewer rows than asked for")
 
 
-def _nth(df: DataFrame, column: str, need: int):
-    """Exact ``need``-th smallest value and how many rows of that value are needed."""
-    n, low, high = df.agg(F.count(column), F.min(column), F.max(column)).first()
-    if n < need:
-        raise ValueError("fewer rows than asked for")
-    while low != high:
-        df = df.where(F.col(column).between(F.lit(low), F.lit(high)))
-        low, high, n, need = _narrow(df, column, low, high, need)
-    return low, need
+def _last_of(df: DataFrame, order: list[str], need: int):
+    """The ``need``-th row, by a bounded top-k."""
+    top = df.select(*order).orderBy(*order).limit(need)
+    return top.agg(F.max(F.struct(*order)).alias("last")).first()["last"]
+
+
+def _key_cut(ties: DataFrame, need: int, sorted_rows: int):
+    """The ``need``-th smallest key of rows that share one value."""
+    _, low, high = _bounds(ties, "k")
+    while low != high and need > sorted_rows:
+        low, high, need = _locate(_histogram(ties, "k", low, high), need)
+        ties = ties.where(F.col("k").between(F.lit(low), F.lit(high)))
+    return low if low == high else _last_of(ties, ["k"], need)["k"]
 
 
-def find_cut(
-    df: DataFrame, value: Column, key: str, count: int, sorted_rows: int = SORTED_ROWS
-) -> Cut | None:
-    """Cut-off of the ``count`` smallest rows by (value, key); keys must be unique.
+def _cut(pairs: DataFrame, ranges: list[tuple], need: int, sorted_rows: int) -> Cut:
+    """Zoom into ever narrower ranges until the rest is small or a single value."""
+    low, high, need = _locate(ranges, need)
+    while True:
+        inside = pairs.where(F.col("v").between(F.lit(low), F.lit(high)))
+        if need <= sorted_rows:
+            last = _last_of(inside, ["v", "k"], need)
+            return Cut(last["v"], last["k"])
+        if low == high:
+            return Cut(low, _key_cut(inside, need, sorted_rows))
+        low, high, need = _locate(_histogram(inside, "v", low, high), need)
 
-    Up to ``sorted_rows`` rows a bounded top-k finds it in one job. Rows without a
-    value are never taken.
+
+def find_cuts(
+    df: DataFrame, column: str, key: str, count: int, sorted_rows: int = SORTED_ROWS
+) -> tuple[Cut | None, Cut | None]:
+    """Cut-offs of the ``count`` smallest and of the ``count`` largest rows.
+
+    Equal values go by ascending key at both ends; keys are unique numbers. Rows
+    without a value are never taken. The largest are the smallest of the negated
+    column, so both cuts are read in ascending order. Counts up to ``sorted_rows``
+    are found by a bounded top-k right away.
     """
-    if count <= 0:
-        return None
-    pairs = df.select(value.cast("double").alias("v"), F.col(key).alias("k")).where(
+    value = F.col(column).cast("double")
+    pairs = df.select(value.alias("v"), F.col(key).alias("k")).where(
         "v is not null and not isnan(v)"
     )
-    if count <= sorted_rows:
-        last = (
-            pairs.orderBy("v", "k")
-            .limit(count)
-            .agg(F.max(F.struct("v", "k")).alias("last"))
-            .first()["last"]
-        )
-        return None if last is None else Cut(last["v"], last["k"])
-    last_value, need = _nth(pairs, "v", count)
-    ties = pairs.where(F.col("v") == F.lit(last_value))
-    last_key, _ = _nth(ties, "k", need)
-    return Cut(last_value, last_key)
+    negated = pairs.withColumn("v", -F.col("v"))
+    rows, low, high = _bounds(pairs, "v")
+    count = min(count, rows)
+    if count <= 0:
+        return None, None
+    if low == high or count <= sorted_rows:
+        up, down = [(rows, low, high)], [(rows, -high, -low)]
+    else:
+        up = _histogram(pairs, "v", low, high)
+        down = [(n, -hi, -lo) for n, lo, hi in reversed(up)]
+    return (
+        _cut(pairs, up, count, sorted_rows),
+        _cut(negated, down, count, sorted_rows),
+    )
 
 
 def trim_extremes(
@@ -103,11 +132,9 @@ def trim_extremes(
     """
     count = int(df.count() * per_mille / 1000 + 0.5)
     for c in columns:
+        smallest, largest = find_cuts(df, c, key, count, sorted_rows)
         value = F.col(c).cast("double")
-        cuts = [
-            (end, find_cut(df, end, key, count, sorted_rows)) for end in (value, -value)
-        ]
-        for end, cut in cuts:
-            if cut is not None:
-                df = df.where(~cut.takes(end, F.col(key)))
+        if smallest is not None:
+            lowest, highest = smallest.takes(value, F.col(key)), largest.takes(-value, F.col(key))
+            df = df.where(~(lowest | highest))
     return df

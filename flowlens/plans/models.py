@@ -156,16 +156,18 @@ def fit_fixed(
     params: dict,
     metric: str = "areaUnderROC",
     fold: int = 0,
+    train_score: bool = True,
 ) -> tuple[Model, list[tuple]]:
     """Fit one parameter set; the run log has the held-out and the training score."""
     begin = perf_counter()
     model = estimator(algorithm, **params).fit(train)
     seconds = perf_counter() - begin
     text = {k: str(v) for k, v in params.items()}
-    return model, [
-        (algorithm, text, fold, metric, score(model, test, metric), seconds),
-        (algorithm, text, fold, f"{metric} (train)", score(model, train, metric), seconds),
-    ]
+    rows = [(algorithm, text, fold, metric, score(model, test, metric), seconds)]
+    if train_score:
+        value = score(model, train, metric)
+        rows.append((algorithm, text, fold, f"{metric} (train)", value, seconds))
+    return model, rows
 
 
 def run_log(spark: SparkSession, rows: list[tuple]) -> DataFrame:
@@ -189,8 +191,8 @@ def repeated_holdout(
         train, test = (p.persist(StorageLevel.MEMORY_AND_DISK) for p in parts)
         try:
             for params in grid:
-                _, runs = fit_fixed(algorithm, train, test, params, metric, number)
-                rows += runs[:1]
+                _, runs = fit_fixed(algorithm, train, test, params, metric, number, False)
+                rows += runs
         finally:
             train.unpersist()
             test.unpersist()

@@ -48,7 +48,7 @@ def query(sql: str | None = None):
 )
 def scan_connections(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "connections-csv")
-    write_typed_csv(connections(spark, sf_dir).select(*connection_columns()), path)
+    write_typed_csv(connections(spark, sf_dir).select(*connection_columns()), path, null_text="")
     return (
         read_connections(spark, path)
         .groupBy("labels", "protocol_type")

@@ -13,7 +13,12 @@ from flowlens.operators.profile import numeric_columns, profile
 from flowlens.queries import r, table
 from flowlens.schema import FINE_LABELS
 from flowlens.session import scratch_path
-from flowlens.sources.tables import read_typed_csv, write_leaderboard, write_typed_csv
+from flowlens.sources.tables import (
+    NULL_TEXT,
+    read_typed_csv,
+    write_leaderboard,
+    write_typed_csv,
+)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -41,7 +46,7 @@ def scan_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = table(spark, sf_dir, "customer")
     path = scratch_path(spark, "customer-csv")
     write_typed_csv(customer, path)
-    return read_typed_csv(spark, path, customer.schema)
+    return read_typed_csv(spark, path, customer.schema, null_text=NULL_TEXT)
 
 
 @query(
@@ -107,7 +112,8 @@ EVENT_CLASSES = [("view", "normal"), ("click", "probe"), ("signup", "r2l"), ("er
     """
 )
 def label_join_category(spark: SparkSession, sf_dir: str) -> DataFrame:
-    classes = spark.createDataFrame(EVENT_CLASSES, "attack string, category string")
+    pairs = ", ".join(f"('{attack}', '{category}')" for attack, category in EVENT_CLASSES)
+    classes = spark.sql(f"SELECT * FROM VALUES {pairs} AS d(attack, category)")
     events = table(spark, sf_dir, "events").select("event_id", "event_type")
     return lookup.map_labels(events, "event_type", classes, "attack", "category")
 

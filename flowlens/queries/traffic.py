@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from flowlens.queries import table
 from flowlens.schema import CONNECTION_SCHEMA
+from flowlens.session import spread
 
 RECORDS_PER_FILE = 2000
 
@@ -77,7 +78,7 @@ def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     frame = F.unhex(F.concat(macs, body))
     return (
-        table(spark, sf_dir, "events")
+        spread(table(spark, sf_dir, "events"), "event_id")
         .select(
             F.lit("events").alias("file"),
             F.col("event_id").alias("idx"),
@@ -197,7 +198,7 @@ CONNECTION_SQL = """
 
 def connections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Connection records with the extra key ``conn_id``."""
-    items = table(spark, sf_dir, "lineitem")
+    items = spread(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", "l_partkey")
     return spark.sql(
         CONNECTION_SQL.replace('"count"', "`count`").replace("lineitem", "{lineitem}"),
         lineitem=items,

@@ -28,6 +28,19 @@ def local_session(app: str, cores: int | str = "*", **conf: str) -> SparkSession
     return builder.getOrCreate()
 
 
+def spread(scan: DataFrame, *keys: str) -> DataFrame:
+    """Give a scan with fewer splits than there are cores one split per core.
+
+    For work that is much heavier than reading: a single small file would keep it on
+    one core. A table with enough splits, that is any large one, is left alone. Only
+    for plain scans, whose number of splits is known without running anything.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if scan.rdd.getNumPartitions() >= cores:
+        return scan
+    return scan.repartition(cores, *keys)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The folder all executors share, as named by ``spark.checkpoint.dir``.
 

@@ -9,22 +9,26 @@ from pyspark.sql import types as T
 from flowlens.schema import ATTACK_TYPE_SCHEMA, CONNECTION_SCHEMA, FIELD_ROLE_SCHEMA
 
 CORRUPT = "corrupt_record"
+NULL_TEXT = "\\N"
 
 
 def read_typed_csv(
-    spark: SparkSession, path: str, schema: T.StructType, mode: str = "FAILFAST"
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType,
+    mode: str = "FAILFAST",
+    null_text: str = "",
 ) -> DataFrame:
     """Header-less CSV with a given schema.
 
     ``FAILFAST`` stops at a malformed row; ``PERMISSIVE`` keeps it, with its text in
-    the column ``corrupt_record``.
+    the column ``corrupt_record``. Cells equal to ``null_text`` are null.
     """
+    options = {"mode": mode, "nullValue": null_text}
     if mode.upper() == "PERMISSIVE":
         schema = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-        return spark.read.csv(
-            path, schema=schema, mode=mode, columnNameOfCorruptRecord=CORRUPT
-        )
-    return spark.read.csv(path, schema=schema, mode=mode)
+        options["columnNameOfCorruptRecord"] = CORRUPT
+    return spark.read.csv(path, schema=schema, **options)
 
 
 def read_connections(spark: SparkSession, path: str, mode: str = "FAILFAST") -> DataFrame:
@@ -62,9 +66,12 @@ def read_named(spark: SparkSession, path: str, names: list[str], label: str) ->
     return read_typed_csv(spark, path, schema)
 
 
-def write_typed_csv(df: DataFrame, path: str) -> None:
-    """CSV that ``read_typed_csv`` reads back unchanged, empty strings included."""
-    df.write.csv(path, emptyValue='""')
+def write_typed_csv(df: DataFrame, path: str, null_text: str = NULL_TEXT) -> None:
+    """CSV that ``read_typed_csv`` with the same ``null_text`` reads back unchanged.
+
+    A null text of its own keeps empty strings apart from missing ones.
+    """
+    df.write.csv(path, nullValue=null_text)
 
 
 def write_leaderboard(df: DataFrame, path: str, fmt: str = "parquet") -> None:
