@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import accumulate
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,59 +35,72 @@ def number_rows(
         df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()),
         "ranges",
     )
-    sizes = stored.groupBy("_part").count().orderBy("_part").collect()
-    shifts, before = {}, 0
-    for part, size in sizes:
-        shifts[part] = before
-        before += size
-    shift = F.create_map(*[F.lit(x) for pair in shifts.items() for x in pair])
+    sizes = dict(stored.groupBy("_part").count().collect())
+    shifts = list(accumulate((sizes.get(part, 0) for part in range(parts)), initial=0))
+    shift = F.element_at(F.lit(shifts).cast("array<bigint>"), F.col("_part") + 1)
     local = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
-    return stored.withColumn(
-        output, (shift[F.col("_part")] + local).cast("bigint")
-    ).drop("_part")
+    return stored.withColumn(output, (shift + local).cast("bigint")).drop("_part")
+
+
+def _cells(columns: list[str]):
+    """One row per nominal column: its name and its value as text."""
+    return F.inline(
+        F.array(
+            *[
+                F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("level"))
+                for c in columns
+            ]
+        )
+    )
 
 
 def frequency_levels(
-    df: DataFrame, column: str, task_rows: int = SINGLE_TASK_ROWS
+    df: DataFrame, columns: list[str], task_rows: int = SINGLE_TASK_ROWS
 ) -> DataFrame:
-    """Levels of a column with count and 0-based index, most frequent first.
+    """Levels of nominal columns: ``column, level, n, index``, most frequent first.
 
-    Equal counts are ordered by the level itself. A missing value is no level.
+    Indexes start at 0 in each column; equal counts are ordered by the level. A
+    missing value is no level. All columns are counted in one pass, whose result,
+    one row per level, is stored: it is read several times from here on.
     """
-    counts = (
-        df.where(F.col(column).isNotNull())
-        .groupBy(F.col(column).cast("string").alias("level"))
-        .agg(F.count(F.lit(1)).alias("n"))
+    counts = materialize(
+        df.select(_cells(columns))
+        .where("level is not null")
+        .groupBy("column", "level")
+        .agg(F.count(F.lit(1)).alias("n")),
+        "levels",
     )
-    return number_rows(counts, [F.desc("n"), F.asc("level")], "index", task_rows)
+    order = [F.desc("n"), F.asc("level")]
+    numbered = [
+        number_rows(counts.where(F.col("column") == c), order, "index", task_rows)
+        for c in columns
+    ]
+    return reduce(DataFrame.unionByName, numbered)
 
 
-def index_by_frequency(
-    df: DataFrame, column: str, output: str | None = None, fit_on: DataFrame | None = None
-) -> DataFrame:
-    """Append the frequency index of a column; unseen and missing levels get null."""
-    output = output or f"{column}_index"
-    levels = frequency_levels(df if fit_on is None else fit_on, column).select(
+def _join_index(df: DataFrame, levels: DataFrame, column: str, output: str) -> DataFrame:
+    found = levels.where(F.col("column") == column).select(
         F.col("level").alias("_level"), F.col("index").cast("double").alias(output)
     )
     return df.join(
-        broadcast_if_small(levels), F.col(column).cast("string") == F.col("_level"), "left"
+        broadcast_if_small(found), F.col(column).cast("string") == F.col("_level"), "left"
     ).drop("_level")
 
 
+def index_by_frequency(
+    df: DataFrame, columns: list[str], fit_on: DataFrame | None = None
+) -> DataFrame:
+    """Append ``<column>_index`` for each column; unseen and missing levels get null."""
+    levels = frequency_levels(df if fit_on is None else fit_on, columns)
+    for c in columns:
+        df = _join_index(df, levels, c, f"{c}_index")
+    return df
+
+
 def collect_levels(df: DataFrame, columns: list[str], max_levels: int = WIDE_LEVELS) -> dict:
     """Sorted levels of each column; fails beyond ``max_levels`` instead of cutting."""
-    pairs = df.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("level"))
-                    for c in columns
-                ]
-            )
-        )
-    ).where("level is not null")
-    rows = pairs.distinct().limit(max_levels * len(columns) + 1).collect()
+    pairs = df.select(_cells(columns)).where("level is not null").distinct()
+    rows = pairs.limit(max_levels * len(columns) + 1).collect()
     levels: dict[str, list[str]] = {c: [] for c in columns}
     for column, level in rows:
         levels[column].append(level)
@@ -115,16 +131,10 @@ def onehot_wide(
 def onehot_long(
     df: DataFrame, columns: list[str], keys: list[str], fit_on: DataFrame | None = None
 ) -> DataFrame:
-    """Sparse one-hot form: one row per record and nominal column.
-
-    ``width`` is the number of levels, ``index`` the position of the single 1.
-    """
-    out = df.select(*keys, *columns)
-    fitted = df if fit_on is None else fit_on
-    cells = []
-    for c in columns:
-        out = index_by_frequency(out, c, f"_{c}", fitted)
-        cells.append(
-            F.struct(F.lit(c).alias("column"), F.col(f"_{c}").cast("bigint").alias("index"))
-        )
-    return out.select(*keys, F.inline(F.array(*cells))).where("index is not null")
+    """Sparse one-hot form: ``column, index`` of the single 1, per record and column."""
+    indexed = index_by_frequency(df.select(*keys, *columns), columns, fit_on or df)
+    cells = [
+        F.struct(F.lit(c).alias("column"), F.col(f"{c}_index").cast("bigint").alias("index"))
+        for c in columns
+    ]
+    return indexed.select(*keys, F.inline(F.array(*cells))).where("index is not null")

@@ -261,6 +261,11 @@ def run_14_logreg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, sf_dir, 14, "binLR", tol=1e-3, maxIter=100)
 
 
+@query()
+def run_14_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _run(spark, sf_dir, 14, "kNN", k=1)
+
+
 @query()
 def run_16_linsvc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, sf_dir, 16, "linSVC", tol=0.1, maxIter=10, regParam=1e-6)

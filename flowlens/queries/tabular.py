@@ -186,18 +186,22 @@ def profile_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def index_by_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select("event_id", "event_type")
-    return encode.index_by_frequency(events, "event_type")
+    return encode.index_by_frequency(events, ["event_type"])
 
 
 @query(
     """
-    SELECT user_id::VARCHAR AS level, count(*) AS n,
+    SELECT 'user_id' AS "column", user_id::VARCHAR AS level, count(*) AS n,
            row_number() OVER (ORDER BY count(*) DESC, user_id::VARCHAR) - 1 AS "index"
     FROM events GROUP BY user_id
+    UNION ALL
+    SELECT 'event_type' AS "column", event_type AS level, count(*) AS n,
+           row_number() OVER (ORDER BY count(*) DESC, event_type) - 1 AS "index"
+    FROM events GROUP BY event_type
     """
 )
 def frequency_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode.frequency_levels(table(spark, sf_dir, "events"), "user_id")
+    return encode.frequency_levels(table(spark, sf_dir, "events"), ["user_id", "event_type"])
 
 
 @query(

@@ -90,9 +90,8 @@ def test_malformed_row_stops_the_scan(spark, tmp_path, records_file):
     bad.write_text(record() + "\n" + record().rsplit(",", 1)[0] + "\n")
     with pytest.raises(Exception, match="MALFORMED"):
         tables.read_connections(spark, str(bad)).collect()
-    kept = tables.read_connections(spark, str(bad), mode="PERMISSIVE")
-    assert kept.where(f"{tables.CORRUPT} is not null").count() == 1
-    assert kept.count() == 2
+    kept = tables.read_connections(spark, str(bad), mode="PERMISSIVE").collect()
+    assert [row[tables.CORRUPT] is not None for row in kept] == [False, True]
 
 
 def test_dictionaries(spark, tmp_path):
@@ -194,7 +193,7 @@ def test_lookup_keeps_every_row(spark, limit, monkeypatch):
 
 
 def test_frequency_index_breaks_ties_alphabetically(records):
-    levels = {r["level"]: r["index"] for r in encode.frequency_levels(records, "service").collect()}
+    levels = {r["level"]: r["index"] for r in encode.frequency_levels(records, ["service"]).collect()}
     assert levels == {"ftp": 0, "http": 1, "smtp": 2, "dns": 3}
 
 
