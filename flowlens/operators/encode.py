@@ -54,14 +54,11 @@ def _cells(columns: list[str]):
     )
 
 
-def frequency_levels(
-    df: DataFrame, columns: list[str], task_rows: int = SINGLE_TASK_ROWS
-) -> DataFrame:
-    """Levels of nominal columns: ``column, level, n, index``, most frequent first.
+def count_levels(df: DataFrame, columns: list[str]) -> tuple[DataFrame, dict[str, int]]:
+    """Rows per level of all columns, ``column, level, n``, and the levels per column.
 
-    Indexes start at 0 in each column; equal counts are ordered by the level. A
-    missing value is no level. All columns are counted in one pass, whose result,
-    one row per level, is stored: it is read several times from here on.
+    One pass counts all columns. Its result, one row per level, is stored, because
+    the steps from here on read it several times. A missing value is no level.
     """
     counts = materialize(
         df.select(_cells(columns))
@@ -70,10 +67,28 @@ def frequency_levels(
         .agg(F.count(F.lit(1)).alias("n")),
         "levels",
     )
+    sizes = dict(counts.groupBy("column").count().collect())
+    return counts, {c: sizes.get(c, 0) for c in columns}
+
+
+def frequency_levels(
+    df: DataFrame, columns: list[str], task_rows: int = SINGLE_TASK_ROWS
+) -> DataFrame:
+    """Levels of nominal columns: ``column, level, n, index``, most frequent first.
+
+    Indexes start at 0 in each column; equal counts are ordered by the level.
+    """
+    counts, sizes = count_levels(df, columns)
     order = [F.desc("n"), F.asc("level")]
+    few = [c for c in columns if sizes[c] <= task_rows]
+    rank = F.row_number().over(Window.partitionBy("column").orderBy(*order))
     numbered = [
+        counts.where(F.col("column").isin(few)).withColumn("index", rank.cast("bigint") - 1)
+    ]
+    numbered += [
         number_rows(counts.where(F.col("column") == c), order, "index", task_rows)
         for c in columns
+        if c not in few
     ]
     return reduce(DataFrame.unionByName, numbered)
 

@@ -97,14 +97,17 @@ def _prepare_sql(columns: tuple[str, ...]) -> str:
     """
 
 
-def _prepared(spark: SparkSession, sf_dir: str, features: int) -> DataFrame:
+def _prepared(
+    spark: SparkSession, sf_dir: str, features: int, reload: bool = False
+) -> DataFrame:
     """All records, encoded with what the train part taught."""
     rows = connections(spark, sf_dir).withColumn("held", in_holdout(F.col("conn_id")))
     fitted = fit_features(rows.where(~F.col("held")), features)
-    # The preparation is stored and loaded again, as a later scoring job would do.
-    path = scratch_path(spark, "preparation")
-    save_model(fitted, path)
-    return prepared(load_model(path), rows, "conn_id", "held")
+    if reload:  # store the preparation and load it again, as a later scoring job would
+        path = scratch_path(spark, "preparation")
+        save_model(fitted, path)
+        fitted = load_model(path)
+    return prepared(fitted, rows, "conn_id", "held")
 
 
 @query(
@@ -136,7 +139,7 @@ def _hot(vector: Column, start: int, stop: int) -> Column:
     """
 )
 def prepare_16(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = _prepared(spark, sf_dir, 16).withColumn("a", vector_to_array("features"))
+    out = _prepared(spark, sf_dir, 16, reload=True).withColumn("a", vector_to_array("features"))
     a, v = F.col("a"), F.col("features")
     services = F.size(a) - 14 - 11
     return out.select(
@@ -281,6 +284,20 @@ def run_16_rforest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, sf_dir, 16, "RForest", maxDepth=10, maxBins=16, numTrees=10)
 
 
+@query()
+def search_14_logreg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two hold-out rounds over a tolerance grid on the records, ranked."""
+    log = experiment.search(
+        connections(spark, sf_dir),
+        14,
+        "binLR",
+        ["conn_id"],
+        models.param_grid(tol=[1.0, 1e-3], maxIter=[10, 100]),
+        rounds=2,
+    )
+    return leaderboard(log, 5)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Label, hash split, scaling fitted on the train part, logistic regression, ranking."""
     rows = table(spark, sf_dir, "embeddings")

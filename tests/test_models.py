@@ -159,3 +159,20 @@ def test_whole_run(records, algorithm, params):
         records, 14, algorithm, params, ["conn_id"]
     ).collect()}
     assert rows["areaUnderROC"] > 0.6
+
+
+def test_separate_test_table(records):
+    train, test = models.holdout(records, "conn_id", percent=20, seed=3)
+    strange = test.withColumn("service", F.lit("only here"))
+    rows = experiment.run(train, 16, "binLR", {"maxIter": 10}, ["conn_id"], test=strange).collect()
+    assert len(rows) == 2 and all(0 < r["value"] <= 1 for r in rows)
+
+
+@pytest.mark.parametrize(
+    "algorithm,grid",
+    [("kNN", models.param_grid(k=[1, 3, 5])), ("binLR", models.param_grid(maxIter=[1, 10, 20]))],
+)
+def test_search_logs_every_point_of_every_round(records, algorithm, grid):
+    log = experiment.search(records, 14, algorithm, ["conn_id"], grid, rounds=2).collect()
+    assert len(log) == 6 and {r["fold"] for r in log} == {0, 1}
+    assert len({(r["fold"], r["value"]) for r in log}) > 1

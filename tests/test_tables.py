@@ -207,6 +207,12 @@ def test_numbering_in_parts_equals_numbering_in_one(spark):
     assert sorted(one) == sorted(many)
 
 
+def test_level_numbers_do_not_depend_on_the_split_into_tasks(spark, records):
+    columns = ["service", "flag", "labels"]
+    one = encode.frequency_levels(records, columns).collect()
+    assert sorted(one) == sorted(encode.frequency_levels(records, columns, task_rows=3).collect())
+
+
 def test_one_hot_forms(spark, records):
     wide = encode.onehot_wide(records.select("service", "flag"), ["service", "flag"])
     assert wide.columns == [
