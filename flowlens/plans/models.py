@@ -9,9 +9,10 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable
 from itertools import product
+from multiprocessing.pool import ThreadPool
 from time import perf_counter
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
@@ -170,6 +171,25 @@ def fit_fixed(
     return model, rows
 
 
+def fit_grid(
+    algorithm: str,
+    train: DataFrame,
+    test: DataFrame,
+    grid: list[dict],
+    metric: str = "areaUnderROC",
+    fold: int = 0,
+    parallelism: int = 4,
+) -> list[tuple]:
+    """Fit and score every parameter set, several at a time, in the order of the grid."""
+
+    def one(params: dict) -> list[tuple]:
+        return fit_fixed(algorithm, train, test, params, metric, fold, train_score=False)[1]
+
+    with ThreadPool(max(1, min(parallelism, len(grid)))) as pool:
+        runs = pool.map(inheritable_thread_target(train.sparkSession)(one), grid)
+    return [row for rows in runs for row in rows]
+
+
 def run_log(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     return spark.createDataFrame(rows, RUN_LOG_SCHEMA)
 
@@ -183,6 +203,7 @@ def repeated_holdout(
     percent: int = 33,
     seed: int = 7,
     metric: str = "areaUnderROC",
+    parallelism: int = 4,
 ) -> DataFrame:
     """Every parameter set on several independent 67/33 splits, each fit timed."""
     rows: list[tuple] = []
@@ -190,9 +211,7 @@ def repeated_holdout(
         parts = holdout(df, *ids, percent=percent, seed=seed + number)
         train, test = (p.persist(StorageLevel.MEMORY_AND_DISK) for p in parts)
         try:
-            for params in grid:
-                _, runs = fit_fixed(algorithm, train, test, params, metric, number, False)
-                rows += runs
+            rows += fit_grid(algorithm, train, test, grid, metric, number, parallelism)
         finally:
             train.unpersist()
             test.unpersist()

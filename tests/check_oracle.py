@@ -1,7 +1,11 @@
-"""Command line: compare queries with their SQL.  check_oracle.py [sf] [name ...]"""
+"""Command line: compare queries with their SQL.  check_oracle.py [sf] [name ...]
+
+CHECK_CONF may hold session settings, ``key=value`` separated by semicolons.
+"""
 
 from __future__ import annotations
 
+import os
 import sys
 import time
 from pathlib import Path
@@ -18,7 +22,8 @@ def main() -> int:
     args = sys.argv[1:]
     sf = args.pop(0) if args and args[0][0].isdigit() else "0.001"
     sf_dir = f"{oracle.TESTDATA}/sf{sf}"
-    spark = local_session("check", 8)
+    conf = dict(c.split("=", 1) for c in os.environ.get("CHECK_CONF", "").split(";") if c)
+    spark = local_session("check", 8, **conf)
     spark.sparkContext.setLogLevel("ERROR")
     con = oracle.connect(sf_dir)
     sqls, bad = entry.oracle_sql(), 0
