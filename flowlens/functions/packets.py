@@ -63,7 +63,7 @@ def piece(at, i: int, length) -> str:
 
 
 def mac(at, i: int) -> str:
-    return f"regexp_replace({piece(at, i, 6)}, '(..)(?=.)', '$1:')"
+    return f"concat_ws(':', {', '.join(piece(at, i + n, 1) for n in range(6))})"
 
 
 def ipv4(at, i: int) -> str:
@@ -71,15 +71,19 @@ def ipv4(at, i: int) -> str:
 
 
 def ipv6(at, i: int) -> str:
-    """Eight groups without leading zeros; the longest run of zero groups becomes ``::``."""
+    """Eight groups without leading zeros; the longest run of zero groups becomes ``::``.
+
+    With a colon at both ends, a run of zero groups is the text ``:0:0:``.
+    """
     groups = ", ".join(f"lower(hex({u16(at, i + 2 * n)}))" for n in range(8))
-    patterns = [
-        f"^(.*?)(?:^|:)0(?::0){{{run - 1}}}(?::|$)" for run in range(8, 1, -1)
-    ]
     cases = " ".join(
-        f"when g rlike r'{p}' then regexp_replace(g, r'{p}', '$1::')" for p in patterns
+        f"when instr(g, ':{'0:' * run}') > 0 then concat("
+        f"substring(g, 2, instr(g, ':{'0:' * run}') - 2), '::', "
+        f"rtrim(':', substring(g, instr(g, ':{'0:' * run}') + {2 * run + 1})))"
+        for run in range(8, 1, -1)
     )
-    return f"transform(array(concat_ws(':', {groups})), g -> case {cases} else g end)[0]"
+    whole = "substring(g, 2, length(g) - 2)"
+    return f"transform(array(concat(':', concat_ws(':', {groups}), ':')), g -> case {cases} else {whole} end)[0]"
 
 
 def layer(name: str, **values: str) -> str:
