@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable
+from functools import reduce
 from itertools import product
 from multiprocessing.pool import ThreadPool
 from time import perf_counter
@@ -361,6 +362,32 @@ def knn_search(
     )
 
 
+def knn_cross_validation(
+    df: DataFrame,
+    ids: str,
+    ks: list[int] | None = None,
+    folds: int = 3,
+    seed: int = 7,
+    p: float = 2,
+    metrics: tuple[str, ...] = ("areaUnderROC",),
+) -> DataFrame:
+    """Scores for every k and fold as a run log; each fold is searched in the others."""
+    folded = with_folds(df, ids, folds=folds, seed=seed)
+    logs = [
+        knn_search(
+            folded.where(F.col("fold") != fold),
+            folded.where(F.col("fold") == fold),
+            ids,
+            ks,
+            p,
+            fold,
+            metrics,
+        )
+        for fold in range(folds)
+    ]
+    return reduce(DataFrame.unionByName, logs)
+
+
 def fit_linear(df: DataFrame, target: str, features: str = "features"):
     """Least squares by the normal equations: one pass, one small matrix."""
     return LinearRegression(

@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlens.functions import vectors as V
+from flowlens.functions.labels import coarse_label
 from flowlens.operators.knn import knn_join, knn_predict, search_ks
+from flowlens.operators.leaderboard import summarize_runs
 from flowlens.operators.metrics import accuracy_of
 from flowlens.plans.models import fit_linear, holdout
+from flowlens.plans.models import knn_cross_validation as cross_validate_knn
 from flowlens.queries import r, table
 
 QUERIES: dict = {}
@@ -179,6 +182,48 @@ def knn_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    f"""
+    WITH e AS (
+      SELECT vec_id, embedding::DOUBLE[] AS v, CASE WHEN label = 0 THEN 0 ELSE 1 END AS label,
+             ('0x' || substr(md5('7:' || vec_id), 1, 8))::BIGINT % 3 AS fold
+      FROM embeddings),
+    d AS (
+      SELECT q.vec_id AS query_id, q.label AS truth, q.fold, t.vec_id AS train_id, t.label,
+             {_L2} AS distance
+      FROM e q CROSS JOIN e t WHERE q.fold <> t.fold),
+    ranked AS (
+      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, train_id) AS rank FROM d),
+    votes AS (
+      SELECT query_id, truth, fold, k, label, count(*) AS n
+      FROM ranked JOIN (VALUES (1), (3), (5)) AS g(k) ON rank <= k GROUP BY ALL),
+    winners AS (
+      SELECT fold, k, truth, label AS prediction
+      FROM (SELECT *, row_number() OVER (PARTITION BY query_id, k ORDER BY n DESC, label) AS place
+            FROM votes)
+      WHERE place = 1),
+    scores AS (
+      SELECT fold, k, avg((prediction = truth)::INTEGER) AS accuracy,
+             (avg(prediction) FILTER (truth = 1) + avg(1 - prediction) FILTER (truth = 0)) / 2 AS auroc
+      FROM winners GROUP BY fold, k),
+    log AS (
+      SELECT k, 'accuracy' AS metric, accuracy AS value FROM scores
+      UNION ALL SELECT k, 'areaUnderROC' AS metric, auroc AS value FROM scores)
+    SELECT 'k=' || k AS key, metric, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std,
+           count(*) AS runs
+    FROM log GROUP BY k, metric
+    """
+)
+def knn_cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _embeddings(spark, sf_dir).select(
+        "vec_id",
+        F.col("embedding").alias("features"),
+        coarse_label(F.col("label").cast("string"), normal="0").alias("label"),
+    )
+    log = cross_validate_knn(rows, "vec_id", [1, 3, 5], metrics=("accuracy", "areaUnderROC"))
+    return summarize_runs(log).select("key", "metric", r("mean", "mean"), r("std", "std"), "runs")
+
+
 # --- linear regression --------------------------------------------------------------------
 
 
