@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +14,7 @@ from flowlens.functions.vectors import active_indices, as_doubles
 from flowlens.operators.leaderboard import leaderboard
 from flowlens.operators.scale import MinMax
 from flowlens.plans import experiment, models
-from flowlens.plans.prepare import fit_features, prepared
+from flowlens.plans.prepare import encoding_stages, fit_features, prepared
 from flowlens.queries import r, table
 from flowlens.queries.traffic import CONNECTION_SQL, connection_columns, connections
 from flowlens.schema import FEATURES, FEATURES_14, FEATURES_16, ROLES
@@ -228,6 +230,88 @@ def model_rforest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _held_predictions(spark, sf_dir, "RForest", maxDepth=8, maxFeatures=8, numTrees=10)
 
 
+# --- models whose optimum SQL can compute ---------------------------------------------------------
+
+# With one nominal feature the best logistic regression predicts the share of attacks per
+# level; with few distinct values the best first split of a tree is a search over all of them.
+_SHARE_LABEL = "l_orderkey % 9 < l_linenumber"
+_SPLIT_LABEL = "l_quantity * (1 - l_discount) > 25"
+_SPLIT_FEATURES = ["l_quantity", "l_discount", "l_linenumber"]
+
+_SPLIT_SQL = f"""
+    WITH t AS (SELECT *, ({_SPLIT_LABEL})::INTEGER AS y FROM lineitem),
+    tot AS (SELECT count(*)::DOUBLE AS n, sum(y)::DOUBLE AS s FROM t),
+    vals AS ({" UNION ALL ".join(
+        f"SELECT '{c}' AS f, {c}::DOUBLE AS v, count(*) AS n, sum(y) AS s FROM t GROUP BY {c}"
+        for c in _SPLIT_FEATURES)}),
+    cum AS (SELECT f, v, (sum(n) OVER w)::DOUBLE AS nl, (sum(s) OVER w)::DOUBLE AS sl
+            FROM vals WINDOW w AS (PARTITION BY f ORDER BY v)),
+    best AS (
+      SELECT f, v, sl / nl AS pl, (s - sl) / (n - nl) AS pr
+      FROM cum, tot WHERE nl < n
+      ORDER BY sl * (1 - sl / nl) + (s - sl) * (1 - (s - sl) / (n - nl)) LIMIT 1),
+    sided AS (
+      SELECT l_orderkey, l_linenumber, l_quantity, l_discount,
+             CASE WHEN (CASE f {" ".join(f"WHEN '{c}' THEN {c}::DOUBLE" for c in _SPLIT_FEATURES)} END)
+                  <= v THEN pl ELSE pr END AS p
+      FROM t, best)
+    SELECT l_orderkey, l_linenumber, l_quantity, l_discount,
+           CASE WHEN p > 0.5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS prediction,
+           round(p, 6) AS probability
+    FROM sided
+"""
+
+
+def _first_split(spark: SparkSession, sf_dir: str, algorithm: str, **params) -> DataFrame:
+    items = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", *_SPLIT_FEATURES, F.expr(_SPLIT_LABEL).cast("double").alias("label")
+    )
+    rows = VectorAssembler(inputCols=_SPLIT_FEATURES, outputCol="features").transform(items)
+    model = models.estimator(algorithm, maxDepth=1, maxBins=64, **params).fit(rows)
+    return models.predictions(model, rows, "l_orderkey", *_SPLIT_FEATURES).select(
+        "l_orderkey", "l_linenumber", "l_quantity", "l_discount", "prediction",
+        r("probability", "probability"),
+    )
+
+
+@query(_SPLIT_SQL)
+def model_first_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _first_split(spark, sf_dir, "DTree")
+
+
+@query(_SPLIT_SQL)
+def model_forest_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A forest of one tree that sees all rows and all columns."""
+    return _first_split(
+        spark, sf_dir, "RForest", numTrees=1, bootstrap=False, maxFeatures=len(_SPLIT_FEATURES)
+    )
+
+
+@query(
+    f"""
+    WITH t AS (SELECT l_orderkey, l_linenumber, ({_SHARE_LABEL})::INTEGER AS y FROM lineitem)
+    SELECT l_orderkey, l_linenumber,
+           CASE WHEN avg(y) OVER w > 0.5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS prediction,
+           round(avg(y) OVER w, 4) AS probability
+    FROM t WINDOW w AS (PARTITION BY l_linenumber)
+    """
+)
+def model_logreg_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey",
+        "l_linenumber",
+        F.col("l_linenumber").cast("string").alias("line"),
+        F.expr(_SHARE_LABEL).cast("double").alias("label"),
+    )
+    encoded = Pipeline(stages=encoding_stages(items, ["line"])).fit(items).transform(items)
+    rows = encoded.withColumnRenamed("line_numeric", "features")
+    model = models.estimator("binLR", tol=1e-8, maxIter=200).fit(rows)
+    return models.predictions(model, rows, "l_orderkey", "l_linenumber").select(
+        "l_orderkey", "l_linenumber", "prediction",
+        F.round("probability", 4).alias("probability"),
+    )
+
+
 @query()
 def model_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three hash folds over a small tolerance grid, ranked."""

@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,6 +42,14 @@ def spread(scan: DataFrame, *keys: str) -> DataFrame:
     return scan.repartition(cores, *keys)
 
 
+@cache
+def _process_folder() -> str:
+    """Temporary folder of a local session, removed when the process ends."""
+    root = tempfile.mkdtemp(prefix="flowlens-")
+    atexit.register(shutil.rmtree, root, ignore_errors=True)
+    return root
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The folder all executors share, as named by ``spark.checkpoint.dir``.
 
@@ -53,10 +62,7 @@ def scratch_root(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder shared by all executors")
-    root = tempfile.mkdtemp(prefix="flowlens-")
-    atexit.register(shutil.rmtree, root, ignore_errors=True)
-    spark.conf.set(CHECKPOINT_DIR, root)
-    return root
+    return _process_folder()
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

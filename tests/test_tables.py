@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from types import SimpleNamespace
 
 import pytest
 from hypothesis import given, settings
@@ -135,6 +136,19 @@ def test_scratch_folder_is_the_shared_one(spark):
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
 
 
+@pytest.mark.parametrize("master", ["local[4]", "spark://host:7077", "yarn"])
+def test_only_a_local_session_may_lack_the_shared_folder(master):
+    class Unset:
+        conf = {}
+        sparkContext = SimpleNamespace(master=master)
+
+    if master.startswith("local"):
+        assert scratch_root(Unset()) == scratch_root(Unset())
+    else:
+        with pytest.raises(RuntimeError):
+            scratch_root(Unset())
+
+
 def test_blobs_do_not_depend_on_partitioning(spark):
     a = synthetic.blobs(spark, 500, seed=3)
     assert sorted(a.collect()) == sorted(synthetic.blobs(spark, 500, seed=3).repartition(3).collect())
