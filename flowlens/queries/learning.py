@@ -18,7 +18,7 @@ from flowlens.plans.prepare import encoding_stages, fit_features, prepared
 from flowlens.queries import r, table
 from flowlens.queries.traffic import CONNECTION_SQL, connection_columns, connections
 from flowlens.schema import FEATURES, FEATURES_14, FEATURES_16, ROLES
-from flowlens.session import scratch_path
+from flowlens.session import scratch_path, spread
 from flowlens.sources.models import load_model, save_model
 from flowlens.sources.tables import read_connections, write_typed_csv
 
@@ -262,8 +262,12 @@ _SPLIT_SQL = f"""
 """
 
 
+def _spread_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", "l_partkey")
+
+
 def _first_split(spark: SparkSession, sf_dir: str, algorithm: str, **params) -> DataFrame:
-    items = table(spark, sf_dir, "lineitem").select(
+    items = _spread_items(spark, sf_dir).select(
         "l_orderkey", *_SPLIT_FEATURES, F.expr(_SPLIT_LABEL).cast("double").alias("label")
     )
     rows = VectorAssembler(inputCols=_SPLIT_FEATURES, outputCol="features").transform(items)
@@ -297,7 +301,7 @@ def model_forest_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 )
 def model_logreg_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "lineitem").select(
+    items = _spread_items(spark, sf_dir).select(
         "l_orderkey",
         "l_linenumber",
         F.col("l_linenumber").cast("string").alias("line"),
