@@ -407,4 +407,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     for params in models.param_grid(tol=[1e-3], maxIter=[10, 100]):
         _, log = models.fit_fixed("binLR", points(train), points(test), params)
         runs += log
-    return leaderboard(models.run_log(spark, runs), 5)
+    return leaderboard(models.run_log(spark, runs), 5, metric="areaUnderROC")
