@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import fingerprints, mixing, pieces, secrets, urls
+from flowlens.llm import fingerprints, lines, minhash, mixing, pieces, quality, secrets, urls
 from flowlens.queries import table
 
 
@@ -15,6 +15,15 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict on every document, with its statistics."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return quality.judge(docs).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "distance", "kept",
+    )
+
+
 def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A verdict on every page. The number in a page's path is the document it shows;
     pages of toxic or low-quality documents are labelled block, others allow."""
@@ -37,6 +46,12 @@ def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).drop("source")
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near-equal documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return minhash.near_duplicates(docs, size=3, percent=85)
+
+
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document and what they decode to, as digests."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -49,9 +64,23 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.with_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of every document that repeat earlier ones."""
+    return lines.summary(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op2_secrets, op5_urls, op6_mix, op8_pieces, op9_fingerprints)
+    for f in (
+        op2_secrets,
+        op3_quality,
+        op5_urls,
+        op6_mix,
+        op7_minhash,
+        op8_pieces,
+        op9_fingerprints,
+        op10_lines,
+    )
 }
 
 ORACLES: dict[str, str] = {}
