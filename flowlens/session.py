@@ -78,4 +78,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    stored.scratch = path
+    return stored
+
+
+def discard(stored: DataFrame) -> None:
+    """Remove what ``materialize`` wrote, once nothing reads it any more."""
+    spark = stored.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(stored.scratch)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
