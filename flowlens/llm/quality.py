@@ -33,7 +33,7 @@ P = len(FEATURES)
 #: Spread that every feature has at least: many are zero in most documents.
 FLOORS = np.array([0.05, 0.25, 0.15, 0.04, 0.12, 0.12])
 CORE = 0.75  # share of a group that makes its estimate
-LEAST_GROUP = 200  # smaller groups are estimated together
+LEAST_GROUP = 100  # smaller groups go by the estimate of their language
 STEPS = 8
 QUANTILE = 1 - 1e-9
 _PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
@@ -236,8 +236,9 @@ def judge(
     its words are in three-word runs that the text has twice. Others are kept unless
     their vector lies beyond ``quantile`` of the distance in its language and source.
     Null is a language and a source like others. Groups with fewer than ``least_group``
-    documents that pass the base rules are estimated together by language, then all
-    together; if even these are fewer, the base rules alone decide. Null and empty texts
+    documents that pass the base rules go by the estimate of all documents of their
+    language, or, where these are fewer too, of all documents; if even these are fewer,
+    the base rules alone decide. Null and empty texts
     have no words and fail. Repeated rows stay, an empty table gives an empty result.
     """
     stats = materialize(
@@ -247,26 +248,33 @@ def judge(
         "statistics",
     )
     good = stats.where(~F.col("base_failed"))
-    small = good.groupBy("lang", "source").agg(F.count("*").alias("n"))
-    small = small.withColumn("one", F.col("n") >= least_group)
-    by_lang = small.where(~F.col("one")).groupBy("lang").agg((F.sum("n") >= least_group).alias("by_lang"))
-    name = F.to_json(F.struct("lang", "source"))
-    groups = (
-        small.join(by_lang.withColumnRenamed("lang", "_l"), F.col("lang").eqNullSafe(F.col("_l")), "left")
+    enough = lambda n: F.col(n) >= least_group
+    sizes = materialize(good.groupBy("lang", "source").agg(F.count("*").alias("n")), "sizes")
+    by_lang = sizes.groupBy(F.col("lang").alias("_l")).agg(
+        F.sum("n").alias("lang_n"), F.min(enough("n")).alias("all_sources")
+    )
+    whole = by_lang.agg(F.sum("lang_n").alias("total"), F.min(enough("lang_n")).alias("all_langs"))
+    one = F.when(enough("n"), F.concat(F.lit("1"), F.to_json(F.struct("lang", "source"))))
+    language = F.when(enough("lang_n"), F.concat(F.lit("2"), F.to_json(F.struct("lang"))))
+    every = F.when(enough("total"), F.lit("3"))
+    groups = materialize(
+        sizes.join(by_lang, F.col("lang").eqNullSafe(F.col("_l")))
+        .join(F.broadcast(whole))
         .select(
-            F.col("lang").alias("_lang"), F.col("source").alias("_source"), "n",
-            F.when(F.col("one"), F.concat(F.lit("1"), name))
-            .when(F.col("by_lang"), F.concat(F.lit("2"), F.to_json(F.struct("lang"))))
-            .otherwise("3").alias("grp"),
-        )
+            F.col("lang").alias("_lang"),
+            F.col("source").alias("_source"),
+            F.coalesce(one, language, every).alias("grp"),
+            F.array_compact(
+                F.array(one, F.when(~F.col("all_sources"), language), F.when(~F.col("all_langs"), every))
+            ).alias("counted_in"),
+        ),
+        "groups",
     )
-    sizes = groups.groupBy("grp").agg(F.sum("n").alias("group_size"))
-    groups = materialize(groups.drop("n").join(sizes, "grp"), "groups")
     same = F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))
     vectors = materialize(
-        good.join(groups, same)
-        .where(F.col("group_size") >= least_group)
-        .select("grp", *[x.alias(f"x{i}") for i, x in enumerate(features())]),
+        good.join(groups, same).select(
+            F.explode("counted_in").alias("grp"), *[x.alias(f"x{i}") for i, x in enumerate(features())]
+        ),
         "vectors",
     )
     rows = vectors.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1))))
@@ -280,14 +288,14 @@ def judge(
 
     x = {f"x{i}": f for i, f in enumerate(features())}
     judged = (
-        stats.join(groups, same, "left")
+        stats.join(groups.drop("counted_in"), same, "left")
         .drop("_lang", "_source")
         .withColumns(x)
         .join(final.drop("start", "spread"), "grp", "left")
         .withColumn(
             "distance",
             F.when(
-                ~F.col("base_failed"),
+                ~F.col("base_failed") & F.col("m0").isNotNull(),
                 _distance(
                     [F.col(f"m{i}") for i in range(P)],
                     {(i, j): F.col(f"v{i}{j}") for i, j in _PAIRS},

@@ -6,10 +6,39 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import fingerprints, lines, minhash, mixing, pieces, quality, secrets, urls
+from flowlens.llm import (
+    fingerprints,
+    language,
+    lines,
+    minhash,
+    mixing,
+    pieces,
+    quality,
+    secrets,
+    toxicity,
+    urls,
+)
 from flowlens.queries import table
 
 
+def toxicity_network(spark: SparkSession, sf_dir: str) -> toxicity.Network:
+    """Trained on labelled documents that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    return toxicity.fit(docs, labels, ~language.held_out(F.col("doc_id"), 0))
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score for every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score_documents(docs, toxicity_network(spark, sf_dir)).select(
+        "doc_id",
+        language.held_out(F.col("doc_id"), 0).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"),
+    )
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document."""
     return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")))
@@ -24,6 +53,17 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model scores of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = language.held_out(F.col("doc_id"))
+    model = language.learn(docs.where(~held))
+    return language.score(docs, model).select(
+        "doc_id", held.alias("held_out"), "n_tokens", "n_known",
+        F.lit(model.tokens).cast("bigint").alias("train_tokens"), "base_score", "score",
+    )
+
+
 def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A verdict on every page. The number in a page's path is the document it shows;
     pages of toxic or low-quality documents are labelled block, others allow."""
@@ -72,8 +112,10 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_toxicity,
         op2_secrets,
         op3_quality,
+        op4_language,
         op5_urls,
         op6_mix,
         op7_minhash,
