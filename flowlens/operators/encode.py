@@ -8,7 +8,7 @@ from itertools import accumulate
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlens.operators.lookup import broadcast_if_small
+from flowlens.operators.lookup import join_level
 from flowlens.session import materialize
 
 SINGLE_TASK_ROWS = 1_000_000
@@ -95,11 +95,9 @@ def frequency_levels(
 
 def _join_index(df: DataFrame, levels: DataFrame, column: str, output: str) -> DataFrame:
     found = levels.where(F.col("column") == column).select(
-        F.col("level").alias("_level"), F.col("index").cast("double").alias(output)
+        F.col("level").alias("_key"), F.col("index").cast("double").alias(output)
     )
-    return df.join(
-        broadcast_if_small(found), F.col(column).cast("string") == F.col("_level"), "left"
-    ).drop("_level")
+    return join_level(df, found, F.col(column).cast("string")).drop("_key")
 
 
 def index_by_frequency(

@@ -149,14 +149,15 @@ def layer_fields(packets: DataFrame) -> DataFrame:
 def protocol_table(packets: DataFrame, name: str, columns: list[str] | None = None) -> DataFrame:
     """The layers of one protocol, a column per field; missing fields are null.
 
-    Without ``columns`` the fields are looked up first, which is one more pass.
+    Without ``columns`` the fields are looked up first, which is one more pass; a
+    protocol has no more fields than its header description and options name.
     """
     rows = layer_rows(packets.where(P.has_layer(F.col("layers"), name))).where(
         F.col("name") == name
     )
     if columns is None:
         found = layer_fields(packets).where(F.col("name") == name).select("field")
-        columns = sorted(row["field"] for row in found.limit(10_000).collect())
+        columns = sorted(row["field"] for row in found.collect())
     return rows.select(
         "file",
         "idx",

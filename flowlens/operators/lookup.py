@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.functions.labels import or_unseen
@@ -15,7 +15,7 @@ BROADCAST_BYTES = 32 << 20
 def fits_broadcast(
     df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
 ) -> bool:
-    """Measure a table, reading no more than ``max_rows + 1`` rows of it."""
+    """Measure a table by one aggregation, of which each task sends a row."""
     size = sum(
         (
             F.coalesce(F.octet_length(F.col(f.name).cast("string")), F.lit(0)) + 8
@@ -23,11 +23,7 @@ def fits_broadcast(
         ),
         F.lit(0),
     )
-    rows, total = (
-        df.limit(max_rows + 1)
-        .agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0)))
-        .first()
-    )
+    rows, total = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
     return rows <= max_rows and total <= max_bytes
 
 
@@ -52,12 +48,25 @@ def map_labels(
     """Look up ``label`` in a dimension with unique keys; every row of ``df`` stays."""
     output = output or value
     dim = dimension.select(F.col(key).alias("_key"), F.col(value).alias("_value"))
-    joined = df.join(broadcast_if_small(dim), F.col(label) == F.col("_key"), "left")
+    joined = join_level(df, dim, F.col(label))
     return joined.withColumn(
         output, or_unseen(F.col("_value"), F.col(label), unseen)
     ).drop("_key", "_value")
 
 
+def join_level(df: DataFrame, dim: DataFrame, level: Column, **limits: int) -> DataFrame:
+    """Left join of a level with the column ``_key`` of a dimension with unique keys.
+
+    Beyond a broadcast, rows without a level take no part in the shuffle, where they
+    would all meet in one partition.
+    """
+    if fits_broadcast(dim, **limits):
+        return df.join(F.broadcast(dim), level == F.col("_key"), "left")
+    found = df.where(level.isNotNull()).join(dim, level == F.col("_key"), "left")
+    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in dim.schema.fields]
+    return found.unionByName(df.where(level.isNull()).select("*", *none))
+
+
 def drop_ids(df: DataFrame, ids: DataFrame, *keys: str) -> DataFrame:
     """Remove the rows whose keys occur in ``ids``."""
     return df.join(ids.select(*keys), list(keys), "left_anti")

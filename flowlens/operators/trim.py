@@ -1,120 +1,109 @@
 """Removal of the most extreme rows of numeric columns.
 
-The number of rows to remove grows with the table, so they are never sorted into
-one task or collected. Instead the exact cut-off of each end is found by counting
-rows per value range and zooming into the range that holds the cut-off; removing
-the rows is then a plain filter on literals.
+The number of rows to remove grows with the table, so they are never sorted into one
+task or collected. The cut-off of each end is found from the number of rows per value:
+these counts are stored in ranges of ascending values, the sums of the ranges name the
+one that holds the cut-off, and only that range is looked into. Rows that share the
+cut-off value are cut by key in the same way. Values and keys are compared in their own
+types, so integers of any size, infinities and text keys are exact; removing the rows is
+then a plain filter on literals.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SORTED_ROWS = 10_000
-RANGES = 512
+from flowlens.session import discard, materialize
+
+RANGE_ROWS = 100_000
 
 
 @dataclass(frozen=True)
 class Cut:
-    """The last row to take in the order (value, key): its value and its key."""
+    """The last row to take: its value, and its key unless all of that value go."""
 
-    value: float
+    value: object
     key: object
+    from_top: bool
 
     def takes(self, value: Column, key: Column) -> Column:
-        return F.coalesce(
-            (value < F.lit(self.value))
-            | ((value == F.lit(self.value)) & (key <= F.lit(self.key))),
-            F.lit(False),
-        )
-
-
-def _bounds(df: DataFrame, column: str):
-    return df.agg(F.count(column), F.min(column), F.max(column)).first()
-
-
-def _histogram(df: DataFrame, column: str, low, high) -> list[tuple]:
-    """Rows, smallest and largest value per range of equal width, in ascending order."""
-    width = (F.lit(high) - F.lit(low)).cast("double")
-    offset = (F.col(column) - F.lit(low)).cast("double")
-    bucket = F.least(F.floor(offset / width * RANGES), F.lit(RANGES - 1)).alias("bucket")
-    return [
-        tuple(row)[1:]
-        for row in df.groupBy(bucket)
-        .agg(F.count(F.lit(1)).alias("n"), F.min(column).alias("lo"), F.max(column).alias("hi"))
-        .orderBy("bucket")
-        .collect()
-    ]
-
-
-def _locate(ranges: list[tuple], need: int):
-    """The range that holds the ``need``-th value, and the place within that range."""
-    for n, low, high in ranges:
-        if need <= n:
-            return low, high, need
-        need -= n
-    raise ValueError("fewer rows than asked for")
-
-
-def _last_of(df: DataFrame, order: list[str], need: int):
-    """The ``need``-th row, by a bounded top-k."""
-    top = df.select(*order).orderBy(*order).limit(need)
-    return top.agg(F.max(F.struct(*order)).alias("last")).first()["last"]
-
-
-def _key_cut(ties: DataFrame, need: int, sorted_rows: int):
-    """The ``need``-th smallest key of rows that share one value."""
-    _, low, high = _bounds(ties, "k")
-    while low != high and need > sorted_rows:
-        low, high, need = _locate(_histogram(ties, "k", low, high), need)
-        ties = ties.where(F.col("k").between(F.lit(low), F.lit(high)))
-    return low if low == high else _last_of(ties, ["k"], need)["k"]
-
-
-def _cut(pairs: DataFrame, ranges: list[tuple], need: int, sorted_rows: int) -> Cut:
-    """Zoom into ever narrower ranges until the rest is small or a single value."""
-    low, high, need = _locate(ranges, need)
-    while True:
-        inside = pairs.where(F.col("v").between(F.lit(low), F.lit(high)))
-        if need <= sorted_rows:
-            last = _last_of(inside, ["v", "k"], need)
-            return Cut(last["v"], last["k"])
-        if low == high:
-            return Cut(low, _key_cut(inside, need, sorted_rows))
-        low, high, need = _locate(_histogram(inside, "v", low, high), need)
+        limit = F.lit(self.value)
+        beyond = value > limit if self.from_top else value < limit
+        ties = F.lit(True) if self.key is None else key <= F.lit(self.key)
+        return F.coalesce(_is_number(value) & (beyond | ((value == limit) & ties)), F.lit(False))
+
+
+def _is_number(value: Column) -> Column:
+    """Neither missing nor NaN."""
+    return value.isNotNull() & (F.lower(value.cast("string")) != "nan")
+
+
+def _ranges(weights: DataFrame, range_rows: int) -> DataFrame:
+    """Rows ``x, n`` stored in ranges of ascending ``x``. Storing fixes the ranges, so a
+    task that runs again cannot see other ones."""
+    parts = max(1, -(-weights.count() // range_rows))
+    by_range = weights.repartitionByRange(parts, "x").withColumn("_part", F.spark_partition_id())
+    return materialize(by_range, "ranges")
+
+
+def _locate(ranges: DataFrame, need: int, from_top: bool) -> tuple:
+    """The ``x`` at which the weights from one end reach ``need``, what is still wanted of
+    it, and its weight."""
+    sums = ranges.groupBy("_part").agg(F.sum("n")).collect()
+    for part, total in sorted(sums, reverse=from_top):
+        if need <= total:
+            break
+        need -= total
+    order = F.desc("x") if from_top else F.asc("x")
+    run = F.sum("n").over(Window.partitionBy("_part").orderBy(order))
+    found = (
+        ranges.where(F.col("_part") == part)
+        .withColumn("run", run)
+        .where(F.col("run") >= need)
+        .orderBy("run")
+        .first()
+    )
+    return found["x"], need - (found["run"] - found["n"]), found["n"]
 
 
 def find_cuts(
-    df: DataFrame, column: str, key: str, count: int, sorted_rows: int = SORTED_ROWS
+    df: DataFrame, column: str, key: str, count: int, range_rows: int = RANGE_ROWS
 ) -> tuple[Cut | None, Cut | None]:
     """Cut-offs of the ``count`` smallest and of the ``count`` largest rows.
 
-    Equal values go by ascending key at both ends; keys are unique numbers. Rows
-    without a value are never taken. The largest are the smallest of the negated
-    column, so both cuts are read in ascending order. Counts up to ``sorted_rows``
-    are found by a bounded top-k right away.
+    Equal values go by ascending key at both ends; keys are unique. Rows without a value
+    or a key are never taken. The table is read once for the counts and once for the
+    keys of the two cut-off values.
     """
-    value = F.col(column).cast("double")
-    pairs = df.select(value.alias("v"), F.col(key).alias("k")).where(
-        "v is not null and not isnan(v)"
+    pairs = df.select(F.col(column).alias("x"), F.col(key).alias("k")).where(
+        _is_number(F.col("x")) & F.col("k").isNotNull()
     )
-    negated = pairs.withColumn("v", -F.col("v"))
-    rows, low, high = _bounds(pairs, "v")
-    count = min(count, rows)
+    counts = materialize(pairs.groupBy("x").agg(F.count(F.lit(1)).alias("n")), "counts")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    count = min(count, total)
     if count <= 0:
+        discard(counts)
         return None, None
-    if low == high or count <= sorted_rows:
-        up, down = [(rows, low, high)], [(rows, -high, -low)]
-    else:
-        up = _histogram(pairs, "v", low, high)
-        down = [(n, -hi, -lo) for n, lo, hi in reversed(up)]
-    return (
-        _cut(pairs, up, count, sorted_rows),
-        _cut(negated, down, count, sorted_rows),
-    )
+    ranges = _ranges(counts, range_rows)
+    ends = {from_top: _locate(ranges, count, from_top) for from_top in (False, True)}
+    values = [x for x, wanted, n in ends.values() if wanted < n]
+    keys = materialize(pairs.where(F.col("x").isin(values)), "ties") if values else None
+    cuts = []
+    for from_top, (value, wanted, n) in ends.items():
+        last = None
+        if wanted < n:
+            own = keys.where(F.col("x") == F.lit(value)).select(F.col("k").alias("x"), F.lit(1).alias("n"))
+            by_key = _ranges(own, range_rows)
+            last = _locate(by_key, wanted, False)[0]
+            discard(by_key)
+        cuts.append(Cut(value, last, from_top))
+    for stored in (counts, ranges, keys):
+        if stored is not None:
+            discard(stored)
+    return tuple(cuts)
 
 
 def trim_extremes(
@@ -122,7 +111,7 @@ def trim_extremes(
     columns: list[str],
     key: str,
     per_mille: float = 1.0,
-    sorted_rows: int = SORTED_ROWS,
+    range_rows: int = RANGE_ROWS,
 ) -> DataFrame:
     """Drop the highest and the lowest rows of each column, column after column.
 
@@ -130,11 +119,12 @@ def trim_extremes(
     table as given. A column sees what the columns before it left. Equal values go
     in the order of ``key``.
     """
-    count = int(df.count() * per_mille / 1000 + 0.5)
+    needed = materialize(df.select(key, *[c for c in dict.fromkeys(columns) if c != key]), "trim")
+    count, left = int(needed.count() * per_mille / 1000 + 0.5), needed
     for c in columns:
-        smallest, largest = find_cuts(df, c, key, count, sorted_rows)
-        value = F.col(c).cast("double")
-        if smallest is not None:
-            lowest, highest = smallest.takes(value, F.col(key)), largest.takes(-value, F.col(key))
-            df = df.where(~(lowest | highest))
+        for cut in find_cuts(left, c, key, count, range_rows):
+            if cut is not None:
+                stays = ~cut.takes(F.col(c), F.col(key))
+                left, df = left.where(stays), df.where(stays)
+    discard(needed)
     return df

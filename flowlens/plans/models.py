@@ -6,7 +6,6 @@ a run log, which the leaderboard ranks.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable
 from functools import reduce
 from itertools import product
@@ -39,6 +38,7 @@ from flowlens.operators.knn import knn_predict, search_ks
 from flowlens.operators.leaderboard import RUN_LOG_SCHEMA
 from flowlens.operators.metrics import hard_metrics
 
+# Algorithm names of the run log.
 ALGORITHMS = ("kNN", "DTree", "linSVC", "RForest", "binLR")
 METRICS = {"accuracy": "accuracy", "areaUnderROC": "auroc_hard", "areaUnderPR": "aupr_hard"}
 TREE_MEMORY_MB = 1024
@@ -78,35 +78,21 @@ def param_grid(**values: Iterable) -> list[dict]:
     return [dict(zip(values, combination)) for combination in product(*lists)]
 
 
-def tolerance_grid(
-    tol_start: int = 0, tol_end: int = -9, iter_start: int = 0, iter_end: int = 7
-) -> list[dict]:
-    """Powers of ten for tolerance and iterations."""
-    return param_grid(
-        tol=[10.0**e for e in range(tol_start, tol_end - 1, -1)],
-        maxIter=[10**e for e in range(iter_start, iter_end + 1)],
-    )
-
-
-def tree_grid(n_features: int, max_depth: int = 30, max_features: int | None = None) -> list[dict]:
-    """Depths 1..max by columns tried per split: 2.., root, logarithm and all."""
-    top = n_features if max_features is None else max_features
-    subsets = [*range(2, top), round(math.sqrt(n_features)), round(math.log2(n_features))]
-    return param_grid(maxDepth=range(1, max_depth + 1), maxFeatures=[*subsets, n_features])
-
-
-def bins_grid(n_features: int, max_depth: int = 30) -> list[dict]:
-    """The same grid over histogram bins; a tree needs at least two."""
-    return [
-        {"maxDepth": g["maxDepth"], "maxBins": max(2, g["maxFeatures"])}
-        for g in tree_grid(n_features, max_depth)
-    ]
+# The ranges that published searches went through.
+SEARCHED = {
+    "tol": [1e0, 1e-1, 1e-2, 1e-3, 1e-4, 1e-5, 1e-6, 1e-7, 1e-8, 1e-9],
+    "maxIter": [1, 10, 100, 1_000, 10_000, 100_000, 1_000_000, 10_000_000],
+    "deepest": 30,
+}
 
 
 def default_grid(algorithm: str, n_features: int) -> list[dict]:
+    """The searched values of an algorithm's parameters in all combinations; a tree may
+    try any number of columns per split, from two to all."""
     if algorithm in ("binLR", "linSVC"):
-        return tolerance_grid()
-    return tree_grid(n_features)
+        return param_grid(tol=SEARCHED["tol"], maxIter=SEARCHED["maxIter"])
+    depths = range(1, SEARCHED["deepest"] + 1)
+    return param_grid(maxDepth=depths, maxFeatures=range(2, n_features + 1))
 
 
 def _grid_for(learner: Estimator, grid: list[dict]) -> list[dict]:

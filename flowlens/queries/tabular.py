@@ -94,7 +94,7 @@ def label_coarse(spark: SparkSession, sf_dir: str) -> DataFrame:
 def label_coarse_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(
         "event_id",
-        F.regexp_replace("event_type", "^(?!vi).*$", "attack").alias("collapsed"),
+        L.collapse_attacks(F.col("event_type"), normal="vi").alias("collapsed"),
         L.coarse_label(F.col("event_type"), normal="vi", match="prefix").alias("label"),
     )
 
@@ -336,7 +336,7 @@ def trim_in_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select("event_id", "value", "user_id")
     # Few sorted rows, so that the counting search runs at this size as well.
     return trim.trim_extremes(
-        events, ["value", "user_id"], "event_id", per_mille=20.0, sorted_rows=10
+        events, ["value", "user_id"], "event_id", per_mille=20.0, range_rows=1_000
     )
 
 

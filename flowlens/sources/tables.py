@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -69,15 +69,33 @@ def read_named(spark: SparkSession, path: str, names: list[str], label: str) ->
 def write_typed_csv(df: DataFrame, path: str, null_text: str = NULL_TEXT) -> None:
     """CSV that ``read_typed_csv`` with the same ``null_text`` reads back unchanged.
 
-    A null text of its own keeps empty strings apart from missing ones.
+    A null text of its own keeps empty strings apart from missing ones, and blanks
+    around a text stay. What the format cannot hold fails instead of coming back as
+    something else: a text equal to ``null_text`` (unless that is empty) or with a line
+    break.
     """
-    df.write.csv(path, nullValue=null_text)
+
+    def stored(name: str) -> Column:
+        value = F.col(f"`{name}`")
+        lost = value.rlike("[\\r\\n]")
+        if null_text:
+            lost = lost | (value == null_text)
+        message = F.concat(F.lit(f"{name} has a text that CSV does not keep: "), value)
+        return F.when(lost, F.raise_error(message).cast("string")).otherwise(value).alias(name)
+
+    rows = df.select(
+        *[
+            stored(f.name) if isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`")
+            for f in df.schema.fields
+        ]
+    )
+    rows.write.csv(
+        path,
+        nullValue=null_text,
+        ignoreLeadingWhiteSpace=False,
+        ignoreTrailingWhiteSpace=False,
+    )
 
 
 def write_leaderboard(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     df.write.format(fmt).mode("overwrite").save(path)
-
-
-def as_points(df: DataFrame, columns: list[str], output: str = "point") -> DataFrame:
-    """Collect numeric columns into one ``array<double>`` column."""
-    return df.withColumn(output, F.array(*[F.col(c).cast("double") for c in columns]))

@@ -79,12 +79,10 @@ def test_label_stage(spark):
 
 
 def test_grids_have_no_repeats():
-    assert len(models.tolerance_grid()) == 80
-    grid = models.tree_grid(14)
+    assert len(models.default_grid("binLR", 14)) == 80
+    grid = models.default_grid("DTree", 14)
     assert len(grid) == 30 * 13 and len({tuple(g.items()) for g in grid}) == len(grid)
     assert {g["maxFeatures"] for g in grid} == set(range(2, 15))
-    assert min(g["maxBins"] for g in models.bins_grid(14)) >= 2
-    assert models.default_grid("binLR", 14) == models.tolerance_grid()
 
 
 @pytest.mark.parametrize(

@@ -296,14 +296,14 @@ def brute_trim(rows, count, columns):
     return {r[0] for r in rows}
 
 
-@pytest.mark.parametrize("sorted_rows", [0, 3, 10_000])
-def test_trim_equals_brute_force_with_a_hot_value(spark, sorted_rows):
+@pytest.mark.parametrize("range_rows", [1, 7, 100_000])
+def test_trim_equals_brute_force_with_a_hot_value(spark, range_rows):
     rows = [
         (i, 7.0 if i % 3 == 0 else float((i * 37) % 101) ** 3, None if i % 50 == 1 else float(i % 11))
         for i in range(600)
     ]
     df = spark.createDataFrame(rows, "id bigint, v double, w double")
-    out = trim.trim_extremes(df, ["v", "w"], "id", per_mille=35, sorted_rows=sorted_rows)
+    out = trim.trim_extremes(df, ["v", "w"], "id", per_mille=35, range_rows=range_rows)
     assert {r["id"] for r in out.collect()} == brute_trim(rows, 21, [1, 2])
 
 
@@ -315,11 +315,43 @@ def test_trim_equals_brute_force_with_a_hot_value(spark, sorted_rows):
 def test_trim_property(spark, values, per_mille):
     rows = [(i, float(v)) for i, v in enumerate(values)]
     df = spark.createDataFrame(rows, "id bigint, v double")
-    out = trim.trim_extremes(df, ["v"], "id", per_mille=per_mille, sorted_rows=0)
+    out = trim.trim_extremes(df, ["v"], "id", per_mille=per_mille, range_rows=3)
     count = int(len(rows) * per_mille / 1000 + 0.5)
     assert {r["id"] for r in out.collect()} == brute_trim(rows, count, [1])
 
 
+@pytest.mark.parametrize("range_rows", [2, 100_000])
+def test_trim_compares_in_the_own_type(spark, range_rows):
+    """Text keys, infinities, NaN and integers that doubles cannot tell apart."""
+    big = 2**53
+    rows = [(f"k{i}", big + i % 4, v) for i, v in enumerate([math.inf, -math.inf, 1.0, 2.0, math.inf, None, math.nan, 2.0])]
+    df = spark.createDataFrame(rows, "id string, b bigint, v double")
+    left = trim.trim_extremes(df, ["b"], "id", per_mille=250, range_rows=range_rows)
+    assert {r["id"] for r in left.collect()} == {"k1", "k2", "k5", "k6"}
+    left = trim.trim_extremes(df, ["v"], "id", per_mille=250, range_rows=range_rows)
+    assert {r["id"] for r in left.collect()} == {"k3", "k5", "k6", "k7"}
+    assert trim.trim_extremes(df.limit(0), ["v"], "id").count() == 0
+
+
+def test_lookup_is_the_same_by_shuffle(spark, monkeypatch):
+    df = spark.createDataFrame([("a", 1), ("b", 2), (None, 3), ("x", 4), (None, 5)], "l string, i int")
+    dim = spark.createDataFrame([("a", "A"), ("b", "B")], "k string, v string")
+    small = sorted(map(tuple, lookup.map_labels(df, "l", dim, "k", "v").collect()), key=str)
+    monkeypatch.setattr(lookup, "fits_broadcast", lambda *a, **b: False)
+    assert sorted(map(tuple, lookup.map_labels(df, "l", dim, "k", "v").collect()), key=str) == small
+
+
+def test_csv_keeps_or_refuses_texts(spark, tmp_path):
+    texts = [" pad ", "", None, 'a "quoted", text', "tab\t", "'", "\\", "ü"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    tables.write_typed_csv(df, str(tmp_path / "a"))
+    back = tables.read_typed_csv(spark, str(tmp_path / "a"), df.schema, null_text=tables.NULL_TEXT)
+    assert [r["t"] for r in back.orderBy("i").collect()] == texts
+    for k, bad in enumerate(["a\nb", "a\rb", tables.NULL_TEXT]):
+        with pytest.raises(Exception, match="does not keep"):
+            tables.write_typed_csv(spark.createDataFrame([(1, bad)], df.schema), str(tmp_path / f"b{k}"))
+
+
 def test_ragged_union(spark):
     a = spark.createDataFrame([(1, "x")], "id int, a string")
     b = spark.createDataFrame([(2, 0.5)], "id int, b double")
