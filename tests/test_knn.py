@@ -97,3 +97,32 @@ def test_pairs_are_not_planned_as_a_cross_join(spark):
     plan = knn_join(df, df, 2, cells=5)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     assert "WindowGroupLimit" in plan
+
+
+def test_records_need_few_cells(spark):
+    """Mean share of the cells, and of the train rows in them, that a query is sent to."""
+    from oracle import TESTDATA
+    from pyspark.ml.functions import vector_to_array
+
+    from flowlens.operators import knn
+    from flowlens.queries import learning
+
+    rows = learning._prepared(spark, f"{TESTDATA}/sf0.01", 14).withColumn("v", vector_to_array("features"))
+    q = rows.where("held").select(F.col("conn_id").alias("qid"), "v").limit(3000)
+    t = rows.where("not held").select(F.col("conn_id").alias("tid"), "v")
+    _, routed, counts = knn._searched_cells(q, t, 64, 1, 2)
+    need = [r["cells"] for r in routed.select("cells").collect()]
+    cells = sum(map(len, need)) / len(need) / len(counts)
+    share = sum(counts[c].sum() for c in need) / len(need) / counts.sum()
+    print(f"cells {cells:.3f}, train rows {share:.3f}")
+    assert cells < 0.6 and share < 0.6
+
+
+def test_tree_cells_are_balanced():
+    from flowlens.operators import knn
+
+    points = np.random.default_rng(2).normal(size=(4096, 3))
+    cell = knn._cell_of(points, *knn._tree(points, 5))
+    assert np.bincount(cell, minlength=32).max() <= 140
+    same = np.ones((50, 2))
+    assert set(knn._cell_of(same, *knn._tree(same, 3))) == {0}
