@@ -2,8 +2,10 @@
 
 Spark lists the files; their contents never pass through the file listing. A file
 up to ``split_bytes`` is read by one task, record after record. A larger one is
-first walked from record header to record header, which gives byte ranges that
-start at a record, and the ranges are then read by as many tasks. Memory per task
+first read through by one task for byte ranges that start at a record, because the
+place of a record is known only from the one before it; the ranges are then read, and
+all further work done, by many tasks. A file that still grows while it is streamed is
+read once, up to its listed length: stream folders of closed files. Memory per task
 is bounded by the read buffer, not by the size of the file.
 """
 
@@ -60,8 +62,12 @@ def _file_header(source, path: str):
     return order, ticks, struct.unpack(order + "I", head[20:24])[0] & 0x0FFFFFFF
 
 
-def _records(path: str, start: int, stop: int | None):
-    """Position, header and file facts of each record, with the bytes of its frame."""
+def _records(path: str, start: int, stop: int | None, strict: bool = False):
+    """Position, header and file facts of each record, with the bytes of its frame.
+
+    A capture may end within a record: its last frame is then shorter than its captured
+    length, or only part of a header is left. ``strict`` makes both an error.
+    """
     with open_path(path) as source:
         order, ticks, linktype = _file_header(source, path)
         header = struct.Struct(order + "IIII")
@@ -71,6 +77,8 @@ def _records(path: str, start: int, stop: int | None):
             if len(buffer) - held < RECORD_HEADER:
                 buffer, held = buffer[held:] + source.read(READ_BYTES), 0
                 if len(buffer) < RECORD_HEADER:
+                    if buffer and strict:
+                        raise ValueError(f"cut-off record at byte {position} of {path}")
                     return
             seconds, fraction, caplen, length = header.unpack_from(buffer, held)
             if caplen > MAX_RECORD:
@@ -80,6 +88,8 @@ def _records(path: str, start: int, stop: int | None):
                 missing = need - (len(buffer) - held)
                 buffer, held = buffer[held:] + source.read(max(missing, READ_BYTES)), 0
             frame = buffer[held + RECORD_HEADER : held + need]
+            if strict and len(frame) < caplen:
+                raise ValueError(f"cut-off record at byte {position} of {path}")
             micros = seconds * 1_000_000 + fraction * 1_000_000 // ticks
             yield position, micros, linktype, caplen, length, frame
             position, held = position + need, held + need
@@ -131,13 +141,13 @@ def _frame_batch(rows: list[tuple]) -> pa.RecordBatch:
     )
 
 
-def _read_ranges(first: int | None):
+def _read_ranges(first: int | None, strict: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for split in batch.to_pylist():
                 rows, size, idx = [], 0, split["first"]
                 for _, us, link, caplen, length, frame in _records(
-                    split["path"], split["start"], split["stop"]
+                    split["path"], split["start"], split["stop"], strict
                 ):
                     if first is not None and idx >= first:
                         break
@@ -160,17 +170,25 @@ def frames_of(
     first: int | None = None,
     split_bytes: int = SPLIT_BYTES,
     tasks: int | None = None,
+    strict: bool = False,
 ) -> DataFrame:
     """Frames of the listed files (``path, length``), in the order ``idx`` per file.
 
     ``first`` keeps the first records of each file and stops reading there. The
-    ranges of large files are spread over ``tasks`` tasks, by default the number of
-    shuffle partitions; their number is given because adaptive execution would join
-    the few bytes that describe them into one task.
+    ranges of large files are spread over ``tasks`` tasks, by default one for each
+    ``split_bytes`` of them, in a stream the number of shuffle partitions; their number
+    is given because adaptive execution would join the few bytes that describe them into
+    one task. A frame shorter than its ``caplen`` was cut off at the end of its file;
+    ``strict`` fails there, and where a file ends within a record header.
     """
     spark = files.sparkSession
-    tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     listed = files.select("path", "length")
+    if tasks is None:
+        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        if not files.isStreaming:
+            large = F.sum(F.when(F.col("length") > split_bytes, F.col("length")))
+            size = listed.agg(F.coalesce(large, F.lit(0))).first()[0]
+            tasks = max(spark.sparkContext.defaultParallelism, -(-size // split_bytes))
     whole = listed.where(F.col("length") <= split_bytes).select(
         "path",
         F.lit(0).cast("bigint").alias("start"),
@@ -182,7 +200,7 @@ def frames_of(
         .mapInArrow(_find_ranges(split_bytes, first), _SPLITS)
         .repartition(tasks, "path", "start")
     )
-    read = _read_ranges(first)
+    read = _read_ranges(first, strict)
     frames = whole.mapInArrow(read, _FRAMES).unionByName(divided.mapInArrow(read, _FRAMES))
     return frames.select(
         "file",
