@@ -125,4 +125,59 @@ QUERIES = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+_WORDS = "list_filter(regexp_split_to_array({}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+
+_MIX_SQL = f"""
+    WITH s AS (SELECT doc_id, source, len({_WORDS.format("coalesce(text, '')")})::BIGINT AS size
+               FROM documents),
+    src AS (SELECT source, sum(size)::BIGINT AS source_size FROM s GROUP BY source),
+    w AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM src),
+    x AS (SELECT *, [3, 1, 2][place % 3 + 1] AS weight FROM w),
+    y AS (SELECT *, 2 * source_size / weight AS ratio FROM x),
+    l AS (SELECT *, ((SELECT sum(source_size) FROM src) * 1.5::DOUBLE
+                     - coalesce(sum(2 * source_size) OVER (ORDER BY ratio, place
+                         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                    / sum(weight) OVER (ORDER BY ratio, place
+                         ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+          FROM y),
+    t AS (SELECT source, source_size,
+                 least(2.0::DOUBLE * source_size, max(level) OVER () * weight)::DOUBLE AS target FROM l),
+    e AS (SELECT doc_id, source, size, md5(coalesce(doc_id::VARCHAR, '')) AS key FROM s WHERE size > 0),
+    r AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY key, doc_id, size
+                                    ROWS UNBOUNDED PRECEDING) AS run FROM e),
+    p AS (SELECT r.*, pass, (run + pass * source_size)::DOUBLE / target AS finish
+          FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source, (VALUES (0), (1)) AS v(pass)),
+    g AS (SELECT doc_id, greatest(0, least(size, floor((SELECT sum(size) FROM s) * 1.5::DOUBLE)
+                 - coalesce(sum(size) OVER (ORDER BY finish, source NULLS LAST, key, doc_id, size, pass
+                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS given FROM p),
+    k AS (SELECT doc_id, sum(given) AS taken FROM g GROUP BY doc_id)
+    SELECT s.doc_id, s.size, t.source_size, t.target, coalesce(k.taken, 0)::BIGINT AS taken
+    FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source LEFT JOIN k ON s.doc_id = k.doc_id
+"""
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_NEAR_SQL = f"""
+    WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(_LOWER)} AS ws FROM documents),
+    s AS (SELECT DISTINCT doc_id, unnest(
+            CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+                 ELSE list_transform(range(1, len(ws) - 1),
+                                     lambda i: concat_ws(' ', ws[i], ws[i + 1], ws[i + 2])) END) AS sh
+          FROM w),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c
+          FROM s AS a JOIN s AS b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+    links AS (SELECT x, y FROM c JOIN n AS nx ON nx.doc_id = x JOIN n AS ny ON ny.doc_id = y
+              WHERE 100 * c >= 85 * (nx.n + ny.n - c)),
+    ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+    reach AS (SELECT doc_id AS id, doc_id AS r FROM n
+              UNION SELECT ways.y, reach.r FROM reach JOIN ways ON reach.id = ways.x),
+    comp AS (SELECT id, min(r) AS r FROM reach GROUP BY id)
+    SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(r, w.doc_id) AS component_id,
+           coalesce(r, w.doc_id) = w.doc_id AS kept
+    FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN comp ON comp.id = w.doc_id
+"""
+
+#: The others train a model, hash in a way SQL does not offer, or encode; tests compare
+#: them with brute force.
+ORACLES = {"op6_mix": _MIX_SQL, "op7_minhash": _NEAR_SQL}
