@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.llm.linking import link_groups, lookup
+from flowlens.llm.linking import Overlap, link_groups, lookup
 from flowlens.llm.words import distinct, hashes, mix, shingles, tokenize
 from flowlens.session import materialize
 
@@ -103,6 +103,21 @@ def _signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
     )
 
 
+def _shingles_of(texts: DataFrame, size: int) -> DataFrame:
+    """``id, shingle`` for the distinct shingles of ``id, text``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for begin in range(0, whole.num_rows, _BATCH):
+                batch = whole.slice(begin, _BATCH)
+                values, owner = shingle_sets(batch.column(1).to_pylist(), size)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(owner)), pa.array(values.view(np.int64))], names=["id", "shingle"]
+                )
+
+    return texts.mapInArrow(run, "id bigint, shingle bigint")
+
+
 def _similar(texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs ``a, b`` of ``a, b, text_a, text_b`` whose full sets are similar enough."""
 
@@ -160,25 +175,36 @@ def near_duplicates(
     members = has_set.join(classes, [*of_set, "doc_id", "text_hash"]).select(
         F.explode("bands").alias("bucket"), "id", F.lit(True).alias("lead")
     )
-    counts = classes.select("id", "n_shingles")
+
+    def texts_of(ids: DataFrame) -> DataFrame:
+        few = ids.count()
+        needed = classes.join(lookup(ids, few), "id").select("doc_id", "text_hash", "id")
+        rows = rows_in.join(lookup(needed, few), ["doc_id", "text_hash"])
+        return rows.dropDuplicates(["id"]).select("id", "text")
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        fits = (
-            pairs.join(counts.toDF("a", "n_a"), "a")
-            .join(counts.toDF("b", "n_b"), "b")
-            # The smaller set cannot share more than all of itself.
-            .where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-            .select("a", "b")
-        )
-        fits = materialize(fits, "fits")
-        ids = materialize(fits.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-        needed = materialize(classes.join(lookup(ids), "id").select("doc_id", "text_hash", "id"), "needed")
-        texts = rows_in.join(lookup(needed), ["doc_id", "text_hash"]).dropDuplicates(["id"]).select("id", "text")
-        texts = materialize(texts, "texts")
-        both = fits.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        texts = materialize(texts_of(ids), "texts")
+        both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
         return _similar(both.select("a", "b", "text_a", "text_b"), size, percent)
 
-    groups = link_groups(members, confirm)
+    def common(ids: DataFrame) -> DataFrame:
+        ids = materialize(ids, "ids")
+        runs = _shingles_of(texts_of(ids), size)
+        once = (
+            runs.groupBy("shingle")
+            .agg(F.count("*").alias("n"), F.min("id").alias("id"))
+            .where("n = 1")
+            .groupBy("id")
+            .agg(F.count("*").alias("own"))
+        )
+        return (
+            classes.join(lookup(ids), "id")
+            .join(once, "id", "left")
+            .select("id", F.col("n_shingles").alias("size"), F.expr("n_shingles - coalesce(own, 0) as common"))
+        )
+
+    groups = link_groups(members, confirm, Overlap(common, percent))
     named = classes.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("_smallest"))
     named = materialize(named.join(smallest, "component").select(*of_set, "_smallest"), "named")
