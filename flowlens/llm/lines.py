@@ -13,10 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.llm.linking import link_groups, lookup
-from flowlens.llm.words import SPACE, let
+from flowlens.llm.words import let
 from flowlens.session import materialize
 
 EDITS = 2
+FILLED = r"[^\x20\x09-\x0D]"  # what a line that is not blank has
 LEAST = 20  # shorter lines are compared for equality only
 
 
@@ -30,47 +31,37 @@ def split_lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         F.col(doc_id).alias("doc_id"),
         F.posexplode(F.split(F.col(text), "\n", -1)).alias("pos", "line"),
     )
-    return lines.where(F.length(F.regexp_replace("line", SPACE, "")) > 0).withColumn(
-        "id", F.xxhash64("line")
-    )
-
+    return lines.where(F.col("line").rlike(FILLED)).withColumn("id", F.xxhash64("line"))
 
-def _segments(length: Column, edits: int) -> list[tuple[Column, Column]]:
-    """Start (from 0) and length of each of ``edits + 1`` nearly equal segments."""
-    parts = edits + 1
-    short = F.floor(length / parts).cast("int")
-    longer = (length % parts).cast("int")  # so many segments, the last ones, are one longer
-    out = []
-    for i in range(parts):
-        before = F.greatest(F.lit(i) - (F.lit(parts) - longer), F.lit(0))
-        size = short + F.when(F.lit(i) >= F.lit(parts) - longer, 1).otherwise(0)
-        out.append((F.lit(i) * short + before, size))
-    return out
-
-
-def _keys(line: Column, edits: int) -> tuple[Column, Column]:
-    """Index keys and probe keys of a line.
-
-    A line probes lengths up to its own. Segment i of a line shorter by ``less`` can be
-    found shifted by ``s`` only if the parts before it allow at most i edits and those
-    behind it the rest, which bounds s on both sides.
-    """
-    length = F.char_length(line)
 
-    def key(of_length: Column, i: int, start: Column, size: Column) -> Column:
-        return F.xxhash64(of_length, F.lit(i), F.substr(line, (start + 1).cast("int"), size.cast("int")))
+def _keys(lines: DataFrame, edits: int) -> DataFrame:
+    """``bucket, id, lead`` of ``id, line, n``, n its length: index keys lead, probes do not.
 
-    index = [key(length, i, start, size) for i, (start, size) in enumerate(_segments(length, edits))]
-    probes = []
-    for less in range(edits + 1):
-        for i, (start, size) in enumerate(_segments(length - less, edits)):
-            for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1):
-                if less or shift:  # the line's own segment is in the index already
-                    inside = (start + shift >= 0) & (start + shift + size <= length)
-                    probes.append(F.when(inside, key(length - less, i, start + shift, size)))
-    none = F.expr("cast(array() as array<bigint>)")
-    own = F.array(*index)
-    return own, F.array_except(F.array_compact(F.array(*probes)), own) if probes else none
+    A line is cut into ``edits + 1`` segments; as many as the division leaves over, the
+    last ones, are one longer. It probes lengths up to its own. Segment i of a line
+    shorter by ``less`` can be found shifted by ``s`` only if the parts before it allow
+    at most i edits and those behind it the rest, which bounds s on both sides.
+    """
+    parts = edits + 1
+    kinds = [
+        F.struct(F.lit(less).alias("less"), F.lit(i).alias("i"), F.lit(shift).alias("shift"))
+        for less in range(parts)
+        for i in range(parts)
+        for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1)
+    ]
+    # One row for each key, so that its place is computed by a short expression.
+    rows = lines.select("id", "line", "n", F.inline(F.array(*kinds)))
+    rows = rows.selectExpr(
+        "*", f"cast((n - less) div {parts} as int) as short", f"(n - less) % {parts} as longer"
+    )
+    rows = rows.selectExpr(
+        "*",
+        f"i * short + greatest(i - {parts} + longer, 0) + shift as start",
+        f"short + cast(i >= {parts} - longer as int) as size",
+    )
+    return rows.where("start >= 0 and start + size <= n").selectExpr(
+        "xxhash64(n - less, i, substring(line, start + 1, size)) as bucket", "id", "less = 0 and shift = 0 as lead"
+    )
 
 
 def _without_common(pair: Column) -> Column:
@@ -129,6 +120,12 @@ def edit_distance(a: Column, b: Column, edits: int) -> Column:
     )
 
     def step(acc: Column, char: Column) -> Column:
+        # No row of the band is lower than its last by more than the band's height, and the
+        # least of a column never falls, so such a pair is lost and needs no more work.
+        lost = acc["distance"] > 3 * edits
+        return F.when(lost, acc).otherwise(advance(acc, char))
+
+    def advance(acc: Column, char: Column) -> Column:
         column, left = acc["column"] + 1, acc["left"]
         same = F.lit(0)
         for k in range(width):  # the row that is k above the band's last
@@ -186,13 +183,8 @@ def _near(texts: DataFrame, edits: int) -> DataFrame:
 def line_classes(lines: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
     """``id, component`` of the distinct lines that are within ``edits`` edits of another,
     or connected by such lines. Lines shorter than ``least`` characters are left out."""
-    long = lines.where(F.char_length("line") >= least)
-    index, probes = _keys(F.col("line"), edits)
-    keys = F.concat(
-        F.transform(index, lambda k: F.struct(k.alias("bucket"), F.lit(True).alias("lead"))),
-        F.transform(probes, lambda k: F.struct(k.alias("bucket"), F.lit(False).alias("lead"))),
-    )
-    members = long.select("id", F.explode(keys).alias("key")).select("key.bucket", "id", "key.lead")
+    long = lines.select("id", "line", F.char_length("line").alias("n")).where(F.col("n") >= least)
+    members = _keys(long, edits)
 
     def confirm(pairs: DataFrame) -> DataFrame:
         ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
@@ -247,7 +239,7 @@ def summary(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **optio
         .agg(F.sort_array(F.collect_list("pos")).alias("gone"))
     )
     parts = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
-    filled = F.filter(parts, lambda p: F.length(F.regexp_replace(p, SPACE, "")) > 0)
+    filled = F.filter(parts, lambda p: p.rlike(FILLED))
     rows = docs.select(
         F.xxhash64(F.col(doc_id), F.col(text)).alias("row"),
         F.col(doc_id).alias("doc_id"),
