@@ -86,10 +86,24 @@ def ipv6(at, i: int) -> str:
     return f"transform(array(concat(':', concat_ws(':', {groups}), ':')), g -> case {cases} else {whole} end)[0]"
 
 
-def layer(name: str, **values: str) -> str:
-    """A layer with its fields in the order given."""
+def layer(name: str, options: tuple[str, str] | None = None, **values: str) -> str:
+    """A layer with its fields in the order given.
+
+    ``options`` are the start and the length of bytes that only some headers have; as
+    hex text they become a field of that name where there are any.
+    """
     items = ", ".join(f"'{field}', cast({sql} as string)" for field, sql in values.items())
-    return f"struct('{name}' as name, map({items}) as fields)"
+    fields = f"map({items})"
+    if options:
+        start, length = options
+        some = f"if({length} > 0, map('options', {piece(start, 0, length)}), cast(map() as map<string,string>))"
+        fields = f"map_concat({fields}, {some})"
+    return f"struct('{name}' as name, {fields} as fields)"
+
+
+def beyond(at, least: int, words: str) -> tuple[str, str]:
+    """Start and length of what a header of so many words has after its fixed bytes."""
+    return f"({at} + {least})", f"(greatest({words} * 4, {least}) - {least})"
 
 
 # --- headers ------------------------------------------------------------------------------
@@ -132,6 +146,7 @@ def arp(at) -> str:
 def ip(at, name: str = "IP") -> str:
     return layer(
         name,
+        beyond(at, 20, low_bits(u8(at), 4)),
         version=high_bits(u8(at), 4),
         ihl=low_bits(u8(at), 4),
         tos=u8(at, 1),
@@ -170,8 +185,10 @@ def tcp_flags(bits: str) -> str:
 
 
 def tcp(at, name: str = "TCP") -> str:
+    """Behind a quoted header the options are part of the rest, so only ``TCP`` has them."""
     return layer(
         name,
+        beyond(at, 20, high_bits(u8(at, 12), 4)) if name == "TCP" else None,
         sport=u16(at),
         dport=u16(at, 2),
         seq=u32(at, 4),

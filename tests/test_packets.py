@@ -242,3 +242,32 @@ def test_stream_equals_batch(spark, tmp_path):
     again = packet_lines(stream_capture(spark, source, files_per_trigger=2))
     write_stream(again, out, checkpoint).awaitTermination()
     assert spark.read.parquet(out).count() == 60
+
+
+def test_options_are_fields(spark):
+    """Every byte of the frame is in a field; headers without options have no such field."""
+    segment = tcp(b"zz")
+    segment = segment[:12] + b"\x70" + segment[13:20] + b"\2\4\5\xb4\1\1\1\0" + segment[20:]
+    frames = [eth(0x0800, ipv4(6, segment, options=b"\7\4\0\0")), eth(0x0800, ipv4(6, tcp(b"zz")))]
+    df = spark.createDataFrame(
+        [(i, 1, bytearray(f)) for i, f in enumerate(frames)], "idx long, linktype int, frame binary"
+    )
+    with_options, without = [
+        {x["name"]: x["fields"] for x in r["layers"]} for r in D.dissect(df).orderBy("idx").collect()
+    ]
+    assert with_options["IP"]["options"] == "07040000"
+    assert with_options["TCP"]["options"] == "020405b401010100"
+    assert with_options["Raw"]["load"] == without["Raw"]["load"] == "7a7a"
+    assert "options" not in without["IP"] and "options" not in without["TCP"]
+
+
+def test_cut_off_records_fail_on_request(spark, tmp_path):
+    header = struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1)
+    for k, tail in enumerate((struct.pack("<IIII", 1, 0, 9, 9) + b"abc", b"\1\2\3")):
+        path = tmp_path / f"c{k}"
+        path.mkdir()
+        (path / "a.pcap").write_bytes(header + struct.pack("<IIII", 1, 0, 2, 2) + b"xy" + tail)
+        kept = read_capture(spark, str(path)).orderBy("idx").collect()
+        assert [(r["caplen"], bytes(r["frame"])) for r in kept] == [(2, b"xy"), (9, b"abc")][: 2 - k]
+        with pytest.raises(Exception, match="cut-off record"):
+            read_capture(spark, str(path), strict=True).collect()
