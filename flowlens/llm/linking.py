@@ -61,31 +61,34 @@ def _state(edges: DataFrame) -> tuple:
 
 
 @dataclass(frozen=True)
-class Overlap:
-    """What sets can share at most, to leave out pairs that cannot be links.
+class SetFilter:
+    """A bound on what two sets share, to leave out pairs that cannot be links.
 
-    ``count`` gets ids and returns ``id, size, common``: the size of each set and how much
-    of it is also in another of these sets. A link needs 100 * intersection of at least
+    ``rows`` has ``id, size`` and columns of whole numbers whose bits stand for the set:
+    each element sets one. Where the bits of two sets differ, their elements do, so the
+    sets differ in at least as many elements. A link needs 100 * intersection of at least
     ``percent`` * union.
     """
 
-    count: Callable[[DataFrame], DataFrame]
+    rows: DataFrame
     percent: int
 
-    def pair(self, size_a: Column, common_a: Column, size_b: Column, common_b: Column) -> Column:
-        """Whether the two can be linked: they share no more than either has in common."""
-        most = F.least(common_a, common_b)
-        return 100 * most >= self.percent * (size_a + size_b - most)
+    def names(self) -> list[str]:
+        return [c for c in self.rows.columns if c != "id"]
 
-    def any(self, size: Column, common: Column, smallest: Column) -> Column:
-        """Whether one can be linked with any set that is not below the smallest."""
-        return 100 * common >= self.percent * (size + F.greatest(smallest, common) - common)
+    def allows(self, suffix: str) -> Column:
+        """Whether a row and the one whose columns have the suffix can be linked."""
+        bits = [c for c in self.names() if c != "size"]
+        apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(c + suffix))) for c in bits), F.lit(0))
+        # Sizes add up to twice what is shared and what is apart.
+        total = F.col("size") + F.col("size" + suffix)
+        return (100 - self.percent) * total >= (100 + self.percent) * apart
 
 
 def link_groups(
     members: DataFrame,
     confirm: Callable[[DataFrame], DataFrame],
-    overlap: Overlap | None = None,
+    only: SetFilter | None = None,
     hub_rounds: int = 2,
 ) -> DataFrame:
     """``id, component`` of all ids that are linked with another.
@@ -99,10 +102,8 @@ def link_groups(
     rounds is compared pair by pair, but only across groups and never twice, so that
     every candidate pair is a link, no link, or within a group.
 
-    ``overlap`` is counted for what is left after the first round. Then the second hub
-    is the one with the largest part in common, which in a group of near copies is the
-    nearest to their origin; ids that have too much of their own for any link leave the
-    bucket, and the last pairs are only those that can be links.
+    Later hubs differ from bucket to bucket, so that a thing meets many others in one
+    round. From then on only the pairs are compared that ``only`` allows.
     """
     lead = F.when(F.col("lead"), F.col("id"))
     hubs = (
@@ -115,38 +116,31 @@ def link_groups(
     shared = materialize(
         members.join(lookup(hubs), "bucket").select("bucket", "id", "lead", "hub").distinct(), "shared"
     )
-    tested = links = groups = weights = None
+    tested = links = groups = None
     for turn in range(hub_rounds + 1):
         if turn:
             open_ = _unsettled(shared.select("bucket", "id", "lead"), groups)
-            if overlap and weights is None:
-                open_ = materialize(open_, "unsettled")
-                weights = materialize(overlap.count(open_.select("id").distinct()), "overlap")
-            if overlap:
-                open_ = _hopeful(open_, weights, overlap)
+            if only:
+                open_ = open_.join(only.rows, "id")
             shared = materialize(open_, "open")
         if not shared.take(1):
             break
         if turn == 0:
-            pairs = shared.where("id <> hub").select("hub", "id")
-        elif turn < hub_rounds:
-            # Central ids first; else ids take turns in an order that differs by round.
-            own = F.col("size") - F.col("common") if overlap and turn == 1 else F.lit(0)
-            order = F.struct(own.alias("own"), F.xxhash64("id", F.lit(turn)).alias("order"), "id", "component")
-            hub = (
-                shared.where("lead")
-                .groupBy("bucket")
-                .agg(F.min(order).alias("hub"))
-                .select("bucket", F.col("hub.id").alias("hub"), F.col("hub.component").alias("_of"))
-            )
-            pairs = shared.join(hub, "bucket").where("component <> _of").select("hub", "id")
+            pairs = shared.where("id <> hub").select(F.col("hub").alias("id_2"), "id")
         else:
-            other = shared.select(*[F.col(c).alias(c if c == "bucket" else f"{c}_2") for c in shared.columns])
-            fits = F.expr("component < component_2 and (lead or lead_2)")
-            if overlap:
-                fits &= overlap.pair(*map(F.col, ("size", "common", "size_2", "common_2")))
-            pairs = shared.join(other, "bucket").where(fits).select(F.col("id_2").alias("hub"), "id")
-        pairs = pairs.select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()
+            other = shared
+            if turn < hub_rounds:
+                order = F.struct(F.xxhash64("id", "bucket", F.lit(turn)), *shared.columns)
+                hub = shared.where("lead").groupBy("bucket").agg(F.min(order).alias("hub"))
+                other = hub.select(*[F.col(f"hub.{c}").alias(c) for c in shared.columns])
+                fits = F.expr("component <> component_2")
+            else:
+                fits = F.expr("component < component_2 and (lead or lead_2)")
+            other = other.select(*[F.col(c).alias(c if c == "bucket" else f"{c}_2") for c in shared.columns])
+            if only:
+                fits &= only.allows("_2")
+            pairs = shared.join(other, "bucket").where(fits).select("id_2", "id")
+        pairs = pairs.select(F.least("id_2", "id").alias("a"), F.greatest("id_2", "id").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
@@ -160,23 +154,6 @@ def link_groups(
     return components(none) if groups is None else groups
 
 
-def _hopeful(open_: DataFrame, weights: DataFrame, overlap: Overlap) -> DataFrame:
-    """Members that can be linked with any other of their bucket, where there are several
-    groups of such members."""
-    weighed = open_.join(lookup(weights), "id")
-    smallest = weighed.groupBy("bucket").agg(F.min("size").alias("smallest"))
-    kept = weighed.join(smallest, "bucket").where(
-        overlap.any(F.col("size"), F.col("common"), F.col("smallest"))
-    )
-    several = (
-        kept.groupBy("bucket")
-        .agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        .where("low <> high")
-        .select("bucket")
-    )
-    return kept.join(several, "bucket").drop("smallest")
-
-
 def _unsettled(shared: DataFrame, groups: DataFrame) -> DataFrame:
     """Members, with their groups, of the buckets that have members of several groups."""
     named = shared.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))

@@ -16,11 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.llm.linking import Overlap, link_groups, lookup
+from flowlens.llm.linking import SetFilter, link_groups, lookup
 from flowlens.llm.words import distinct, hashes, mix, shingles, tokenize
 from flowlens.session import materialize
 
 BANDS, ROWS = 40, 6  # at a similarity of 0.8 a pair shares no band once in 190,000 pairs
+WORDS = 16  # numbers of 64 bits that stand for a set, to rule out pairs
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _BATCH = 256
 
@@ -58,6 +59,21 @@ def band_keys(sketch: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key
 
 
+def set_bits(values: np.ndarray, owner: np.ndarray, texts: int) -> np.ndarray:
+    """``WORDS`` numbers per text; every shingle sets one of their bits."""
+    size = 64 * WORDS
+    on = np.zeros((texts, size), bool)
+    on[owner, (mix(values ^ np.uint64(0x77)) % np.uint64(size)).astype(np.int64)] = True
+    return np.packbits(on, axis=1).view(np.int64)
+
+
+def _rows_of(numbers: np.ndarray) -> pa.ListArray:
+    n, width = numbers.shape
+    return pa.ListArray.from_arrays(
+        pa.array(np.arange(0, (n + 1) * width, width, dtype=np.int32)), pa.array(numbers.ravel())
+    )
+
+
 def shingle_sets(texts: list[bytes | None], size: int):
     """Distinct shingle hashes of texts with their texts, ordered by text, then hash."""
     ids, ends, vocabulary = tokenize(texts)
@@ -67,7 +83,7 @@ def shingle_sets(texts: list[bytes | None], size: int):
 
 
 def _signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
-    """``doc_id, text_hash, n_shingles, set_a, set_b, bands``; the two sums stand for the whole set."""
+    """``doc_id, text_hash, n_shingles, set_a, set_b, bands, bits``; the two sums stand for the whole set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -89,35 +105,19 @@ def _signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
                         pa.array(counts.astype(np.int64)),
                         pa.array(sums[0]),
                         pa.array(sums[1]),
-                        pa.ListArray.from_arrays(
-                            pa.array(np.arange(0, (n + 1) * bands, bands, dtype=np.int32)),
-                            pa.array(np.ascontiguousarray(keys).view(np.int64).ravel()),
-                        ),
+                        _rows_of(np.ascontiguousarray(keys).view(np.int64)),
+                        _rows_of(set_bits(values, owner, n)),
                     ],
-                    names=["doc_id", "text_hash", "n_shingles", "set_a", "set_b", "bands"],
+                    names=["doc_id", "text_hash", "n_shingles", "set_a", "set_b", "bands", "bits"],
                 )
 
     return docs.mapInArrow(
         run,
-        "doc_id bigint, text_hash bigint, n_shingles bigint, set_a bigint, set_b bigint, bands array<bigint>",
+        "doc_id bigint, text_hash bigint, n_shingles bigint, set_a bigint, set_b bigint, "
+        "bands array<bigint>, bits array<bigint>",
     )
 
 
-def _shingles_of(texts: DataFrame, size: int) -> DataFrame:
-    """``id, shingle`` for the distinct shingles of ``id, text``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for begin in range(0, whole.num_rows, _BATCH):
-                batch = whole.slice(begin, _BATCH)
-                values, owner = shingle_sets(batch.column(1).to_pylist(), size)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(owner)), pa.array(values.view(np.int64))], names=["id", "shingle"]
-                )
-
-    return texts.mapInArrow(run, "id bigint, shingle bigint")
-
-
 def _similar(texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs ``a, b`` of ``a, b, text_a, text_b`` whose full sets are similar enough."""
 
@@ -188,23 +188,10 @@ def near_duplicates(
         both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
         return _similar(both.select("a", "b", "text_a", "text_b"), size, percent)
 
-    def common(ids: DataFrame) -> DataFrame:
-        ids = materialize(ids, "ids")
-        runs = _shingles_of(texts_of(ids), size)
-        once = (
-            runs.groupBy("shingle")
-            .agg(F.count("*").alias("n"), F.min("id").alias("id"))
-            .where("n = 1")
-            .groupBy("id")
-            .agg(F.count("*").alias("own"))
-        )
-        return (
-            classes.join(lookup(ids), "id")
-            .join(once, "id", "left")
-            .select("id", F.col("n_shingles").alias("size"), F.expr("n_shingles - coalesce(own, 0) as common"))
-        )
-
-    groups = link_groups(members, confirm, Overlap(common, percent))
+    bits = has_set.join(classes, [*of_set, "doc_id", "text_hash"]).select(
+        "id", F.col("n_shingles").alias("size"), *[F.get("bits", F.lit(i)).alias(f"bits{i}") for i in range(WORDS)]
+    )
+    groups = link_groups(members, confirm, SetFilter(bits.dropDuplicates(["id"]), percent))
     named = classes.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("_smallest"))
     named = materialize(named.join(smallest, "component").select(*of_set, "_smallest"), "named")
