@@ -332,3 +332,28 @@ def test_fingerprints_of_odd_tables(spark):
     assert len(rows) == 5
     assert fingerprints.with_edits(docs.limit(0)).collect() == []
     assert len(fingerprints.with_edits(documents(spark, ["only one"])).collect()) == 1
+
+
+def test_fingerprints_of_short_texts(spark):
+    """What short texts share is seen exactly, however much longer the other text is."""
+    rng = random.Random(9)
+    texts = [" ".join(f"w{rng.randint(0, 10**6)}" for _ in range(n)) for n in (12, 25, 25, 50, 50, 400, 12, 30)]
+    texts[5] = texts[5] + " " + texts[4]  # holds the text with the next lower id as a whole
+    got = {r["doc_id"]: r for r in fingerprints.with_edits(documents(spark, texts)).collect()}
+
+    def shingles(text):
+        words = WORD.findall(text)
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+    def shared(a, b):
+        a, b = shingles(a), shingles(b)
+        return len(a & b) / min(len(a), len(b))
+
+    for i, text in enumerate(texts):
+        after = texts[(i - 1) % len(texts)]
+        cut = len(text) // 3
+        edited = text[: len(text) - cut] + after[:cut]
+        assert shared(text, edited) > 0.2
+        assert got[i]["near_edited"] == pytest.approx(shared(text, edited))
+        assert got[i]["near_next"] == pytest.approx(shared(text, after))
+    assert got[5]["near_next"] == 1
