@@ -7,9 +7,9 @@ logistic unit scores the window. Windows overlap by half and cover the whole tex
 text's score is that of its worst window.
 
 Training and scoring are numpy. Training uses a bounded sample of labelled rows on the
-driver; the labels are of whole texts, so every pass trains on the windows that score
-highest: in a toxic text the one most likely to be the reason, in a clean text the worst
-mistakes. Scoring runs in tasks over Arrow batches.
+driver; the labels are of whole texts, so every pass scores all their windows and trains
+on those that score highest: in a toxic text the one most likely to be the reason, in a
+clean text the worst mistakes. Scoring runs in tasks over Arrow batches.
 """
 
 from __future__ import annotations
@@ -29,7 +29,6 @@ WORD_ROWS, CHAR_ROWS = 1 << 13, 1 << 14
 WORD_DIM, CHAR_DIM, HIDDEN = 8, 16, 8
 INPUT = WORD_DIM + CHAR_DIM
 SAMPLE = 3_000  # labelled texts that a model is trained on, at most
-TEXT_WINDOWS = 60  # windows of a text that a pass looks at in training, spread evenly
 EPOCHS = 10
 _BATCH = 256
 _CACHE = 200_000
@@ -214,12 +213,6 @@ def train(texts: list[bytes | None], labels: np.ndarray, epochs: int = EPOCHS, r
     net = Network()
     ids, ends, vocabulary = tokenize(texts)
     first, size, owner = _windows(ends)
-    # A long text stands for evenly spread windows in training; scoring reads them all.
-    rank = np.arange(len(owner)) - np.searchsorted(owner, owner)
-    many = np.bincount(owner, minlength=len(texts))[owner]
-    chosen = (rank * TEXT_WINDOWS) // np.maximum(many, 1) != ((rank - 1) * TEXT_WINDOWS) // np.maximum(many, 1)
-    keep = (many <= TEXT_WINDOWS) | chosen
-    first, size, owner = first[keep], size[keep], owner[keep]
     if not len(owner) or len(np.unique(labels)) < 2:
         return net
     rows = np.array([_word_row(w) for w in vocabulary])

@@ -150,6 +150,24 @@ def test_every_window_counts():
     assert np.allclose([scorer([t])[0] for t in texts], together[:4], atol=1e-5)
 
 
+def test_training_reads_all_of_long_texts(monkeypatch):
+    """Every pass looks for the highest window among all windows, up to the last word."""
+    rng = random.Random(12)
+    texts = [prose(rng, n).encode() for n in (5, 3000, 900, 7001, 0, 40)]
+    seen, score = [], toxicity._score
+
+    def spy(net, given, first, size, ids):
+        seen.append(np.zeros(len(ids), int))
+        for begin, n in zip(first, size):
+            seen[-1][begin : begin + n] += 1
+        return score(net, given, first, size, ids)
+
+    monkeypatch.setattr(toxicity, "_score", spy)
+    toxicity.train(texts, np.array([0, 1, 0, 1, 0, 1], np.float32), epochs=2)
+    assert len(seen) == 2
+    assert all(len(n) == 5 + 3000 + 900 + 7001 + 40 and (n > 0).all() for n in seen)
+
+
 def test_toxicity_without_labels(spark):
     docs = documents(spark, ["a b", None])
     none = spark.createDataFrame([], "doc_id bigint, toxic int")
