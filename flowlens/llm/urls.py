@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.llm.words import ascii_lower
+from flowlens.session import discard, materialize
 
 BLOCK, ALLOW = "block", "allow"
-_LABEL = "label="  # no URL token begins like this
 
 SUPPORT, CONFIDENCE, LEAST = 0.002, 0.6, 10
 
@@ -42,38 +41,93 @@ def fitting_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
 
 
 def tokens(url: Column) -> Column:
-    """At most nine distinct tokens of a URL: scheme, host and its parts, first two
-    folders, ending, whether it has a query or a fragment."""
+    """All distinct tokens of a URL: scheme; host, every domain it is under and every
+    label before the last; every folder with and without its place, the file name and
+    its ending; whether it has a query or a fragment, and every query key with and
+    without its value. With its place, a folder with a digit is ``#``."""
     host, path = host_and_path(url)
-    parts = F.split(host, r"\.")
-    folders = F.filter(F.split(path, "/"), lambda p: p != "")
+    parts = F.filter(F.split(host, r"\."), lambda p: p != "")
+    names = F.filter(F.split(path, "/"), lambda p: p != "")
+    folders = F.filter(F.slice(F.split(path, "/"), 1, F.size(F.split(path, "/")) - 1), lambda p: p != "")
     ending = F.regexp_extract(path, r"\.([A-Za-z0-9]{1,5})$", 1)
-
-    def folder(i: int) -> Column:
-        name = F.get(folders, F.lit(i))
-        return F.when(name.rlike("[0-9]"), "#").otherwise(F.substring(name, 1, 32))
+    query = F.regexp_extract(F.coalesce(url, F.lit("")), r"^[^?#]*\?([^#]*)", 1)
+    pairs = F.filter(F.split(query, "[&;]"), lambda p: p != "")
 
     def token(name: str, value: Column) -> Column:
         return F.when(value != "", F.concat(F.lit(name + "="), value))
 
-    return F.array_distinct(
-        F.array_compact(
-            F.array(
-                token("scheme", ascii_lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^([A-Za-z]+)://", 1))),
-                token("host", host),
-                token("top", F.element_at(parts, -1)),
-                token("site", F.concat_ws(".", F.slice(parts, F.greatest(F.size(parts) - 1, F.lit(1)), 2))),
-                token("sub", F.when(F.size(parts) > 2, F.get(parts, F.lit(0)))),
-                token("folder1", folder(0)),
-                token("folder2", folder(1)),
-                token("ending", ascii_lower(ending)),
-                token(
-                    "rest",
-                    F.when(F.instr(url, "?") > 0, "query").when(F.instr(url, "#") > 0, "fragment"),
-                ),
-            )
-        )
+    def placed(name: Column, i: Column) -> Column:
+        plain = F.when(name.rlike("[0-9]"), "#").otherwise(name)
+        return F.concat(F.lit("folder"), (i + 1).cast("string"), F.lit("="), plain)
+
+    one = F.array(
+        token("scheme", ascii_lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^([A-Za-z]+)://", 1))),
+        token("host", host),
+        token("file", F.element_at(F.split(path, "/"), -1)),
+        token("ending", ascii_lower(ending)),
+        token(
+            "rest",
+            F.when(F.instr(url, "?") > 0, "query").when(F.instr(url, "#") > 0, "fragment"),
+        ),
+    )
+    many = F.concat(
+        F.transform(parts, lambda p, i: token("under", F.array_join(F.slice(parts, i + 1, F.size(parts)), "."))),
+        F.transform(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: token("part", p)),
+        F.transform(names, placed),
+        F.transform(folders, lambda p: token("folder", p)),
+        F.transform(pairs, lambda p: token("key", F.substring_index(p, "=", 1))),
+        F.transform(F.filter(pairs, lambda p: F.instr(p, "=") > 0), lambda p: token("arg", p)),
     )
+    return F.array_distinct(F.array_compact(F.concat(one, many)))
+
+
+def _frequent_sets(baskets: DataFrame, single: DataFrame, need: float):
+    """Token sets of every size, ``tokens, block, allow``, from those of one token on.
+
+    A set is counted if all sets with one token less are in ``need`` URLs of a label, are
+    in more URLs than it, and have both labels: any other is dominated by a smaller one.
+    """
+    level, size = single, 1
+    held = baskets.select(
+        "block", "allow", F.posexplode("items").alias("at", "token"), "items"
+    ).select("block", "allow", F.array("token").alias("tokens"), F.expr("slice(items, at + 2, size(items))").alias("rest"))
+    used = []
+    while True:
+        yield level
+        size += 1
+        grown = held.select(
+            "block", "allow", "tokens", F.posexplode("rest").alias("at", "token"), "rest"
+        ).select(
+            "block", "allow", F.array_append("tokens", F.col("token")).alias("tokens"),
+            F.expr("slice(rest, at + 2, size(rest))").alias("rest"),
+        )
+        counted = grown.groupBy("tokens").agg(F.sum("block").alias("block"), F.sum("allow").alias("allow"))
+        counted = counted.where(F.greatest("block", "allow") >= need)
+        smaller = level.where("block > 0 and allow > 0").select(
+            F.col("tokens").alias("part"), (F.col("block") + F.col("allow")).alias("n")
+        )
+        parts = F.transform(F.col("tokens"), lambda t: F.array_except(F.col("tokens"), F.array(t)))
+        fits = (
+            counted.withColumn("part", F.explode(parts))
+            .join(smaller, "part")
+            .where(F.col("n") > F.col("block") + F.col("allow"))
+            .groupBy("tokens")
+            .agg(F.max("block").alias("block"), F.max("allow").alias("allow"), F.count("*").alias("parts"))
+            .where(F.col("parts") == size)
+            .drop("parts")
+        )
+        level = materialize(fits, "sets")
+        if level.isEmpty():
+            discard(level)
+            break
+        before = held
+        still = level.where("block > 0 and allow > 0").select("tokens")
+        held = materialize(grown.where(F.size("rest") > 0).join(still, "tokens", "left_semi"), "held")
+        used.append(held)
+        if len(used) > 1:
+            discard(before)
+    if used:
+        discard(used[-1])
 
 
 def mine_rules(
@@ -86,46 +140,58 @@ def mine_rules(
     counted. A rule holds for at least the share ``support`` of the labelled URLs, and
     for ``least`` of them, and is right for the share ``confidence`` of those that have its tokens. Rules to allow
     must also be right more often than allowing everything. A rule is dropped when
-    another with fewer of its tokens has the same verdict and is as sure. A URL has at
-    most nine tokens and a label, so there are at most 2^10 / support token sets.
+    another with fewer of its tokens has the same verdict and is as sure. Token sets grow
+    by one token at a time; support and what smaller sets say bound them, not their size.
     """
     rows = labelled.select(tokens(F.col(url)).alias("tokens"), F.col(label).alias("label"))
     rows = rows.where(F.col("label").isin(BLOCK, ALLOW) & (F.size("tokens") > 0)).select(
-        F.array_append("tokens", F.concat(F.lit(_LABEL), F.col("label"))).alias("items")
+        "tokens", (F.col("label") == BLOCK).cast("bigint").alias("block"), (F.col("label") == ALLOW).cast("bigint").alias("allow"),
     )
     schema = "tokens array<string>, verdict string, support double, confidence double"
-    total = rows.count()
+    rows = materialize(rows, "labelled")
+    total, blocked = rows.agg(F.count("*"), F.coalesce(F.sum("block"), F.lit(0))).first()
     if not total:
         return labelled.sparkSession.createDataFrame([], schema)
-    found = FPGrowth(itemsCol="items", minSupport=min(1.0, max(support, least / total))).fit(rows).freqItemsets
-    sets = found.select(
-        F.filter("items", lambda t: ~t.startswith(_LABEL)).alias("tokens"),
-        F.get(
-            F.transform(F.filter("items", lambda t: t.startswith(_LABEL)), lambda t: F.substr(t, F.lit(len(_LABEL) + 1))),
-            F.lit(0),
-        ).alias("verdict"),
-        "freq",
-    ).select(F.array_sort("tokens").alias("tokens"), "verdict", "freq")
-    whole = sets.where("verdict is null").select("tokens", F.col("freq").alias("all"))
-    rules = (
-        sets.where("verdict is not null and size(tokens) > 0")
-        .join(whole, "tokens")
-        .select(
-            "tokens",
-            "verdict",
-            (F.col("freq") / total).alias("support"),
-            (F.col("freq") / F.col("all")).alias("confidence"),
-        )
-    )
-    shares = sets.where("size(tokens) = 0 and verdict is not null").select(
-        "verdict", (F.col("freq") / total).alias("share")
+    need = min(total, max(support * total, least))
+    single = (
+        rows.select(F.explode("tokens").alias("token"), "block", "allow")
+        .groupBy(F.array("token").alias("tokens"))
+        .agg(F.sum("block").alias("block"), F.sum("allow").alias("allow"))
+        .where((F.greatest("block", "allow") >= need) & (F.col("block") + F.col("allow") < total))
     )
-    rules = (
-        rules.join(F.broadcast(shares), "verdict")
-        .where((F.col("confidence") >= confidence) & (F.col("confidence") > F.col("share")))
-        .drop("share")
+    single = materialize(single, "sets")
+    open_tokens = single.where("block > 0 and allow > 0").select(F.get("tokens", F.lit(0)).alias("token"))
+    baskets = (
+        rows.withColumn("id", F.monotonically_increasing_id())
+        .select("id", "block", "allow", F.explode("tokens").alias("token"))
+        .join(F.broadcast(open_tokens), "token")
+        .groupBy("id", "block", "allow")
+        .agg(F.sort_array(F.collect_list("token")).alias("items"))
+        .groupBy("items")
+        .agg(F.sum("block").alias("block"), F.sum("allow").alias("allow"))
     )
-    # Rules are few (see above); each looks up those that share one of its tokens.
+    baskets = materialize(baskets, "baskets")
+    levels = list(_frequent_sets(baskets, single, need))
+    discard(baskets)
+    discard(rows)
+    sets = levels[0]
+    for level in levels[1:]:
+        sets = sets.unionByName(level)
+    share = {BLOCK: blocked / total, ALLOW: (total - blocked) / total}
+    each = [
+        sets.where(F.col(v) >= need).select(
+            F.array_sort("tokens").alias("tokens"),
+            F.lit(v).alias("verdict"),
+            (F.col(v) / total).alias("support"),
+            (F.col(v) / (F.col("block") + F.col("allow"))).alias("confidence"),
+        ).where((F.col("confidence") >= confidence) & (F.col("confidence") > share[v]))
+        for v in (BLOCK, ALLOW)
+    ]
+    # Stored, so that the levels' plans are not repeated in what follows.
+    rules = materialize(each[0].unionByName(each[1]), "rules")
+    for level in levels:
+        discard(level)
+    # Each rule looks up those that share one of its tokens.
     smaller = rules.select(
         F.col("tokens").alias("t2"), F.col("verdict").alias("v2"), F.col("confidence").alias("c2"),
         F.explode("tokens").alias("token"),
@@ -142,9 +208,12 @@ def mine_rules(
         .select("tokens", "verdict")
         .distinct()
     )
-    return rules.join(dominated, ["tokens", "verdict"], "left_anti").select(
+    kept = rules.join(dominated, ["tokens", "verdict"], "left_anti").select(
         "tokens", "verdict", "support", "confidence"
     )
+    stored = materialize(kept, "rules")
+    discard(rules)
+    return stored
 
 
 def match_rules(urls: DataFrame, rules: DataFrame, token_col: str) -> DataFrame:

@@ -190,6 +190,32 @@ def test_urls(spark):
     assert urls.judge(pages.limit(0), labelled).collect() == []
 
 
+def test_url_rules_from_any_place(spark):
+    """A middle label, a deep folder, a long or numbered one, a file and a query argument."""
+    rng = random.Random(3)
+    long = "x" * 40
+    bad = {
+        "part=ads-track": "http://{0}.ads-track.example.com/en/{0}",
+        "folder=deep7": f"http://h.example.org/a/b/c/deep7/{{0}}",
+        f"folder={long}1": f"http://h.example.org/{long}1/{{0}}",
+        "file=win.php": "http://h{0}.example.net/p/q/r/win.php",
+        "arg=mode=evil": "http://h.example.net/s/{0}?page=2&mode=evil#x",
+    }
+    good = [
+        "http://{0}.shop.example.com/en/{0}", "http://h.example.org/a/b/c/deep8/{0}", f"http://h.example.org/{long}2/{{0}}",
+        "http://h{0}.example.net/p/q/r/ok.php", "http://h.example.net/s/{0}?page=2&mode=good#x",
+    ]
+    train = [(u.format(f"k{i}"), "block") for u in bad.values() for i in range(20)]
+    train += [(u.format(f"k{i}"), "allow") for u in good for i in range(20)]
+    labelled = spark.createDataFrame(train, "url string, label string")
+    pages = [(u.format("new"), "block") for u in bad.values()] + [(u.format("new"), "allow") for u in good]
+    rows = spark.createDataFrame(pages, "url string, wanted string")
+    mined = {tuple(r["tokens"]) for r in urls.mine_rules(labelled, "url", "label").where("verdict = 'block'").collect()}
+    assert {(t,) for t in bad} <= mined
+    judged = urls.judge(rows, labelled, rules=()).select("url", "wanted", "verdict").collect()
+    assert [r for r in judged if r["wanted"] != r["verdict"]] == []
+
+
 def plain_targets(sizes, weights=(3, 1, 2), share=1.5, most=2):
     names = sorted(sizes, key=lambda s: (s is None, [ord(c) for c in s or ""]))
     weight = {s: weights[i % 3] for i, s in enumerate(names)}
