@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlens.llm import (
+    audit,
     fingerprints,
     language,
     lines,
@@ -109,6 +110,12 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.summary(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op13_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters keep and remove in every order, by source."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return audit.audit(docs, table(spark, sf_dir, "labels")).drop("filter")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -122,6 +129,7 @@ QUERIES = {
         op8_pieces,
         op9_fingerprints,
         op10_lines,
+        op13_audit,
     )
 }
 
@@ -178,6 +186,41 @@ _NEAR_SQL = f"""
     FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN comp ON comp.id = w.doc_id
 """
 
+_AUDIT_SQL = f"""
+    WITH docs AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+                         {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
+    firsts AS (SELECT t, min(doc_id) AS least FROM docs GROUP BY t),
+    said AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good,
+                    max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+    masks AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+                     (CASE WHEN len(ws) < 50 THEN 1 ELSE 0 END)
+                     | (CASE WHEN 100 * len(list_distinct(ws)) < 65 * len(ws) THEN 2 ELSE 0 END)
+                     | (CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) THEN 4 ELSE 0 END)
+                     | (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END)
+                     | (CASE WHEN doc_id > least THEN 16 ELSE 0 END) AS mask
+              FROM docs JOIN firsts USING (t) LEFT JOIN said USING (doc_id)),
+    sums AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM masks GROUP BY part, mask),
+    l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+    orders AS (SELECT a.c || b.c || c.c || d.c || e.c AS filter_order
+               FROM l AS a, l AS b, l AS c, l AS d, l AS e
+               WHERE len(list_distinct([a.c, b.c, c.c, d.c, e.c])) = 5),
+    steps AS (SELECT filter_order, step, 1 << (ascii(filter_order[step]) - 65) AS bit,
+                     list_sum(list_transform(range(1, step), lambda i: 1 << (ascii(filter_order[i]) - 65)))::BIGINT AS done
+              FROM orders, range(1, 6) AS r(step)),
+    every AS (SELECT part, filter_order, step, bit,
+                     sum(CASE WHEN mask & (coalesce(done, 0) | bit) = 0 THEN n ELSE 0 END) AS kept,
+                     sum(CASE WHEN mask & bit <> 0 AND mask & coalesce(done, 0) = 0 THEN n ELSE 0 END) AS removed,
+                     sum(CASE WHEN mask & bit <> 0 AND mask & coalesce(done, 0) <> 0 THEN n ELSE 0 END) AS redundant,
+                     sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+                     sum(CASE WHEN mask & bit <> 0 AND mask & coalesce(done, 0) = 0 THEN good ELSE 0 END) AS good_lost,
+                     sum(CASE WHEN mask & bit <> 0 AND mask & coalesce(done, 0) = 0 THEN toxic ELSE 0 END) AS toxic_lost
+              FROM sums, steps GROUP BY part, filter_order, step, bit)
+    SELECT part, filter_order, step::INTEGER AS step, kept::BIGINT AS kept, removed::BIGINT AS removed,
+           redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost,
+           toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+    FROM every
+"""
+
 #: The others train a model, hash in a way SQL does not offer, or encode; tests compare
 #: them with brute force.
-ORACLES = {"op6_mix": _MIX_SQL, "op7_minhash": _NEAR_SQL}
+ORACLES = {"op6_mix": _MIX_SQL, "op7_minhash": _NEAR_SQL, "op13_audit": _AUDIT_SQL}
