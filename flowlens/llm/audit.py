@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from flowlens.llm.hot import join_groups
 from flowlens.llm.words import words
 from flowlens.session import discard, materialize, scratch_path
 
@@ -26,9 +27,6 @@ from flowlens.session import discard, materialize, scratch_path
 LETTERS = "ABCDE"
 REPEAT = "E"
 
-HOT_SHARE = 1000  # a text that more than one row in so many has is hot: fewer than so many are
-HOT_ROWS = 10_000  # and no text of fewer rows is
-
 
 @dataclass
 class Failing:
@@ -77,22 +75,15 @@ def flag_rows(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sourc
 def flag_repeats(rows: DataFrame) -> DataFrame:
     """``rows`` with E: a row of a smaller document id has the same text.
 
-    Null ids come after all others, and rows of one id do not repeat each other. Texts
-    that very many rows have are fewer than ``HOT_SHARE`` and go to the rows; the rows of
-    others meet their text's smallest id by a shuffle.
+    Null ids come after all others, and rows of one id do not repeat each other.
     """
-    texts = materialize(
-        rows.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1"),
-        "repeated",
-    )
-    shared = texts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    limit = max(HOT_ROWS, shared // HOT_SHARE)
+    texts = rows.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1")
     later = F.col("least").isNotNull() & F.coalesce(F.col("doc_id") > F.col("least"), F.lit(True))
-    hot = F.broadcast(texts.where(F.col("n") > limit).drop("n"))
-    rest = texts.where(F.col("n") <= limit).drop("n")
-    among = rows.join(hot, "digest").withColumn(REPEAT, later)
-    others = rows.join(hot, "digest", "left_anti").join(rest, "digest", "left").withColumn(REPEAT, later)
-    return among.unionByName(others).drop("digest", "least")
+    return (
+        join_groups(rows, texts, "digest", "n", "left")
+        .withColumn(REPEAT, later)
+        .drop("digest", "least", "n")
+    )
 
 
 def with_labels(rows: DataFrame, labels: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from flowlens.llm import (
     audit,
+    exact,
     fingerprints,
     language,
     lines,
@@ -15,6 +16,7 @@ from flowlens.llm import (
     mixing,
     pieces,
     quality,
+    repair,
     secrets,
     toxicity,
     urls,
@@ -110,6 +112,18 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.summary(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheapest repair of every conversation after damage."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return repair.repair(repair.damage(rows), copies=F.col("copies"))
+
+
+def op12_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of equal texts of every document, and the row of it that stays."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return exact.find(docs).select("doc.doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
 def op13_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What five filters keep and remove in every order, by source."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
@@ -129,6 +143,8 @@ QUERIES = {
         op8_pieces,
         op9_fingerprints,
         op10_lines,
+        op11_repair,
+        op12_exact,
         op13_audit,
     )
 }
@@ -186,6 +202,96 @@ _NEAR_SQL = f"""
     FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN comp ON comp.id = w.doc_id
 """
 
+
+
+def _repair_sql() -> str:
+    """Cheapest edits row by row: the best cost, audit and text for each last role so far
+    (none, system, user, assistant), structs compared field by field."""
+    none = "NULL::STRUCT(c BIGINT, a VARCHAR, r VARCHAR)"
+
+    def add(state: str, cost: str, letter: str, *lines: str) -> str:
+        text = f"{state}.r"
+        for line in lines:
+            text = f"{text} || CASE WHEN {text} = '' THEN '' ELSE chr(10) END || {line}"
+        return (
+            f"CASE WHEN {state} IS NULL THEN {none} ELSE "
+            f"struct_pack(c := {state}.c + {cost}, a := {state}.a || '{letter}', r := {text}) END"
+        )
+
+    def least(*states: str) -> str:
+        return f"list_aggregate([{', '.join(states)}], 'min')"
+
+    u, a = "'user:'", "'assistant:'"
+    kept, rerole = "(role || ':' || text)", "({} || text)"
+
+    def row(before: str, initial: str, line: str) -> str:
+        return least(
+            f"CASE WHEN NOT gone AND initial = '{initial}' THEN {add(before, 'cut', 'K', kept)} END",
+            f"CASE WHEN NOT gone THEN {add(before, '2 + cut', 'R', rerole.format(line))} END",
+        )
+
+    return f"""
+    WITH RECURSIVE kinds AS (
+        SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+               xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(
+                       coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''),
+                       lambda x: ascii(x)::BIGINT)),
+                   lambda h, b: list_reduce(list_prepend(xor(h, b), range(8)),
+                       lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 20 AS kind
+        FROM conversations),
+    convs AS (SELECT DISTINCT conv_id FROM kinds),
+    damaged AS (
+        SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+               CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+               unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy
+        FROM kinds WHERE kind <> 0),
+    placed AS (
+        SELECT *, regexp_replace(text, '[\\x20\\x09-\\x0D]+$', '') AS ended,
+               row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS place
+        FROM damaged),
+    seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY place) > 1 AS again FROM placed),
+    rows_ AS (
+        SELECT conv_id, place, turn, role, text, left(role, 1) AS initial, ended = '' OR again AS gone,
+               CASE WHEN ended = '' THEN 1 WHEN again THEN 2 WHEN right(ended, 1) NOT IN ('.', '!', '?') THEN 3 END AS fault,
+               CASE WHEN right(ended, 1) NOT IN ('.', '!', '?') THEN 1 ELSE 0 END AS cut,
+               lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY place) || left(role, 1) AS pair
+        FROM seen),
+    walk AS (
+        SELECT conv_id, 0::BIGINT AS place, struct_pack(c := 0::BIGINT, a := '', r := '') AS n,
+               {none} AS s, {none} AS u, {none} AS a FROM convs
+        UNION ALL
+        SELECT conv_id, place, {add('n', '3', 'D')}, {least(add('s', '3', 'D'),
+                   f"CASE WHEN NOT gone AND initial = 's' THEN {add('n', 'cut', 'K', kept)} END")},
+               {least(add('u', '3', 'D'), row('nsa', 'u', u))}, {least(add('a', '3', 'D'), row('u', 'a', a))}
+        FROM (SELECT *, {least('n', 's', 'a')} AS nsa
+              FROM (SELECT w.conv_id, r.place, role, text, initial, gone, cut, n, s,
+                           {least('w.u', add('n', '2', 'I', u), add('s', '2', 'I', u), add('w.a', '2', 'I', u))} AS u,
+                           {least('w.a', add('w.u', '2', 'I', a), add('n', '4', 'II', u, a), add('s', '4', 'II', u, a))} AS a
+                    FROM walk AS w JOIN rows_ AS r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.place = w.place + 1))),
+    ends AS (
+        SELECT conv_id, {least('n', add('s', '4', 'II', u, a), add('u', '2', 'I', a), 'a')} AS best,
+               row_number() OVER (PARTITION BY conv_id ORDER BY place DESC) AS back FROM walk),
+    sums AS (
+        SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+               count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate,
+               count(*) FILTER (fault = 3) AS truncated,
+               count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM rows_ GROUP BY conv_id)
+    SELECT e.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank,
+           coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+           coalesce(illegal, 0)::BIGINT AS illegal, best.c AS cost, best.a AS audit,
+           sha256(best.r) AS repaired_sha256
+    FROM ends AS e LEFT JOIN sums AS t ON e.conv_id IS NOT DISTINCT FROM t.conv_id WHERE back = 1
+    """
+
+
+_EXACT_SQL = r"""
+    WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n_chars,
+                      regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t FROM documents)
+    SELECT doc_id, first(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+           row_number() OVER w = 1 AS kept, sha256(t) AS text_sha256
+    FROM d WINDOW w AS (PARTITION BY t ORDER BY n_chars DESC, doc_id)
+"""
+
 _AUDIT_SQL = f"""
     WITH docs AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
                          {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
@@ -223,4 +329,4 @@ _AUDIT_SQL = f"""
 
 #: The others train a model, hash in a way SQL does not offer, or encode; tests compare
 #: them with brute force.
-ORACLES = {"op6_mix": _MIX_SQL, "op7_minhash": _NEAR_SQL, "op13_audit": _AUDIT_SQL}
+ORACLES = {"op6_mix": _MIX_SQL, "op7_minhash": _NEAR_SQL, "op11_repair": _repair_sql(), "op12_exact": _EXACT_SQL, "op13_audit": _AUDIT_SQL}

@@ -9,7 +9,7 @@ from itertools import permutations
 
 import pytest
 
-from flowlens.llm import audit
+from flowlens.llm import audit, hot
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id bigint, text string, source string, id int, part string, digest string, done int, good string"
@@ -90,10 +90,10 @@ def found(spark, rows, labels):
     return sorted(tuple(r) for r in audit.audit(docs, said).select(*COLUMNS).collect())
 
 
-@pytest.mark.parametrize("hot", [audit.HOT_ROWS, 20])
-def test_every_order(spark, monkeypatch, hot):
+@pytest.mark.parametrize("rows_of_hot", [hot.ROWS, 20])
+def test_every_order(spark, monkeypatch, rows_of_hot):
     """Also with texts of more than 20 rows taken for hot ones."""
-    monkeypatch.setattr(audit, "HOT_ROWS", hot)
+    monkeypatch.setattr(hot, "ROWS", rows_of_hot)
     rows, labels = corpus()
     assert found(spark, rows, labels) == expected(rows, labels)
 
