@@ -17,6 +17,7 @@ LINK_RAW_IP = (12, 14, 101, 228, 229)
 ETHER_IPV4 = 0x0800
 ETHER_ARP = 0x0806
 ETHER_VLAN = 0x8100
+ETHER_PROVIDER_VLAN = 0x88A8
 ETHER_IPV6 = 0x86DD
 PROTO_ICMP = 1
 PROTO_TCP = 6
@@ -24,26 +25,55 @@ PROTO_UDP = 17
 ICMP_ERRORS = (3, 4, 5, 11, 12)
 ICMP_ECHOES = (0, 8)
 TCP_FLAGS = "FSRPAUEC"
-
-# Link, network, ICMP and quoted headers together are at most 166 bytes long.
+ETHER_TAGS = (ETHER_VLAN, ETHER_PROVIDER_VLAN)
+EXT_HOPS = 0
+EXT_ROUTING = 43
+EXT_FRAGMENT = 44
+EXT_AUTHENTICATION = 51
+EXT_DESTINATION = 60
+EXTENSIONS = (EXT_HOPS, EXT_ROUTING, EXT_FRAGMENT, EXT_AUTHENTICATION, EXT_DESTINATION)
+
+# Link with two tags, network, ICMP and quoted headers together are at most 170 bytes long.
 HEADER_BYTES = 192
 
 
-def header_bytes(frame: Column) -> Column:
+def header_bytes(frame: Column, count) -> Column:
     """The leading bytes of a frame as ``array<int>``."""
-    text = F.decode(F.substring(frame, 1, HEADER_BYTES), "ISO-8859-1")
+    text = F.decode(F.substring(frame, F.lit(1), count), "ISO-8859-1")
     return F.transform(F.split(text, ""), lambda c: F.ascii(c))
 
 
+def is_deep() -> str:
+    """Whether headers may go on behind ``HEADER_BYTES``: behind a third tag, or in an IPv6
+    packet with extension headers. Looks at a few bytes of ``frame`` alone."""
+
+    def code(at, length: int) -> str:
+        return f"hex(substring(frame, {at} + 1, {length}))"
+
+    def among(at, length: int, values: tuple[int, ...]) -> str:
+        texts = ", ".join(f"'{v:0{2 * length}X}'" for v in values)
+        return f"{code(at, length)} in ({texts})"
+
+    tags = [among(12 + 4 * k, 2, ETHER_TAGS) for k in range(3)]
+    net = (
+        f"case when linktype <> {LINK_ETHERNET} then 0 when not {tags[0]} then 14 "
+        f"when not {tags[1]} then 18 else 22 end"
+    )
+    extended = (
+        f"exists(array({net}), n -> substring({code('n', 1)}, 1, 1) = '6' and {among('n + 6', 1, EXTENSIONS)})"
+    )
+    return f"linktype = {LINK_ETHERNET} and {' and '.join(tags)} or {extended}"
+
+
 # --- pieces of SQL: a number or text at byte ``i`` behind the offset ``at`` ------------------
 
 
-def u8(at, i: int = 0) -> str:
+def u8(at, i: int | str = 0) -> str:
     return f"get(_b, cast({at} + {i} as int))"
 
 
-def u16(at, i: int = 0) -> str:
-    return f"({u8(at, i)} * 256 + {u8(at, i + 1)})"
+def u16(at, i: int | str = 0) -> str:
+    return f"({u8(at, i)} * 256 + {u8(at, f'{i} + 1')})"
 
 
 def u32(at, i: int = 0) -> str:
@@ -117,10 +147,25 @@ def dot3() -> str:
     return layer("802.3", dst=mac(0, 0), src=mac(0, 6), len=u16(0, 12))
 
 
-def vlan(at) -> str:
+def is_tag(k) -> str:
+    """Whether the k-th tag, from 0 on, is there in full."""
+    return f"({u16(12, f'4 * {k}')} in {ETHER_TAGS} and size >= 18 + 4 * {k})"
+
+
+def tag_count() -> str:
+    """Tags in a row behind the addresses; a third one starts a walk over the frame."""
+    walk = (
+        "aggregate(sequence(3, greatest(3, (size - 14) div 4)), 3, "
+        f"(n, k) -> if(n = k and {is_tag('k')}, n + 1, n))"
+    )
+    cases = " ".join(f"when not {is_tag(k)} then {k}" for k in range(3))
+    return f"case {cases} else {walk} end"
+
+
+def vlan(at, name: str = "802.1Q") -> str:
     tag = u16(at)
     return layer(
-        "802.1Q",
+        name,
         prio=high_bits(tag, 13),
         id=low_bits(high_bits(tag, 12), 1),
         vlan=low_bits(tag, 12),
@@ -128,6 +173,71 @@ def vlan(at) -> str:
     )
 
 
+_LAYERS = "array<struct<name:string,fields:map<string,string>>>"
+
+
+def tags(count: str) -> str:
+    """The layers of so many tags; the type before a tag tells its kind."""
+    at = "(14 + 4 * k)"
+    one = f"if({u16(at, -2)} = {ETHER_PROVIDER_VLAN}, {vlan(at, '802_1AD')}, {vlan(at)})"
+    return f"if({count} > 0, transform(sequence(0, {count} - 1), k -> {one}), cast(array() as {_LAYERS}))"
+
+
+def _extension(at: str) -> str:
+    """The layer of the extension header of type ``s.nh`` at an offset."""
+    size = extension_size(at)
+    common = {"nh": u8(at), "len": u8(at, 1)}
+
+    def options(name: str) -> str:
+        return layer(f"IPv6 Extension Header - {name} Options Header", (f"({at} + 2)", f"({size} - 2)"), **common)
+
+    routing = layer(
+        "IPv6 Option Header Routing", **common, type=u8(at, 2), segleft=u8(at, 3),
+        reserved=u32(at, 4), addresses=piece(at, 8, f"{size} - 8"),
+    )
+    fragment = layer(
+        "IPv6 Extension Header - Fragmentation header", nh=u8(at), res1=u8(at, 1),
+        offset=high_bits(u16(at, 2), 3), res2=low_bits(high_bits(u8(at, 3), 1), 2), m=low_bits(u8(at, 3), 1),
+        id=u32(at, 4),
+    )
+    authentication = layer(
+        "AH", nh=u8(at), payloadlen=u8(at, 1), reserved=u16(at, 2), spi=u32(at, 4), seq=u32(at, 8),
+        icv=piece(at, 12, f"{size} - 12"),
+    )
+    return (
+        f"case s.nh when {EXT_HOPS} then {options('Hop-by-Hop')} when {EXT_DESTINATION} then {options('Destination')} "
+        f"when {EXT_ROUTING} then {routing} when {EXT_FRAGMENT} then {fragment} else {authentication} end"
+    )
+
+
+def extension_size(at: str) -> str:
+    return (
+        f"(case s.nh when {EXT_FRAGMENT} then 8 when {EXT_AUTHENTICATION} then ({u8(at, 1)} + 2) * 4 "
+        f"else ({u8(at, 1)} + 1) * 8 end)"
+    )
+
+
+def extensions(start: str, first: str, end: str) -> str:
+    """What is behind an IPv6 header: ``at``, where the extension headers end, ``nh``, what
+    follows them, and their ``layers``.
+
+    A fold over the type of the next header, which ends at the first one that is no
+    extension or not all there. A later fragment holds no header, its ``nh`` is -1.
+    """
+    size = extension_size("s.at")
+    later = f"s.nh = {EXT_FRAGMENT} and {high_bits(u16('s.at', 2), 3)} > 0"
+    step = (
+        f"if(s.nh in {EXTENSIONS} and s.at + 8 <= {end} and s.at + {size} <= {end}, "
+        f"struct(cast(s.at + {size} as int) as at, if({later}, -1, {u8('s.at')}) as nh, "
+        f"concat(s.layers, array({_extension('s.at')})) as layers), s)"
+    )
+    none = f"struct(cast({start} as int) as at, cast({first} as int) as nh, cast(array() as {_LAYERS}) as layers)"
+    return (
+        f"if({first} in {EXTENSIONS}, "
+        f"aggregate(sequence(1, greatest(1, ({end} - {start}) div 8)), {none}, (s, k) -> {step}), {none})"
+    )
+
+
 def arp(at) -> str:
     return layer(
         "ARP",

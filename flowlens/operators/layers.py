@@ -27,7 +27,9 @@ def dissect(frames: DataFrame) -> DataFrame:
     """Replace ``frame`` by ``layers``: an array of ``(idx, name, fields)``.
 
     Everything is an expression over the bytes of the frame. Offsets are computed
-    first, in steps, so that each header is decoded at a plain column offset. Bytes
+    first, in steps, so that each header is decoded at a plain column offset. Tags and
+    IPv6 extension headers are followed to any depth; only frames that have more of
+    them than usual are looked at beyond their first bytes. Bytes
     that no known header covers, or that are cut off, become the layer ``Raw``; bytes
     behind the IP length become ``Padding``. Layers keep their position, so a header
     inside an ICMP error does not hide the outer one.
@@ -39,7 +41,8 @@ def dissect(frames: DataFrame) -> DataFrame:
         return f"{at} + greatest({words} * 4, {least})"
 
     d = frames.withColumn("size", F.length("frame"))
-    d = d.select("*", F.inline(F.array(F.struct(P.header_bytes(F.col("frame")).alias("_b")))))
+    count = F.expr(f"if({_is(P.is_deep())}, size, {P.HEADER_BYTES})")
+    d = d.select("*", F.inline(F.array(F.struct(P.header_bytes(F.col("frame"), count).alias("_b")))))
     d = _step(
         d,
         _type=f"if(linktype = {P.LINK_ETHERNET} and size >= 14, {P.u16(0, 12)}, null)",
@@ -48,13 +51,13 @@ def dissect(frames: DataFrame) -> DataFrame:
     d = _step(
         d,
         _dot3=_is("_type <= 1500"),
-        _vlan=_is(f"_type = {P.ETHER_VLAN} and size >= 18"),
+        _tags=f"if({_is(f'_type in {P.ETHER_TAGS}')}, {P.tag_count()}, 0)",
     )
     # Start of the network header and what it is.
     d = _step(
         d,
-        _net="case when _vlan then 18 when _type is not null then 14 else 0 end",
-        _inner=f"case when _vlan then {P.u16(0, 16)} when _version = 4 then {P.ETHER_IPV4} "
+        _net="if(_type is not null, 14 + 4 * _tags, 0)",
+        _inner=f"case when _tags > 0 then {P.u16(12, '4 * _tags')} when _version = 4 then {P.ETHER_IPV4} "
         f"when _version = 6 then {P.ETHER_IPV6} else _type end",
     )
     d = _step(
@@ -70,10 +73,13 @@ def dissect(frames: DataFrame) -> DataFrame:
         f"then least(size, _net + {P.u16('_net', 2)}) "
         f"when _ip6 then least(size, _net + 40 + {P.u16('_net', 4)}) "
         "when _arp then _net + 28 else size end",
+    )
+    d = _step(d, _ext=f"if(_ip6, {P.extensions('_net + 40', P.u8('_net', 6), '_end')}, null)")
+    d = _step(
+        d,
         _l4=f"case when _ip then {header_end('_net', P.low_bits(P.u8('_net'), 4), 20)} "
-        "when _ip6 then _net + 40 when _arp then _net + 28 else _net end",
-        _proto=f"case when _ip and {fragment} = 0 then {P.u8('_net', 9)} "
-        f"when _ip6 then {P.u8('_net', 6)} end",
+        "when _ip6 then _ext.at when _arp then _net + 28 else _net end",
+        _proto=f"case when _ip and {fragment} = 0 then {P.u8('_net', 9)} when _ip6 then _ext.nh end",
     )
     d = _step(
         d,
@@ -107,7 +113,6 @@ def dissect(frames: DataFrame) -> DataFrame:
     )
     slots = [
         f"case when _dot3 then {P.dot3()} when _type is not null then {P.ethernet()} end",
-        f"case when _vlan then {P.vlan(14)} end",
         f"case when _ip then {P.ip('_net')} when _ip6 then {P.ip6('_net')} "
         f"when _arp then {P.arp('_net')} end",
         f"case when _tcp then {P.tcp('_l4')} when _udp then {P.udp('_l4')} "
@@ -121,9 +126,14 @@ def dissect(frames: DataFrame) -> DataFrame:
         f"case when greatest(_raw, _end) < size "
         f"then {P.rest('Padding', 'greatest(_raw, _end)', 'size')} end",
     ]
+    link, net, *others = slots
+    parts = [
+        f"array({link})", P.tags("_tags"), f"array({net})",
+        "if(_ip6, _ext.layers, array())", f"array({', '.join(others)})",
+    ]
     d = _step(
         d,
-        layers=f"transform(filter(array({', '.join(slots)}), s -> s is not null), "
+        layers=f"transform(filter(concat({', '.join(parts)}), s -> s is not null), "
         "(s, i) -> struct(i as idx, s.name as name, s.fields as fields))",
     )
     return d.select(*[c for c in frames.columns if c != "frame"], "size", "layers")

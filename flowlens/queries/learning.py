@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -13,12 +15,12 @@ from flowlens.functions.split import in_holdout
 from flowlens.functions.vectors import active_indices, as_doubles
 from flowlens.operators.leaderboard import leaderboard, params_key
 from flowlens.operators.scale import MinMax
-from flowlens.plans import experiment, models
+from flowlens.plans import experiment, models, trees
 from flowlens.plans.prepare import encoding_stages, fit_features, prepared
 from flowlens.queries import r, table
 from flowlens.queries.traffic import CONNECTION_SQL, connection_columns, connections
 from flowlens.schema import FEATURES, FEATURES_14, FEATURES_16, ROLES
-from flowlens.session import scratch_path, spread
+from flowlens.session import materialize, scratch_path, spread
 from flowlens.sources.models import load_model, save_model
 from flowlens.sources.tables import read_connections, write_typed_csv
 
@@ -291,6 +293,192 @@ def model_forest_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Whole trees: SQL grows them level by level over all cuts of all features, then takes out
+# splits whose leaves agree, as the learner does.
+_TREE_LABEL = (
+    "(l_quantity * (round(l_discount * 100) + l_linenumber) + (l_orderkey * 7919 + l_linenumber * 104729) % 40) % 120 > 60"
+)
+_TREE_KEYS = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+_TREE_DEPTH = 5
+_TREE_SEED = 100
+
+
+def _drawn_sql(tree: str, keys: tuple[str, ...]) -> str:
+    at = f"('0x' || substr(md5(({_TREE_SEED} + {tree}) || ':' || {" || ':' || ".join(keys)}), 1, 8))::BIGINT"
+    over = " + ".join(f"CASE WHEN {at} >= {math.floor(c * (1 << 32))} THEN 1 ELSE 0 END" for c in trees._DRAWN)
+    return f"({over})"
+
+
+def _trees_sql(count: int, weight: str) -> str:
+    """CTEs: ``rows_`` with features x0 to x2, ``nodes`` of all trees, ``kept`` after taking out."""
+    xs = range(len(_SPLIT_FEATURES))
+    values = ", ".join(f"{c}::DOUBLE AS x{i}" for i, c in enumerate(_SPLIT_FEATURES))
+    pick = " ".join(f"WHEN {i} THEN x{i}" for i in xs)
+    steps = [
+        f"""rows_ AS (SELECT {', '.join(_TREE_KEYS)}, {values}, ({_TREE_LABEL})::INTEGER::DOUBLE AS y FROM lineitem),
+        following AS ({" UNION ALL ".join(
+            f"SELECT {i} AS f, v, lead(v) OVER (ORDER BY v) AS above FROM (SELECT DISTINCT x{i} AS v FROM rows_)"
+            for i in xs)}),
+        cells0 AS MATERIALIZED (
+          SELECT tree, 1::BIGINT AS node, x0, x1, x2, sum(w) AS n, sum(w * y) AS s
+          FROM (SELECT *, ({weight})::DOUBLE AS w FROM rows_, range({count}) AS r(tree)) WHERE w > 0
+          GROUP BY tree, x0, x1, x2)"""
+    ]
+    for d in range(_TREE_DEPTH):
+        steps.append(
+            f"""whole{d} AS (SELECT tree, node, sum(n) AS n, sum(s) AS s FROM cells{d} GROUP BY tree, node),
+            sides{d} AS (
+              SELECT tree, node, f, v, sum(sum(n)) OVER k AS nl, sum(sum(s)) OVER k AS sl
+              FROM ({" UNION ALL ".join(f"SELECT tree, node, {i} AS f, x{i} AS v, n, s FROM cells{d}" for i in xs)})
+              GROUP BY tree, node, f, v WINDOW k AS (PARTITION BY tree, node, f ORDER BY v)),
+            gains{d} AS (
+              SELECT tree, node, f, v, n, s,
+                     2 * (s / n) * (1 - s / n) - 2 * (sl * (1 - sl / nl) + (s - sl) * (1 - (s - sl) / (n - nl))) / n AS gain
+              FROM sides{d} JOIN whole{d} USING (tree, node) WHERE nl < n AND s > 0 AND s < n),
+            best{d} AS MATERIALIZED (
+              SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tree, node ORDER BY gain DESC, f, v) AS place FROM gains{d})
+              JOIN following USING (f, v) WHERE place = 1 AND gain > 1e-12),
+            cells{d + 1} AS MATERIALIZED (
+              SELECT tree, node * 2 + (CASE f {pick} END > v)::INTEGER AS node, x0, x1, x2, c.n, c.s
+              FROM cells{d} AS c JOIN best{d} USING (tree, node))"""
+        )
+    last = _TREE_DEPTH
+    steps.append(
+        f"""whole{last} AS (SELECT tree, node, sum(n) AS n, sum(s) AS s FROM cells{last} GROUP BY tree, node),
+        grown{last} AS (SELECT *, NULL::INTEGER AS f, NULL::DOUBLE AS cut, NULL::DOUBLE AS gain FROM whole{last})"""
+    )
+    # A split stays if a side is split itself or its sides predict different classes.
+    for d in reversed(range(last)):
+        steps.append(
+            f"""stays{d} AS (
+              SELECT tree, node // 2 AS node FROM grown{d + 1} GROUP BY tree, node // 2
+              HAVING bool_or(f IS NOT NULL) OR count(DISTINCT s > n - s) = 2),
+            grown{d} AS (
+              SELECT w.tree, w.node, w.n, w.s, CASE WHEN k.node IS NOT NULL THEN b.f END AS f,
+                     CASE WHEN k.node IS NOT NULL THEN (b.v + b.above) / 2 END AS cut,
+                     CASE WHEN k.node IS NOT NULL THEN b.gain END AS gain
+              FROM whole{d} AS w LEFT JOIN best{d} AS b USING (tree, node) LEFT JOIN stays{d} AS k USING (tree, node))"""
+        )
+    every = " UNION ALL ".join(f"SELECT * FROM grown{d}" for d in range(last + 1))
+    # Nodes below a split that was taken out go too.
+    steps.append(
+        f"""every AS MATERIALIZED ({every}),
+        kept AS MATERIALIZED (
+          SELECT e.* FROM every AS e LEFT JOIN every AS p ON p.tree = e.tree AND p.node = e.node // 2
+          WHERE e.node = 1 OR p.f IS NOT NULL)"""
+    )
+    return "WITH " + ",\n".join(steps)
+
+
+_NODES_SQL = """
+    SELECT tree::INTEGER AS tree, node, f AS feature, round(cut, 6) AS cut, round(n, 6) AS n, round(s, 6) AS positives,
+           round(2 * (s / n) * (1 - s / n), 6) AS impurity, round(gain, 6) AS gain,
+           CASE WHEN s > n - s THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS prediction
+    FROM kept
+"""
+
+
+def _descend_sql(count: int) -> str:
+    """Leaf of each row in each tree."""
+    pick = " ".join(f"WHEN {i} THEN x{i}" for i in range(len(_SPLIT_FEATURES)))
+    out = f"down0 AS (SELECT {', '.join(_TREE_KEYS)}, x0, x1, x2, tree, 1::BIGINT AS node FROM rows_, range({count}) AS r(tree))"
+    for d in range(_TREE_DEPTH):
+        out += f""", down{d + 1} AS (
+          SELECT {', '.join(f'q.{k}' for k in _TREE_KEYS)}, x0, x1, x2, q.tree,
+                 CASE WHEN k.f IS NULL THEN q.node ELSE q.node * 2 + (CASE k.f {pick} END > k.cut)::INTEGER END AS node
+          FROM down{d} AS q LEFT JOIN kept AS k ON k.tree = q.tree AND k.node = q.node)"""
+    return f", {out}"
+
+
+def _tree_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = _spread_items(spark, sf_dir).select(
+        *_TREE_KEYS, "l_quantity", "l_discount", F.expr(_TREE_LABEL).cast("double").alias("label")
+    )
+    rows = VectorAssembler(inputCols=_SPLIT_FEATURES, outputCol="features").transform(items)
+    return rows.select(*_TREE_KEYS, "features", "label")
+
+
+def _one_tree(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    fitted = models.estimator("DTree", maxDepth=_TREE_DEPTH, maxBins=64).fit(rows)
+    return materialize(trees.node_table(spark, fitted), "nodes")
+
+
+def _bagged(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    fitted = trees.fit_bagged(rows, list(_TREE_KEYS), 10, _TREE_SEED, maxDepth=_TREE_DEPTH, maxBins=64)
+    return materialize(trees.node_table(spark, fitted), "nodes")
+
+
+def _held(nodes: DataFrame, counts: DataFrame) -> DataFrame:
+    """Nodes with what a count of the rows in them says, not what the learner noted."""
+    own = counts.select("tree", "node", "n", "positives", F.col("impurity").alias("own"))
+    return nodes.join(own, ["tree", "node"]).select(
+        "tree", "node", "feature", r("cut", "cut"), r("n", "n"), r("positives", "positives"), r("own", "impurity"),
+        r("gain", "gain"), "prediction",
+    )
+
+
+@query(_trees_sql(1, "1") + _NODES_SQL)
+def tree_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree of five levels, each node with the rows that reach it."""
+    rows = _tree_rows(spark, sf_dir)
+    nodes = _one_tree(spark, rows)
+    return _held(nodes, trees.node_counts(rows, nodes))
+
+
+@query(
+    _trees_sql(1, "1")
+    + _descend_sql(1)
+    + f"""
+    SELECT {', '.join(f'd.{k}' for k in _TREE_KEYS)}, d.node, round(k.s / k.n, 6) AS probability,
+           CASE WHEN k.s > k.n - k.s THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS prediction
+    FROM down{_TREE_DEPTH} AS d JOIN kept AS k USING (tree, node)
+    """
+)
+def tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leaf of every row and what it says, by joins with the nodes."""
+    rows = _tree_rows(spark, sf_dir)
+    nodes = _one_tree(spark, rows)
+    placed = trees.place_rows(rows.select(*_TREE_KEYS, "features"), nodes)
+    weights = F.col("class_weights")
+    share = F.get(weights, F.lit(1)) / (F.get(weights, F.lit(0)) + F.get(weights, F.lit(1)))
+    return placed.join(nodes.where("feature is null"), ["tree", "node"]).select(
+        *_TREE_KEYS, "node", r(share, "probability"), "prediction"
+    )
+
+
+@query(_trees_sql(10, _drawn_sql("tree", _TREE_KEYS)) + _NODES_SQL)
+def forest_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten trees on samples drawn by a hash, each node with the drawn rows that reach it."""
+    rows = materialize(_tree_rows(spark, sf_dir), "tree-rows")
+    nodes = _bagged(spark, rows)
+    drawn = F.element_at(
+        F.array(*[trees.drawn_times(_TREE_SEED + j, *[F.col(k) for k in _TREE_KEYS]) for j in range(10)]),
+        F.col("tree") + 1,
+    )
+    return _held(nodes, trees.node_counts(rows, nodes, weight=drawn))
+
+
+@query(
+    _trees_sql(10, _drawn_sql("tree", _TREE_KEYS))
+    + _descend_sql(10)
+    + f"""
+    , mean AS (SELECT {', '.join(_TREE_KEYS)}, x0, x1, x2, avg(k.s / k.n) AS p, count(*) AS n
+               FROM down{_TREE_DEPTH} AS d JOIN kept AS k USING (tree, node) GROUP BY ALL)
+    SELECT {', '.join(_TREE_KEYS)}, round(p, 6) AS probability, n AS trees,
+           CASE WHEN round(p, 9) > 0.5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS prediction
+    FROM mean
+    """
+)
+def forest_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean of ten trees for every row."""
+    rows = materialize(_tree_rows(spark, sf_dir), "tree-rows")
+    scored = trees.score_rows(rows, _bagged(spark, rows), *_TREE_KEYS)
+    return scored.select(
+        *_TREE_KEYS, r("probability", "probability"), "trees",
+        (F.round("probability", 9) > 0.5).cast("double").alias("prediction"),
+    )
+
+
 @query(
     f"""
     WITH t AS (SELECT l_orderkey, l_linenumber, ({_SHARE_LABEL})::INTEGER AS y FROM lineitem)

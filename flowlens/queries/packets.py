@@ -8,7 +8,13 @@ from pyspark.sql import functions as F
 from flowlens.functions import packets as P
 from flowlens.operators import layers as D
 from flowlens.operators.ragged import union_ragged as append_ragged
-from flowlens.queries.traffic import RECORDS_PER_FILE, event_frames, write_event_captures
+from flowlens.queries.traffic import (
+    FORMATS,
+    RECORDS_PER_FILE,
+    deep_frames,
+    event_frames,
+    write_event_captures,
+)
 from flowlens.session import scratch_path
 from flowlens.sources.captures import read_capture
 from flowlens.streaming.packets import packet_lines, stream_capture, write_stream
@@ -211,6 +217,82 @@ def packet_time_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_HOPS = "IPv6 Extension Header - Hop-by-Hop Options Header"
+_DESTINATION = "IPv6 Extension Header - Destination Options Header"
+_FRAGMENT = "IPv6 Extension Header - Fragmentation header"
+_DEEP = f"""
+    WITH chains(event_type, chain) AS (VALUES
+      ('view', 'Ethernet / 802_1AD / 802.1Q / 802.1Q / IPv6 / {_HOPS} / {_DESTINATION} / IPv6 Option Header Routing / AH / UDP / Raw'),
+      ('click', 'Ethernet / IPv6 / {_FRAGMENT} / Raw'),
+      ('signup', 'Ethernet' || repeat(' / 802.1Q', 48) || ' / ARP'),
+      ('purchase', 'Ethernet / 802.1Q / 802.1Q / IPv6 / {_FRAGMENT} / TCP'),
+      ('error', 'Ethernet / IPv6 / Raw')),
+    f AS (SELECT *, event_id % 40 AS w FROM events JOIN chains USING (event_type))
+"""
+
+
+@query(
+    _DEEP
+    + """
+    SELECT event_id, chain,
+           (CASE event_type WHEN 'view' THEN 14 + 12 + 40 + w * 8 + 76 WHEN 'click' THEN 14 + 40 + 12
+                WHEN 'signup' THEN 14 + 48 * 4 + 28 WHEN 'purchase' THEN 14 + 8 + 40 + 28
+                ELSE 14 + 40 + 8 END)::INTEGER AS size,
+           CASE event_type WHEN 'view' THEN (1024 + user_id % 60000)::VARCHAR WHEN 'purchase' THEN '443' END AS sport,
+           CASE event_type WHEN 'view' THEN 'deadbeef' WHEN 'click' THEN 'deadbeef'
+                WHEN 'error' THEN '1108000000000001' END AS load,
+           CASE event_type WHEN 'signup' THEN '10.' || (user_id >> 16) % 256 || '.' || (user_id >> 8) % 256 || '.'
+                || user_id % 256 END AS pdst
+    FROM f
+    """
+)
+def layer_chain_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    layers = F.col("layers")
+    ports = [P.layer_field(layers, name, "sport") for name in ("UDP", "TCP")]
+    return D.dissect(deep_frames(spark, sf_dir)).select(
+        F.col("idx").alias("event_id"),
+        F.array_join(P.layer_chain(layers), " / ").alias("chain"),
+        "size",
+        F.coalesce(*ports).alias("sport"),
+        P.layer_field(layers, "Raw", "load").alias("load"),
+        P.layer_field(layers, "ARP", "pdst").alias("pdst"),
+    )
+
+
+@query(
+    _DEEP
+    + f"""
+    , l AS (SELECT event_id, event_type, user_id, w, unnest(string_split(chain, ' / ')) AS name,
+                   unnest(range(len(string_split(chain, ' / '))))::INTEGER AS layer FROM f)
+    SELECT event_id, layer, name,
+      CASE name WHEN '802_1AD' THEN (user_id % 4096)::VARCHAR
+        WHEN '802.1Q' THEN CASE event_type WHEN 'view' THEN layer::VARCHAR WHEN 'purchase' THEN layer::VARCHAR
+          ELSE CASE WHEN layer = 48 THEN '8' ELSE '7' END END END AS vlan,
+      CASE name WHEN 'IPv6' THEN CASE event_type WHEN 'view' THEN '0' WHEN 'error' THEN '51' ELSE '44' END
+        WHEN '{_HOPS}' THEN '60' WHEN '{_DESTINATION}' THEN '43' WHEN 'IPv6 Option Header Routing' THEN '51'
+        WHEN 'AH' THEN '17' WHEN '{_FRAGMENT}' THEN CASE event_type WHEN 'click' THEN '17' ELSE '6' END END AS nh,
+      CASE name WHEN '{_HOPS}' THEN repeat('01', (w * 8 + 6)::INTEGER) WHEN '{_DESTINATION}' THEN '010400000000' END AS options,
+      CASE name WHEN '{_FRAGMENT}' THEN CASE event_type WHEN 'click' THEN '23' ELSE '0' END END AS "offset",
+      CASE name WHEN '{_FRAGMENT}' THEN (event_id % 4294967296)::VARCHAR END AS id,
+      CASE name WHEN 'AH' THEN (event_id % 4294967296)::VARCHAR END AS spi,
+      CASE name WHEN 'AH' THEN repeat('cd', 12) END AS icv,
+      CASE name WHEN 'IPv6 Option Header Routing' THEN repeat('ab', 16) END AS addresses
+    FROM l WHERE name NOT IN ('Ethernet', 'Raw', 'ARP', 'UDP', 'TCP')
+    """
+)
+def layer_rows_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = D.layer_rows(D.dissect(deep_frames(spark, sf_dir)))
+    names = ("vlan", "nh", "options", "offset", "spi", "icv", "addresses")
+    fragment = F.when(F.col("name") == _FRAGMENT, F.try_element_at("fields", F.lit("id")))
+    return rows.where(~F.col("name").isin("Ethernet", "Raw", "ARP", "UDP", "TCP")).select(
+        F.col("idx").alias("event_id"),
+        "layer",
+        "name",
+        *[F.try_element_at("fields", F.lit(c)).alias(c) for c in names],
+        fragment.alias("id"),
+    )
+
+
 # --- capture files and the stream ---------------------------------------------------------------
 
 _IN_FILES = (
@@ -241,7 +323,7 @@ def _captures(spark: SparkSession, sf_dir: str) -> str:
 )
 def capture_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Splits far below the file size, so that the ranges of large files are exercised.
-    frames = read_capture(spark, _captures(spark, sf_dir), split_bytes=20_000)
+    frames = read_capture(spark, _captures(spark, sf_dir), split_bytes=20_000, tasks=16)
     return frames.select(
         F.element_at(F.split("file", "/"), -1).alias("file"),
         "idx",
@@ -253,6 +335,32 @@ def capture_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    _FACTS
+    + f"""
+    SELECT 'capture-' || lpad((event_id // {RECORDS_PER_FILE})::VARCHAR, 8, '0') || '.'
+             || (['pcap', 'pcapng', 'pcap.gz', 'pcapng.gz'])[(event_id // {RECORDS_PER_FILE}) % 4 + 1] AS file,
+           row_number() OVER (PARTITION BY event_id // {RECORDS_PER_FILE} ORDER BY event_id) - 1 AS idx,
+           epoch_us(ts) AS us, size::INTEGER AS caplen, size::INTEGER AS len, 1 AS linktype,
+           right(event_hex, 6) AS mac_end
+    FROM facts
+    """
+)
+def capture_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classic and next-generation captures, plain and packed, with two clocks."""
+    path = scratch_path(spark, "capture-formats")
+    write_event_captures(spark, sf_dir, path, FORMATS)
+    return read_capture(spark, path, split_bytes=60_000, tasks=16).select(
+        F.element_at(F.split("file", "/"), -1).alias("file"),
+        "idx",
+        F.unix_micros("ts").alias("us"),
+        "caplen",
+        "len",
+        "linktype",
+        F.lower(F.hex(F.substring("frame", 10, 3))).alias("mac_end"),
+    )
+
+
 def _streamed(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
     lines = packet_lines(
         stream_capture(spark, _captures(spark, sf_dir), files_per_trigger=50, **options)

@@ -98,33 +98,69 @@ def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _write_capture(path: str):
+#: Formats that captures are written in, by turns.
+FORMATS = ("pcap", "pcapng", "pcap.gz", "pcapng.gz")
+
+
+def _block(kind: int, body: bytes) -> bytes:
+    body += bytes(-len(body) % 4)
+    size = struct.pack("<I", len(body) + 12)
+    return struct.pack("<I", kind) + size + body + size
+
+
+def _classic_bytes(frames: pd.DataFrame):
+    yield struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 1 << 16, 1)
+    for us, frame in zip(frames["us"], frames["frame"]):
+        yield struct.pack("<IIII", us // 1_000_000, us % 1_000_000, len(frame), len(frame)) + frame
+
+
+def _next_generation_bytes(frames: pd.DataFrame):
+    """Frames by turns on an interface that counts microseconds and on one that counts
+    nanoseconds from a later start; the second one comes in the middle of the file."""
+    yield _block(0x0A0D0D0A, struct.pack("<IHHq", 0x1A2B3C4D, 1, 0, -1))
+    yield _block(1, struct.pack("<HHI", 1, 0, 1 << 16))
+    for number, (us, frame) in enumerate(zip(frames["us"], frames["frame"])):
+        if number == 1:
+            options = struct.pack("<HHB3xHHqHH", 9, 1, 9, 14, 8, 1000, 0, 0)
+            yield _block(4, bytes(4)) + _block(1, struct.pack("<HHI", 1, 0, 1 << 16) + options)
+        ticks = (us - 1_000_000_000) * 1000 if number % 2 else us
+        head = struct.pack("<IIIII", number % 2, ticks >> 32, ticks & 0xFFFFFFFF, len(frame), len(frame))
+        yield _block(6, head + frame)
+
+
+def _write_capture(path: str, formats: tuple[str, ...]):
     """Writer of one bounded group of frames as a capture file."""
 
     def write(frames: pd.DataFrame) -> pd.DataFrame:
+        import gzip
+
         from pyarrow import fs
 
         frames = frames.sort_values("idx")
-        name = f"capture-{int(frames['part'].iloc[0]):08d}.pcap"
+        part = int(frames["part"].iloc[0])
+        form = formats[part % len(formats)]
+        name = f"capture-{part:08d}.{form}"
         target = f"{path.removeprefix('file:')}/{name}"
         if "://" in path:
             filesystem, inner = fs.FileSystem.from_uri(target.replace("s3a://", "s3://", 1))
         else:
             filesystem, inner = fs.LocalFileSystem(), target
         filesystem.create_dir(inner.rsplit("/", 1)[0], recursive=True)
-        with filesystem.open_output_stream(inner) as out:
-            out.write(struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 1 << 16, 1))
-            for us, frame in zip(frames["us"], frames["frame"]):
-                out.write(
-                    struct.pack("<IIII", us // 1_000_000, us % 1_000_000, len(frame), len(frame))
-                )
-                out.write(frame)
+        written = (_next_generation_bytes if "pcapng" in form else _classic_bytes)(frames)
+        with filesystem.open_output_stream(inner, compression=None) as out:
+            if not form.endswith(".gz"):
+                for piece in written:
+                    out.write(piece)
+            else:
+                with gzip.GzipFile(fileobj=out, mode="wb", compresslevel=1) as packed:
+                    for piece in written:
+                        packed.write(piece)
         return pd.DataFrame({"file": [name], "records": [len(frames)]})
 
     return write
 
 
-def write_event_captures(spark: SparkSession, sf_dir: str, path: str) -> int:
+def write_event_captures(spark: SparkSession, sf_dir: str, path: str, formats=("pcap",)) -> int:
     """Rotated capture files of at most ``RECORDS_PER_FILE`` frames; returns their number."""
     frames = event_frames(spark, sf_dir).select(
         F.floor(F.col("idx") / RECORDS_PER_FILE).alias("part"),
@@ -133,11 +169,72 @@ def write_event_captures(spark: SparkSession, sf_dir: str, path: str) -> int:
         "frame",
     )
     written = frames.groupBy("part").applyInPandas(
-        _write_capture(path), "file string, records bigint"
+        _write_capture(path, tuple(formats)), "file string, records bigint"
     )
     return written.count()
 
 
+def deep_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One frame per event with many tags or extension headers.
+
+    view: three tags, then IPv6 with four extension headers, options of up to 320 bytes
+    among them, and UDP; click: a later fragment of an IPv6 packet; signup: so many tags
+    that ARP begins behind the 200th byte; purchase: a first fragment with TCP in two tags;
+    error: IPv6 with an authentication header that is cut off.
+    """
+    kind, user, event = F.col("event_type"), F.col("user_id"), F.col("event_id")
+    macs = F.concat(F.lit("02"), _hex(user, 10), F.lit("06"), _hex(event, 10))
+    words = event % 40
+
+    def ip6(next_header: str, size: Column) -> Column:
+        return F.concat(
+            F.lit("60000000"), _hex(size, 4), F.lit(next_header + "40"),
+            F.lit("20010DB8" "00000000" "00000000"), _hex(user % (1 << 32), 8),
+            F.lit("FE80" + "0000" * 5), _hex(event % (1 << 32), 8),
+        )
+
+    udp = F.concat(_hex(1024 + user % 60000, 4), F.lit("0035" "000C" "0000" "DEADBEEF"))
+    tcp = F.concat(F.lit("01BB"), _hex(event % (1 << 16), 4), F.lit("0000000100000002" "5010" "2000" "00000000"))
+    hops = F.concat(F.lit("3C"), _hex(words, 2), F.repeat(F.lit("01"), (words * 8 + 6).cast("int")))
+    destination = F.lit("2B00" "010400000000")
+    routing = F.concat(F.lit("3302" "0000" "00000000"), F.repeat(F.lit("AB"), 16))
+    authentication = F.concat(F.lit("1104" "0000"), _hex(event % (1 << 32), 8), F.lit("00000007" + "CD" * 12))
+    many = F.repeat(F.lit("00078100"), 47)
+    body = (
+        F.when(
+            kind == "view",
+            F.concat(
+                F.lit("88A8"), _hex(user % 4096, 4), F.lit("8100" "2002" "8100" "4003" "86DD"),
+                ip6("00", words * 8 + 8 + 8 + 24 + 24 + 12), hops, destination, routing, authentication, udp,
+            ),
+        )
+        .when(
+            kind == "click",
+            F.concat(F.lit("86DD"), ip6("2C", F.lit(12)), F.lit("1100" "00B9"), _hex(event % (1 << 32), 8), F.lit("DEADBEEF")),
+        )
+        .when(
+            kind == "signup",
+            F.concat(
+                F.lit("8100"), many, F.lit("0008" "0806" "0001" "0800" "0604" "0002" "060000000001" "0A000001" "000000000000"),
+                F.lit("0A"), _hex(user % (1 << 24), 6),
+            ),
+        )
+        .when(
+            kind == "purchase",
+            F.concat(
+                F.lit("8100" "0001" "8100" "0002" "86DD"), ip6("2C", F.lit(28)), F.lit("0600" "0001"),
+                _hex(event % (1 << 32), 8), tcp,
+            ),
+        )
+        .otherwise(F.concat(F.lit("86DD"), ip6("33", F.lit(8)), F.lit("1108" "0000" "00000001")))
+    )
+    frame = F.unhex(F.concat(macs, body))
+    return spread(table(spark, sf_dir, "events"), "event_id").select(
+        F.lit("events").alias("file"), F.col("event_id").alias("idx"), F.col("ts").cast("timestamp").alias("ts"),
+        F.lit(1).alias("linktype"), F.length(frame).alias("caplen"), F.length(frame).alias("len"), frame.alias("frame"),
+    )
+
+
 # --- line items as connection records --------------------------------------------------------
 
 # The derivation is plain arithmetic that Spark SQL and DuckDB both read.

@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from flowlens.functions import packets as P
 from flowlens.operators.layers import dissect
-from flowlens.sources.captures import frames_of
+from flowlens.sources.captures import PATTERN, frames_of
 
 _FILES = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -16,7 +16,7 @@ _FILES = "path string, modificationTime timestamp, length bigint, content binary
 def stream_capture(
     spark: SparkSession,
     path: str,
-    pattern: str = "*.pcap",
+    pattern: str = PATTERN,
     files_per_trigger: int | None = None,
     **options,
 ) -> DataFrame:

@@ -35,19 +35,80 @@ def found(df):
 
 
 @pytest.mark.parametrize("p", [1, 2, 3])
-@pytest.mark.parametrize("cells,block", [(None, None), (9, 16), (40, 7)])
-def test_equals_brute_force(spark, p, cells, block):
+@pytest.mark.parametrize(
+    "cells,block,route", [(None, None, None), (9, 16, None), (40, 7, None), (9, 16, "pivots"), (40, 7, "pivots")]
+)
+def test_equals_brute_force(spark, p, cells, block, route):
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(6, 4)) * 10
     train = centres[rng.integers(0, 6, 300)] + rng.normal(size=(300, 4))
     train[::3] = train[0]  # a third of the rows are copies of one point
     queries = np.vstack([train[:20], centres + 0.5, rng.normal(size=(5, 4)) * 40])
     got = knn_join(
-        points(spark, queries), points(spark, train), 5, p=p, cells=cells, block_rows=block
+        points(spark, queries), points(spark, train), 5, p=p, cells=cells, block_rows=block, route=route
     )
     assert found(got) == brute(queries, train, 5, p)
 
 
+def test_routes(spark):
+    df = points(spark, np.random.default_rng(2).normal(size=(200, 3)))
+    with pytest.raises(ValueError):
+        knn_join(df, df, 1, route="somehow")
+    same = [found(knn_join(df, df, 4, route=r, cells=8)) for r in ("plain", "boxes", "pivots")]
+    assert same[0] == same[1] == same[2]
+
+
+def clumps(dims, rng, rows=40_000, groups=60):
+    """Points around centres that are far apart against what they are spread."""
+    centres = rng.normal(size=(groups, dims)) * 10
+    return centres[rng.integers(0, groups, rows)] + rng.normal(size=(rows, dims)) * 0.5
+
+
+def test_what_a_sample_expects():
+    """Clumps in many dimensions are for bands or boxes, a cloud is for one plain pass."""
+    from flowlens.operators import knn
+
+    rng = np.random.default_rng(3)
+    clumped, cloud = clumps(64, rng, 3000), rng.normal(size=(3000, 64))
+
+    def shares(points):
+        train, queries = points[:2800], points[2800:]
+        pivots = knn.Space(knn._far_apart(train, knn.PIVOTS, 2))
+        return [knn.expected_share(train, queries, 2, 2, space) for space in (knn.Space(), pivots)]
+
+    assert min(shares(clumped)) < 0.2
+    assert min(shares(cloud)) > knn.WORTH
+
+
+@pytest.mark.parametrize("name", ["clumps", "cloud", "embeddings"])
+def test_share_of_pairs_in_many_dimensions(spark, name):
+    """In 64 dimensions either less than half of the pairs are compared, or all of them in
+    one pass, without cells, a first look, or anything stored."""
+    from oracle import TESTDATA
+
+    from flowlens.functions.vectors import as_doubles
+    from flowlens.operators import knn
+
+    rng = np.random.default_rng(4)
+    if name == "embeddings":
+        rows = spark.read.parquet(f"{TESTDATA}/sf0.01/embeddings.parquet")
+        t = rows.select(F.col("vec_id").alias("tid"), as_doubles(F.col("embedding")).alias("v"))
+    else:
+        data = clumps(64, rng, 4000) if name == "clumps" else rng.normal(size=(4000, 64))
+        t = points(spark, data).select(F.col("id").alias("tid"), F.col("features").alias("v"))
+    q = t.withColumnRenamed("tid", "qid")
+    space = knn.choose_space(t, q, t.count(), 5, 2)
+    if space is None:
+        print(f"{name}: one plain pass")
+        assert name != "clumps"
+        return
+    _, routed, counts = knn._searched_cells(q, t, 64, 5, 2, space)
+    need = [r["cells"] for r in routed.select("cells").collect()]
+    share = sum(counts[c].sum() for c in need) / len(need) / counts.sum()
+    print(f"{name}: {'boxes' if space.pivots is None else 'pivots'}, share of pairs {share:.3f}")
+    assert name != "cloud" and share < knn.WORTH
+
+
 def test_k_beyond_the_table(spark):
     train, queries = np.arange(6.0).reshape(3, 2), np.zeros((2, 2))
     got = knn_join(points(spark, queries), points(spark, train), 10, cells=2)

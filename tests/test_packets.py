@@ -78,6 +78,34 @@ CASES = {
     ),
     "ipv6": (eth(0x86DD, ipv6(17, udp(b"v6"))), "Ethernet IPv6 UDP Raw"),
     "vlan": (eth(0x8100, struct.pack(">HH", 0x2064, 0x0800) + ipv4(6, tcp())), "Ethernet 802.1Q IP TCP"),
+    "provider tag": (
+        eth(0x88A8, struct.pack(">HHHH", 5, 0x8100, 6, 0x0800) + ipv4(17, udp())), "Ethernet 802_1AD 802.1Q IP UDP",
+    ),
+    "many tags": (
+        eth(0x8100, struct.pack(">HH", 1, 0x8100) * 60 + struct.pack(">HH", 2, 0x86DD) + ipv6(17, udp(b"z"))),
+        "Ethernet " + "802.1Q " * 61 + "IPv6 UDP Raw",
+    ),
+    "cut tag": (eth(0x8100, struct.pack(">HHH", 1, 0x8100, 2)), "Ethernet 802.1Q Raw"),
+    "tags to the end": (eth(0x8100, struct.pack(">HH", 1, 0x8100) * 5), "Ethernet " + "802.1Q " * 4 + "802.1Q"),
+    "extensions": (
+        eth(0x86DD, ipv6(0, b"\x3c\1" + bytes(14) + b"\x2b\0" + bytes(6) + b"\x33\2" + bytes(22) + b"\6\4" + bytes(22) + tcp(b"q"))),
+        "Ethernet IPv6 IPv6 Extension Header - Hop-by-Hop Options Header "
+        "IPv6 Extension Header - Destination Options Header IPv6 Option Header Routing AH TCP Raw",
+    ),
+    "long extension": (
+        eth(0x86DD, ipv6(60, b"\x11\x60" + bytes(774) + udp(b"far"))),
+        "Ethernet IPv6 IPv6 Extension Header - Destination Options Header UDP Raw",
+    ),
+    "cut extension": (eth(0x86DD, ipv6(0, b"\x3c\0" + bytes(6) + b"\x11\5" + bytes(9))), "Ethernet IPv6 "
+        "IPv6 Extension Header - Hop-by-Hop Options Header Raw"),
+    "later fragment": (
+        eth(0x86DD, ipv6(44, b"\x11\0\0\x09\0\0\0\7" + udp())), "Ethernet IPv6 IPv6 Extension Header - Fragmentation header Raw",
+    ),
+    "first fragment": (
+        eth(0x86DD, ipv6(44, b"\x11\0\0\1\0\0\0\7" + udp())), "Ethernet IPv6 IPv6 Extension Header - Fragmentation header UDP",
+    ),
+    "no next header": (eth(0x86DD, ipv6(0, b"\x3b\0" + bytes(6) + b"rest")), "Ethernet IPv6 "
+        "IPv6 Extension Header - Hop-by-Hop Options Header Raw"),
     "fragment": (eth(0x0800, ipv4(6, tcp(b"tail"), fragment=100)), "Ethernet IP Raw"),
     "other protocol": (eth(0x0800, ipv4(47, b"gre")), "Ethernet IP Raw"),
     "unknown type": (eth(0x88CC, b"lldp"), "Ethernet Raw"),
@@ -123,6 +151,11 @@ def test_fields(packets):
     assert (six["src"], six["dst"], six["version"]) == ("2001:db8::1", "fe80::1:0:0:2", "6")
     tag = packets["vlan"][1]["fields"]
     assert (tag["prio"], tag["vlan"], tag["type"]) == ("1", "100", "2048")
+    assert [layer["fields"]["vlan"] for layer in packets["many tags"][1:62]] == ["1"] * 60 + ["2"]
+    assert packets["long extension"][3]["fields"]["dport"] == "53"
+    assert packets["long extension"][2]["fields"]["options"] == "00" * 774
+    part = packets["later fragment"][2]["fields"]
+    assert (part["offset"], part["m"], part["id"], part["nh"]) == ("1", "1", "7", "17")
     arp = packets["arp"][1]["fields"]
     assert (arp["op"], arp["psrc"], arp["pdst"]) == ("1", "10.0.0.1", "10.0.0.9")
     assert packets["echo"][2]["fields"] == {"type": "8", "code": "0", "chksum": "0", "id": "5", "seq": "6"}
