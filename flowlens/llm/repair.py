@@ -12,7 +12,7 @@ equal costs.
 No task needs a whole conversation's texts at once. Codes are cut into pieces of bounded
 length, and a piece is searched for every pair of roles before and after it; pieces of a
 long conversation are in many tasks. What joins them is a chain of sixteen costs a
-piece. Texts are then streamed through the edits in order.
+piece; a conversation of one piece needs one search. Texts are then streamed through the edits in order.
 """
 
 from __future__ import annotations
@@ -52,82 +52,91 @@ _ENDS = ((0, ""), (2 * INSERT, "II"), (INSERT, "I"), (0, ""))
 # Search
 
 
-def _bounds(codes: str, target: int) -> list[list[int]]:
-    """The least cost from every place and state to the end in state ``target``."""
-    after = [0 if q == target else FAR for q in STATES]
+def _bounds(codes: str, ends: list[int]) -> list[list[int]]:
+    """The least cost from every place and state to the end, which costs ``ends`` by state."""
+    after = ends
     bounds = [after]
     for code in reversed(codes):
         here = []
+        cut = CUT if code.isupper() else 0
+        keeps = _AFTER.get(code.lower(), {})
         for q in STATES:
             cost = DELETE + after[q]
             if code != GONE:
-                cut = CUT if code.isupper() else 0
-                kept = _AFTER.get(code.lower(), {}).get(q)
-                if kept is not None:
-                    cost = min(cost, KEEP + cut + after[kept])
                 cost = min(cost, REROLE + cut + after[_NEXT[q]])
+                if q in keeps:
+                    cost = min(cost, KEEP + cut + after[keeps[q]])
             here.append(cost)
         after = [min(here[q], INSERT + here[_NEXT[q]], 2 * INSERT + here[_NEXT[_NEXT[q]]]) for q in STATES]
         bounds.append(after)
-    return bounds[::-1]
+    bounds.reverse()
+    return bounds
 
 
-def search(codes: str, first: int, target: int, bounds: list[list[int]] | None = None) -> tuple[int, str] | None:
-    """The cheapest edits of all codes that lead from state ``first`` to ``target``, and
-    the least audit of these; none if there is no way. The last letter is a code's."""
-    bounds = bounds or _bounds(codes, target)
-    if bounds[0][first] >= FAR or not codes and first != target:
+def search(
+    codes: str, first: int, ends: tuple[tuple[int, str], ...] = _ENDS, bounds: list[list[int]] | None = None
+) -> tuple[int, str] | None:
+    """The cheapest edits of all codes from state ``first`` on, and the least audit of these;
+    none if there is no way. ``ends`` has the cost and the letters of ending in each state."""
+    bounds = bounds or _bounds(codes, [cost for cost, _ in ends])
+    if bounds[0][first] >= FAR or not codes and ends[first][0] >= FAR:
         return None
     best: tuple[int, str] | None = None
-    reached: dict[tuple[int, int], tuple[int, str]] = {}
-    stack = [(0, first, 0, "")]
+    reached: dict[int, tuple[int, str]] = {}
+    stack = [(bounds[0][first], "", 0, first, 0)]
     while stack:
-        place, state, cost, audit = stack.pop()
-        least = cost + bounds[place][state]
-        if least >= FAR or best and (
-            least > best[0] or least == best[0] and audit > best[1][: len(audit)]
-        ):
+        least, audit, place, state, cost = stack.pop()
+        if best and (least > best[0] or least == best[0] and audit > best[1][: len(audit)]):
             continue
-        known = reached.get((place, state))
-        if known and known <= (cost, audit):
-            continue
-        reached[place, state] = (cost, audit)
         if place == len(codes):
-            if best is None or (cost, audit) < best:
-                best = (cost, audit)
+            found = (cost + ends[state][0], audit + ends[state][1])
+            if best is None or found < best:
+                best = found
             continue
-        code = codes[place]
-        branches = [(place + 1, state, cost + DELETE, audit + "D")]
+        node = 4 * place + state
+        known = reached.get(node)
+        if known and known <= (cost, audit):
+            continue
+        reached[node] = (cost, audit)
+        code, then, free = codes[place], bounds[place + 1], _NEXT[state]
+        branches = [(cost + DELETE + then[state], audit + "D", place + 1, state, cost + DELETE)]
         # Two insertions lead from any state to any role that insertions reach.
         if not audit.endswith("II"):
-            branches.append((place, _NEXT[state], cost + INSERT, audit + "I"))
+            # What follows an insertion is another one or an edit of this code.
+            branches.append((cost + INSERT + bounds[place][free], audit + "I", place, free, cost + INSERT))
         if code != GONE:
             cut = CUT if code.isupper() else 0
             kept = _AFTER.get(code.lower(), {}).get(state)
             if kept is not None:
-                branches.append((place + 1, kept, cost + KEEP + cut, audit + "K"))
-            branches.append((place + 1, _NEXT[state], cost + REROLE + cut, audit + "R"))
-        stack += reversed(branches)
+                branches.append((cost + KEEP + cut + then[kept], audit + "K", place + 1, kept, cost + KEEP + cut))
+            branches.append((cost + REROLE + cut + then[free], audit + "R", place + 1, free, cost + REROLE + cut))
+        # The most promising branch is looked at first, of equal ones that of the least letter.
+        branches.sort(reverse=True)
+        stack += [branch for branch in branches if branch[0] < FAR]
     return best
 
 
 def ways(codes: str) -> tuple[list[int], bytes]:
     """Costs from every state to every state, and the audits that go with them."""
     costs, audits = [], []
-    bounds = [_bounds(codes, target) for target in STATES]
-    for first in STATES:
-        for target in STATES:
-            found = search(codes, first, target, bounds[target])
+    for target in STATES:
+        ends = tuple((0 if q == target else FAR, "") for q in STATES)
+        bounds = _bounds(codes, [cost for cost, _ in ends])
+        for first in STATES:
+            found = search(codes, first, ends, bounds)
             costs.append(found[0] if found else FAR)
             audits.append(found[1] if found else "")
     return costs, zlib.compress("\n".join(audits).encode(), 1)
 
 
 class Remembered(dict):
-    """``ways`` of short strings, which come again and again; a bounded number of them."""
+    """Results of short strings, which come again and again; a bounded number of them."""
+
+    def __init__(self, use):
+        self.use = use
 
-    def __missing__(self, codes: str) -> tuple[list[int], bytes]:
-        found = ways(codes)
+    def __missing__(self, codes: str):
+        found = self.use(codes)
         if len(codes) <= 64 and len(self) < 1 << 15:
             self[codes] = found
         return found
@@ -141,12 +150,12 @@ def chain(pieces: list[tuple[list[int], bytes]]) -> tuple[int, list[str]]:
     """
     rest = [[cost for cost, _ in _ENDS]]
     for costs, _ in reversed(pieces):
-        rest.append([min(costs[4 * q + t] + rest[-1][t] for t in STATES) for q in STATES])
+        rest.append([min(costs[4 * t + q] + rest[-1][t] for t in STATES) for q in STATES])
     rest.reverse()
     state, audits = START, []
     for (costs, packed), after in zip(pieces, rest[1:]):
         texts = zlib.decompress(packed).decode().split("\n")
-        _, audit, state = min((costs[4 * state + t] + after[t], texts[4 * state + t], t) for t in STATES)
+        _, audit, state = min((costs[4 * t + state] + after[t], texts[4 * t + state], t) for t in STATES)
         audits.append(audit)
     if audits:
         audits[-1] += _ENDS[state][1]
@@ -190,7 +199,6 @@ def _pieces(schema: pa.Schema, piece: int):
     """Rows, sorted within blocks of turns, to pieces of codes with counts and ways."""
 
     def cut(records: Iterator[tuple]) -> Iterator[tuple]:
-        ways_of = Remembered()
         for (conv, block), rows in groupby(records, key=lambda r: r[:2]):
             number, codes = 0, []
             fresh = dict.fromkeys(("blank", "duplicate", "truncated", "illegal", "turns"), 0)
@@ -198,9 +206,11 @@ def _pieces(schema: pa.Schema, piece: int):
             low = high = first = last = None
 
             def done(codes):
+                # A full piece is of a long conversation, whose pieces are searched here, side by side.
+                found = ("".join(codes), None, None) if len(codes) < piece else (None, *ways("".join(codes)))
                 return (
                     conv, block, number, count["blank"], count["duplicate"], count["truncated"], count["illegal"],
-                    count["turns"], low, high, first, last, *ways_of["".join(codes)],
+                    count["turns"], low, high, first, last, *found,
                 )
 
             seen = None
@@ -239,11 +249,12 @@ def _plans(schema: pa.Schema):
     """Pieces, sorted, to the edits of every block, the first with the conversation's facts."""
 
     def plan(records: Iterator[tuple]) -> Iterator[tuple]:
+        whole, part = Remembered(lambda codes: search(codes, START)), Remembered(ways)
         for conv, rows in groupby(records, key=lambda r: r[0]):
             total = [0, 0, 0, 0, 0]
             low = high = last = None
-            blocks, ways_of = [], []
-            for _, block, _, blank, again, cut_off, illegal, turns, least, most, first, final, costs, audits in rows:
+            blocks, found = [], []
+            for _, block, _, blank, again, cut_off, illegal, turns, least, most, first, final, codes, *known in rows:
                 for i, n in enumerate((blank, again, cut_off, illegal, turns)):
                     total[i] += n
                 if final is None:
@@ -255,8 +266,12 @@ def _plans(schema: pa.Schema):
                 if least is not None:
                     low, high = least if low is None else low, most
                 blocks.append((block, True))
-                ways_of.append((costs, audits))
-            cost, audits = chain(ways_of)
+                found.append((codes, known))
+            if len(found) == 1 and found[0][0] is not None:
+                cost, audit = whole[found[0][0]]
+                audits = [audit]
+            else:
+                cost, audits = chain([known if codes is None else part[codes] for codes, known in found])
             gaps = 0 if low is None else high - low + 1 - total[4]
             facts = (gaps, *total[:4], cost)
             left = iter(audits)
@@ -386,7 +401,7 @@ def _stream(rows: DataFrame, copies: Column, piece: int) -> DataFrame:
     cut = T.StructType().add("conv", conv).add("block", "long").add("number", "integer")
     for c in ("blank", "duplicate", "truncated", "illegal", "turns", "low", "high"):
         cut = cut.add(c, "long")
-    cut = cut.add("first", "string").add("last", "string").add("costs", T.ArrayType(T.LongType())).add("audits", "binary")
+    cut = cut.add("first", "string").add("last", "string").add("codes", "string").add("costs", T.ArrayType(T.LongType())).add("audits", "binary")
     pieces = (
         with_repeats(stored)
         .select("conv", "block", "turn", "initial", "blank", "again", "cut", "copies", "role", "digest")
