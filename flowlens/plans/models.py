@@ -7,6 +7,7 @@ a run log, which the leaderboard ranks.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from dataclasses import dataclass
 from functools import reduce
 from itertools import product
 from multiprocessing.pool import ThreadPool
@@ -27,8 +28,6 @@ from pyspark.ml.tuning import (
     CrossValidator,
     CrossValidatorModel,
     ParamGridBuilder,
-    TrainValidationSplit,
-    TrainValidationSplitModel,
 )
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -234,47 +233,81 @@ def cross_validate(
         folded.unpersist()
 
 
+@dataclass
+class Validated:
+    """A search on one split: the value of every point, and the winner fitted on all rows."""
+
+    algorithm: str
+    grid: list[dict]
+    metric: str
+    values: list[float]
+    model: Model
+
+    @property
+    def best(self) -> int:
+        """Place of the best point in the grid, the first of equal ones."""
+        return max(range(len(self.values)), key=lambda i: (self.values[i], -i))
+
+    def log(self, spark: SparkSession) -> DataFrame:
+        """``algorithm, params, place, metric, value, best``, a row per point."""
+        rows = [
+            (self.algorithm, {k: str(v) for k, v in point.items()}, i, self.metric, value, i == self.best)
+            for i, (point, value) in enumerate(zip(self.grid, self.values))
+        ]
+        return spark.createDataFrame(
+            rows, "algorithm string, params map<string,string>, place int, metric string, value double, best boolean"
+        )
+
+    def coefficients(self, spark: SparkSession) -> DataFrame:
+        """``position, coefficient`` of a linear winner; the intercept has position -1."""
+        found = [*enumerate(self.model.coefficients.toArray().tolist()), (-1, float(self.model.intercept))]
+        return spark.createDataFrame(found, "position int, coefficient double")
+
+
 def train_validation(
     algorithm: str,
     df: DataFrame,
+    ids: list[str],
     grid: list[dict],
-    train_ratio: float = 0.6666,
+    percent: int = 33,
     seed: int = 7,
     metric: str = "areaUnderROC",
     parallelism: int = 4,
-) -> TrainValidationSplitModel:
-    """Search on a single split."""
-    learner = _learner_for(algorithm, grid)
-    return TrainValidationSplit(
-        estimator=learner,
-        estimatorParamMaps=_grid_for(learner, grid),
-        evaluator=BinaryClassificationEvaluator(
-            rawPredictionCol="prediction", labelCol="label", metricName=metric
-        ),
-        trainRatio=train_ratio,
-        seed=seed,
-        parallelism=parallelism,
-    ).fit(df)
+) -> Validated:
+    """Search on a single split by a hash of the ids; the winner is fitted on all rows.
+
+    Which rows validate depends on ids and seed alone, not on how ``df`` is partitioned.
+    """
+    split = in_holdout(*[F.col(c) for c in ids], percent=percent, seed=seed)
+    marked = df.select("features", "label", split.alias("held")).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        train, test = marked.where("not held"), marked.where("held")
+        values = [row[4] for row in fit_grid(algorithm, train, test, grid, metric, 0, parallelism)]
+        found = Validated(algorithm, grid, metric, values, None)
+        found.model = estimator(algorithm, **grid[found.best]).fit(marked)
+        return found
+    finally:
+        marked.unpersist()
 
 
-def best_parameters(fitted: CrossValidatorModel | TrainValidationSplitModel) -> dict:
+def best_parameters(fitted: CrossValidatorModel | Validated) -> dict:
     """Parameters, score and, for linear models, coefficients of the winner."""
-    scores = (
-        fitted.avgMetrics
-        if isinstance(fitted, CrossValidatorModel)
-        else fitted.validationMetrics
-    )
-    best = max(range(len(scores)), key=lambda i: scores[i])
-    out = {
-        "params": {p.name: v for p, v in fitted.getEstimatorParamMaps()[best].items()},
-        "metric": scores[best],
-    }
-    if isinstance(fitted, CrossValidatorModel):
-        out["std"] = fitted.stdMetrics[best]
-    coefficients = getattr(fitted.bestModel, "coefficients", None)
+    if isinstance(fitted, Validated):
+        out = {"params": fitted.grid[fitted.best], "metric": fitted.values[fitted.best]}
+        model = fitted.model
+    else:
+        scores = fitted.avgMetrics
+        best = max(range(len(scores)), key=lambda i: scores[i])
+        out = {
+            "params": {p.name: v for p, v in fitted.getEstimatorParamMaps()[best].items()},
+            "metric": scores[best],
+            "std": fitted.stdMetrics[best],
+        }
+        model = fitted.bestModel
+    coefficients = getattr(model, "coefficients", None)
     if coefficients is not None:
         out["coefficients"] = coefficients.toArray().tolist()
-        out["intercept"] = fitted.bestModel.intercept
+        out["intercept"] = model.intercept
     return out
 
 

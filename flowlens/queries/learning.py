@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 from flowlens.functions.labels import coarse_label
 from flowlens.functions.split import in_holdout
 from flowlens.functions.vectors import active_indices, as_doubles
+from flowlens.operators.knn import knn_approximate, knn_join, recall
 from flowlens.operators.leaderboard import leaderboard, params_key
+from flowlens.operators.metrics import curve_points as score_curve
+from flowlens.operators.metrics import hinge_certificate, ranking_areas
 from flowlens.operators.scale import MinMax
 from flowlens.plans import experiment, models, trees
-from flowlens.plans.prepare import encoding_stages, fit_features, prepared
+from flowlens.plans.prepare import CoarseLabeler, encoding_stages, fit_features, prepared
 from flowlens.queries import r, table
 from flowlens.queries.traffic import CONNECTION_SQL, connection_columns, connections
 from flowlens.schema import FEATURES, FEATURES_14, FEATURES_16, ROLES
@@ -192,6 +195,55 @@ def prepare_41(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_WIDE_KEYS = ("l_orderkey", "l_linenumber", "l_suppkey")
+_WIDE_HELD = f"('0x' || substr(md5('7:' || {" || ':' || ".join(_WIDE_KEYS)}), 1, 8))::BIGINT % 100 < 33"
+
+
+@query(
+    f"""
+    WITH t AS (SELECT *, {_WIDE_HELD} AS held FROM lineitem),
+    part AS (SELECT l_partkey::VARCHAR AS level, row_number() OVER (ORDER BY count(*) DESC, l_partkey::VARCHAR) - 1 AS slot
+             FROM t WHERE NOT held GROUP BY l_partkey),
+    ship AS (SELECT strftime(l_shipdate, '%Y-%m-%d') AS level,
+                    row_number() OVER (ORDER BY count(*) DESC, strftime(l_shipdate, '%Y-%m-%d')) - 1 AS slot
+             FROM t WHERE NOT held GROUP BY 1),
+    b AS (SELECT min(l_quantity) AS lo, max(l_quantity) AS hi FROM t WHERE NOT held)
+    SELECT {', '.join(_WIDE_KEYS)}, held, CASE WHEN l_returnflag = 'N' THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS label,
+           round((l_quantity - lo) / (hi - lo), 6) AS quantity, part.slot AS part_slot, ship.slot AS ship_slot,
+           2 + (SELECT count(*) FROM part) + (SELECT count(*) FROM ship) AS width
+    FROM t CROSS JOIN b LEFT JOIN part ON part.level = l_partkey::VARCHAR
+         LEFT JOIN ship ON ship.level = strftime(l_shipdate, '%Y-%m-%d')
+    """
+)
+def prepare_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nominal columns whose levels stay a table, saved with the preparation and loaded again."""
+    rows = _spread_items(spark, sf_dir).select(
+        *_WIDE_KEYS, "l_quantity", "l_tax", "l_returnflag", F.col("l_partkey").cast("string").alias("part"),
+        F.date_format("l_shipdate", "yyyy-MM-dd").alias("ship"), in_holdout(*[F.col(k) for k in _WIDE_KEYS]).alias("held"),
+    )
+    roles = {"l_quantity": "numeric", "l_tax": "binary", "part": "nominal", "ship": "nominal"}
+    fitted = fit_features(
+        rows.where("not held"), list(roles), roles, label_stage=CoarseLabeler(inputCol="l_returnflag", normal="N"),
+        collected_levels=0,
+    )
+    path = scratch_path(spark, "wide-preparation")
+    save_model(fitted, path)
+    fitted = load_model(path)
+    parts = F.lit(2 + fitted.stages[-1].getOrDefault("sizes")[0])
+    v = F.col("features")
+    return prepared(fitted, rows, *_WIDE_KEYS, "held").withColumn("width", F.size(vector_to_array("features"))).select(
+        *_WIDE_KEYS, "held", "label",
+        F.coalesce(r(_value_at(v, 0), "quantity"), F.lit(0.0)).alias("quantity"),
+        _hot(v, 2, parts).alias("part_slot"),
+        _hot(v, parts, F.col("width")).alias("ship_slot"),
+        F.col("width").cast("bigint").alias("width"),
+    )
+
+
+def _value_at(vector: Column, position: int) -> Column:
+    return F.get(vector_to_array(vector), F.lit(position))
+
+
 # --- models on the embeddings -------------------------------------------------------------------
 
 
@@ -526,6 +578,151 @@ def model_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaderboard(log, 5)
 
 
+_TREE_HELD = f"('0x' || substr(md5('7:' || {" || ':' || ".join(_TREE_KEYS)}), 1, 8))::BIGINT % 100 < 33"
+
+
+def _validation_sql() -> str:
+    """The held-out accuracy of trees of each depth grown on the other rows."""
+    pick = " ".join(f"WHEN {i} THEN x{i}" for i in range(len(_SPLIT_FEATURES)))
+    out = _trees_sql(1, f"CASE WHEN {_TREE_HELD} THEN 0 ELSE 1 END")
+    out += f", all_nodes AS ({' UNION ALL '.join(f'SELECT node, s > n - s AS yes FROM whole{d}' for d in range(_TREE_DEPTH + 1))})"
+    out += f", down0 AS (SELECT x0, x1, x2, y, 1::BIGINT AS node FROM rows_ WHERE {_TREE_HELD})"
+    for d in range(_TREE_DEPTH):
+        out += f""", down{d + 1} AS (
+          SELECT x0, x1, x2, y, CASE WHEN b.node IS NULL THEN q.node
+                 ELSE q.node * 2 + (CASE b.f {pick} END > (b.v + b.above) / 2)::INTEGER END AS node
+          FROM down{d} AS q LEFT JOIN best{d} AS b ON b.node = q.node)"""
+    points = " UNION ALL ".join(
+        f"SELECT {d - 1} AS place, {d} AS depth, avg(((y = 1) = yes)::INTEGER) AS value FROM down{d} JOIN all_nodes USING (node)"
+        for d in range(1, _TREE_DEPTH + 1)
+    )
+    return out + f"""
+    , points AS ({points})
+    SELECT place::INTEGER AS place, 'maxBins=64:maxDepth=' || depth AS key, round(value, 6) AS value,
+           row_number() OVER (ORDER BY value DESC, place) = 1 AS best FROM points
+    """
+
+
+@query(_validation_sql())
+def validation_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every point of a search on one split by a hash, and the best of them."""
+    grid = models.param_grid(maxDepth=range(1, _TREE_DEPTH + 1), maxBins=[64])
+    found = models.train_validation("DTree", _tree_rows(spark, sf_dir), list(_TREE_KEYS), grid, metric="accuracy")
+    return found.log(spark).select("place", params_key(F.col("params")).alias("key"), r("value", "value"), "best")
+
+
+@query(
+    f"""
+    WITH t AS (SELECT l_linenumber::VARCHAR AS line, ({_SHARE_LABEL})::INTEGER AS y FROM lineitem),
+    g AS (SELECT line, count(*) AS n, avg(y) AS p FROM t GROUP BY line)
+    SELECT (row_number() OVER (ORDER BY n DESC, line) - 1)::INTEGER AS position, round(ln(p / (1 - p)), 2) AS logit FROM g
+    """
+)
+def validation_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The winner's coefficients as a table: the logit of each level of one nominal feature."""
+    items = _spread_items(spark, sf_dir).select(
+        *_TREE_KEYS, F.col("l_linenumber").cast("string").alias("line"), F.expr(_SHARE_LABEL).cast("double").alias("label")
+    )
+    encoded = Pipeline(stages=encoding_stages(items, ["line"])).fit(items).transform(items)
+    rows = encoded.withColumnRenamed("line_numeric", "features")
+    grid = models.param_grid(tol=[1e-9], maxIter=[200, 300])
+    found = models.train_validation("binLR", rows, list(_TREE_KEYS), grid, metric="accuracy")
+    table_ = found.coefficients(spark)
+    intercept = table_.where("position = -1").select(F.col("coefficient").alias("intercept"))
+    return (
+        table_.where("position >= 0").join(F.broadcast(intercept), F.lit(True))
+        .select("position", F.round(F.col("coefficient") + F.col("intercept"), 2).alias("logit"))
+    )
+
+
+# --- real-valued scores, and proofs of being best ------------------------------------------------
+
+_SCORED_SQL = """
+    WITH t AS (SELECT l_returnflag, l_linestatus, round(l_extendedprice * l_discount, 0) AS score,
+                      (l_quantity * 2 + l_linenumber * 5 + l_orderkey % 40 > 80)::INTEGER AS y FROM lineitem),
+    g AS (SELECT l_returnflag, l_linestatus, score, sum(y) AS pos, sum(1 - y) AS neg FROM t GROUP BY ALL),
+    c AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp
+          FROM g WINDOW w AS (PARTITION BY l_returnflag, l_linestatus ORDER BY score DESC))
+"""
+_SCORED_BY = ("l_returnflag", "l_linestatus")
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spread_items(spark, sf_dir).select(
+        *_SCORED_BY,
+        F.round(F.col("l_extendedprice") * F.col("l_discount")).alias("score"),
+        F.expr("l_quantity * 2 + l_linenumber * 5 + l_orderkey % 40 > 80").cast("int").alias("label"),
+    )
+
+
+@query(
+    _SCORED_SQL
+    + """
+    SELECT l_returnflag, l_linestatus, sum(pos)::BIGINT AS positives, sum(neg)::BIGINT AS negatives,
+           round(sum(neg::DOUBLE * (tp - pos + pos / 2.0::DOUBLE)) / sum(pos) / sum(neg), 6) AS auroc,
+           round(sum(pos * (tp / (tp + fp) + CASE WHEN tp + fp > pos + neg
+                 THEN (tp - pos) / (tp + fp - pos - neg) ELSE tp / (tp + fp) END) / 2) / sum(pos), 6) AS aupr
+    FROM c GROUP BY l_returnflag, l_linestatus
+    """
+)
+def score_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Ranges far below the number of scores, so that sums go over several of them.
+    return ranking_areas(_scored(spark, sf_dir), by=_SCORED_BY, range_rows=10_000).select(
+        *_SCORED_BY, "positives", "negatives", r("auroc", "auroc"), r("aupr", "aupr")
+    )
+
+
+@query(
+    _SCORED_SQL
+    + """
+    SELECT l_returnflag, l_linestatus, score, pos::BIGINT AS pos, neg::BIGINT AS neg, tp::BIGINT AS tp, fp::BIGINT AS fp FROM c
+    """
+)
+def score_curve_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_curve(_scored(spark, sf_dir), by=_SCORED_BY, range_rows=10_000)
+
+
+# The separator halfway between the class means, which SQL finds too, and how far it is
+# from the best one for the hinge loss.
+_MARGIN_FEATURES = ("l_quantity / 50", "l_discount * 10", "l_tax * 10")
+_MARGIN_REG = 0.01
+
+
+@query(
+    f"""
+    WITH t AS (SELECT {', '.join(f'({c})::DOUBLE AS x{j}' for j, c in enumerate(_MARGIN_FEATURES))},
+                      ({_SPLIT_LABEL})::INTEGER AS y FROM lineitem),
+    m AS (SELECT {', '.join(f'avg(x{j}) FILTER (y = {v}) AS m{v}{j}' for v in (0, 1) for j in range(3))} FROM t),
+    s AS (SELECT {', '.join(f'4 * (m1{j} - m0{j}) AS w{j}' for j in range(3))},
+                 -2 * ({' + '.join(f'(m1{j} - m0{j}) * (m1{j} + m0{j})' for j in range(3))}) AS b FROM m),
+    d AS (SELECT t.*, s.*, 2 * y - 1 AS v, {' + '.join(f'x{j} * w{j}' for j in range(3))} + b AS margin FROM t, s),
+    e AS (SELECT *, (v * margin <= 1)::INTEGER AS near FROM d),
+    a AS (SELECT count(*)::DOUBLE AS n, sum(greatest(0, 1 - v * margin)) AS hinge,
+                 {', '.join(f'sum(near * x{j}) FILTER (y = 1) AS p{j}, sum(near * x{j}) FILTER (y = 0) AS q{j}, any_value(w{j}) AS w{j}' for j in range(3))},
+                 (sum(near) FILTER (y = 1))::DOUBLE AS p, (sum(near) FILTER (y = 0))::DOUBLE AS q FROM e),
+    f AS (SELECT *, least(p, q) AS few, hinge / n AS loss,
+                 hinge / n + {_MARGIN_REG} / 2 * ({' + '.join(f'w{j} * w{j}' for j in range(3))}) AS objective,
+                 sqrt({' + '.join(f'({_MARGIN_REG} * w{j} - (p{j} - q{j}) / n) ** 2' for j in range(3))} + ((p - q) / n) ** 2) AS norm,
+                 {' + '.join(f'((p{j} * least(p, q) / p - q{j} * least(p, q) / q) / n) ** 2' for j in range(3))} AS gained FROM a),
+    h AS (SELECT *, least(1, 2 * few / n * {_MARGIN_REG} / gained) AS share FROM f)
+    SELECT n::BIGINT AS n, round(loss, 6) AS loss, round(objective, 6) AS objective, round(norm, 6) AS norm,
+           round(objective - (share * 2 * few / n - share * share * gained / (2 * {_MARGIN_REG})), 6) AS gap
+    FROM h
+    """
+)
+def margin_certificate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _spread_items(spark, sf_dir).select(
+        F.array(*[F.expr(c) for c in _MARGIN_FEATURES]).alias("features"),
+        F.expr(_SPLIT_LABEL).cast("int").alias("label"),
+    )
+    means = rows.groupBy("label").agg(*[F.avg(F.get("features", F.lit(j))).alias(f"m{j}") for j in range(3)])
+    low, high = ([row[f"m{j}"] for j in range(3)] for row in means.orderBy("label").collect())
+    weights = [4 * (h - m) for h, m in zip(high, low)]
+    offset = -2 * sum((h - m) * (h + m) for h, m in zip(high, low))
+    found = hinge_certificate(rows, weights, offset, _MARGIN_REG)
+    return found.select("n", *[r(c, c) for c in ("loss", "objective", "norm", "gap")])
+
+
 # --- whole runs on the connection records ---------------------------------------------------------
 
 
@@ -559,6 +756,41 @@ def run_14_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, sf_dir, 14, "kNN", k=1)
 
 
+@query(
+    f"""
+    SELECT count(*) AS queries, 10 * count(*) AS neighbors, true AS enough, true AS fewer
+    FROM ({CONNECTION_SQL}) WHERE split_part(conn_id, '-', 1)::BIGINT % 40 = 0
+    """
+)
+def knn_approximate_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether at least nine of ten neighbours are found in a fifth of the buckets or less."""
+    rows = _prepared(spark, sf_dir, 14).withColumn("features", vector_to_array("features"))
+    rows = materialize(rows.select("conn_id", "features"), "points")
+    apart = F.split("conn_id", "-")[0].cast("bigint") % 40 == 0
+    train, asked = rows.where(~apart), rows.where(apart)
+    share = 0.2
+    options = {"query_id": "conn_id", "train_id": "conn_id"}
+    found = knn_approximate(asked, train, 10, share=share, **options)
+    measured = recall(found, knn_join(asked, train, 10, **options))
+    return measured.select("queries", "neighbors", (F.col("recall") >= 0.9).alias("enough"), F.lit(share < 0.5).alias("fewer"))
+
+
+_SEPARATE = "split_part(conn_id, '-', 1)::BIGINT % 40 = 0"
+
+
+@query(_NEAREST_SQL.replace(_HELD, _SEPARATE))
+def run_separate_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole run scored on a table of its own, prepared with what the train table taught."""
+    every = connections(spark, sf_dir)
+    apart = F.split("conn_id", "-")[0].cast("bigint") % 40 == 0
+    log = experiment.run(
+        every.where(~apart), 14, "kNN", {"k": 1}, ids=["conn_id"], test=every.where(apart)
+    )
+    return log.select(
+        "algorithm", params_key(F.col("params")).alias("key"), "fold", "metric", r("value", "value")
+    )
+
+
 @query()
 def run_16_linsvc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, sf_dir, 16, "linSVC", tol=0.1, maxIter=10, regParam=1e-6)

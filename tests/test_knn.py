@@ -7,7 +7,15 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowlens.functions import vectors as V
-from flowlens.operators.knn import knn_join, knn_predict, knn_scores, search_ks, vote
+from flowlens.operators.knn import (
+    knn_approximate,
+    knn_join,
+    knn_predict,
+    knn_scores,
+    recall,
+    search_ks,
+    vote,
+)
 
 
 def points(spark, array, first=0, labels=None):
@@ -187,3 +195,23 @@ def test_tree_cells_are_balanced():
     assert np.bincount(cell, minlength=32).max() <= 140
     same = np.ones((50, 2))
     assert set(knn._cell_of(same, *knn._tree(same, 3))) == {0}
+
+
+def test_approximate_search_measures_its_recall(spark):
+    rng = np.random.default_rng(8)
+    data = clumps(32, rng, 3000, 20)
+    train, asked = points(spark, data[:2700]), points(spark, data[2700:])
+    exact = knn_join(asked, train, 5)
+    for share, least in ((0.1, 0.9), (1.0, 1.0)):
+        near = knn_approximate(asked, train, 5, cells=32, share=share)
+        row = recall(near, exact).first()
+        print(f"share {share}: recall {row['recall']:.3f}")
+        assert (row["queries"], row["neighbors"]) == (300, 1500) and row["recall"] >= least
+    assert found(near) == found(exact)
+    # Nothing is nearer than the exact neighbours, and repeated points are as good as each other.
+    same = points(spark, np.ones((400, 3)))
+    row = recall(knn_approximate(same, same, 3, cells=8, share=0.3), knn_join(same, same, 3)).first()
+    assert row["recall"] == 1.0
+    assert recall(knn_approximate(asked, train.limit(0), 3), knn_join(asked, train.limit(0), 3)).first()["found"] == 0
+    with pytest.raises(ValueError):
+        knn_approximate(asked, train, 5, share=0)

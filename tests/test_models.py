@@ -122,9 +122,140 @@ def test_cross_validation(spark, blobs):
     best = models.best_parameters(fitted)
     assert best["params"]["maxDepth"] in (2, 4)
     assert models.cross_validation_log(spark, "DTree", fitted).count() == 4
-    single = models.train_validation("binLR", blobs, models.param_grid(maxIter=[1, 20]))
-    found = models.best_parameters(single)
-    assert len(found["coefficients"]) == 3 and found["metric"] > 0.9
+
+
+def test_validation_does_not_depend_on_partitions(spark, blobs):
+    grid = models.param_grid(maxIter=[1, 20], regParam=[0.0, 0.1])
+    found = [
+        models.train_validation("binLR", blobs.repartition(n), ["id"], grid) for n in (1, 50)
+    ]
+    assert found[0].values == found[1].values and found[0].best == found[1].best
+    first, second = (models.best_parameters(f) for f in found)
+    assert first["params"] == second["params"] and first["metric"] > 0.9
+    assert first["coefficients"] == pytest.approx(second["coefficients"], rel=1e-6)
+    log = found[0].log(spark).collect()
+    assert [r["place"] for r in log] == [0, 1, 2, 3] and sum(r["best"] for r in log) == 1
+    table = {r["position"]: r["coefficient"] for r in found[0].coefficients(spark).collect()}
+    assert [table[i] for i in range(3)] == first["coefficients"] and table[-1] == first["intercept"]
+    tied = models.Validated("binLR", grid, "accuracy", [0.5, 0.7, 0.7, 0.1], None)
+    assert tied.best == 1
+
+
+def test_wide_levels_fill_the_same_slots(spark, records, tmp_path):
+    """A table of levels gives the vectors of the collected ones, also saved and loaded."""
+    strange = records.limit(3).withColumn("service", F.lit(None).cast("string")).withColumn("flag", F.lit("new"))
+    rows = records.unionByName(strange)
+    narrow = prepared(fit_features(records, 16), rows, "conn_id").collect()
+    wide = fit_features(records, 16, collected_levels=5)
+    save_model(wide, str(tmp_path / "wide"))
+    again = load_model(str(tmp_path / "wide"))
+    assert again.stages[-1].levels.count() == sum(again.stages[-1].getOrDefault("sizes"))
+
+    def key(found):
+        return sorted((r["conn_id"], r["label"], r["features"].toArray().tolist()) for r in found)
+
+    for model in (wide, again):
+        assert key(prepared(model, rows, "conn_id").collect()) == key(narrow)
+    plan = prepared(again, rows, "conn_id")._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan
+    scored = models.estimator("binLR", maxIter=3).fit(prepared(wide, records))
+    assert scored.numFeatures == len(narrow[0]["features"])
+
+
+def test_node_tables_score_like_the_model(blobs):
+    from flowlens.plans import trees
+
+    spark = blobs.sparkSession
+    for fitted in (
+        models.estimator("DTree", maxDepth=6).fit(blobs),
+        models.estimator("RForest", maxDepth=4, numTrees=5).fit(blobs),
+    ):
+        nodes = trees.node_table(spark, fitted)
+        scored = {r["id"]: r["probability"] for r in trees.score_rows(blobs, nodes, "id").collect()}
+        own = models.predictions(fitted, blobs, "id").collect()
+        assert scored == pytest.approx({r["id"]: r["probability"] for r in own})
+    counts = {r["node"]: (r["n"], r["positives"]) for r in trees.node_counts(blobs, nodes.where("tree = 0")).collect()}
+    assert counts[1][0] == blobs.count()
+    for node, (n, s) in counts.items():
+        if 2 * node in counts or 2 * node + 1 in counts:
+            sides = [counts.get(2 * node + i, (0, 0)) for i in (0, 1)]
+            assert (n, s) == tuple(map(sum, zip(*sides)))
+
+
+def test_nominal_features_go_left_by_value(spark, records):
+    from flowlens.plans import trees
+    from pyspark.ml.feature import StringIndexer
+
+    rows = StringIndexer(inputCol="flag", outputCol="f").fit(records).transform(records)
+    rows = VectorAssembler(inputCols=["f", "dst_host_count"], outputCol="features").transform(rows)
+    rows = CoarseLabeler().transform(rows).select("conn_id", "features", "label")
+    fitted = models.estimator("DTree", maxDepth=4).fit(rows)
+    nodes = trees.node_table(spark, fitted)
+    scored = {r["conn_id"]: r["probability"] for r in trees.score_rows(rows, nodes, "conn_id").collect()}
+    own = models.predictions(fitted, rows, "conn_id").collect()
+    assert scored == pytest.approx({r["conn_id"]: r["probability"] for r in own})
+
+
+def test_bagged_trees_do_not_depend_on_partitions(blobs):
+    from flowlens.plans import trees
+
+    spark = blobs.sparkSession
+    found = []
+    for n in (1, 7):
+        fitted = trees.fit_bagged(blobs.repartition(n), ["id"], 3, maxDepth=3)
+        found.append(sorted(map(str, trees.node_table(spark, fitted).collect())))
+    assert found[0] == found[1]
+    drawn = blobs.select(trees.drawn_times(1, F.col("id")).alias("k")).agg(F.avg("k"), F.max("k")).first()
+    assert abs(drawn[0] - 1) < 0.2 and drawn[1] < 8
+
+
+def test_areas_of_scores_are_exact_with_ties(spark):
+    import random
+
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+
+    from flowlens.operators.metrics import curve_points, ranking_areas
+
+    rng = random.Random(5)
+    rows = [
+        (g, rng.choice([0.1, 0.5, 0.5, 2.0, -3.0, rng.random()]), rng.randint(0, 1))
+        for g in ("a", "b", None) for _ in range(200)
+    ]
+    rows += [("c", 1.0, 1), ("c", 0.0, 1), ("a", None, 1), ("a", float("nan"), 0), ("a", 0.3, None), ("z", 0.0, 1), ("z", -0.0, 0)]
+    df = spark.createDataFrame(rows, "g string, score double, label int")
+    for range_rows in (1_000_000, 20):
+        areas = {r["g"]: r for r in ranking_areas(df, by=("g",), range_rows=range_rows).collect()}
+        assert areas["c"]["auroc"] is None and areas["z"]["auroc"] == 0.5
+        for g in ("a", "b", None):
+            own = [(s, y) for group, s, y in rows if group == g and s is not None and s == s and y is not None]
+            pos, neg = [s for s, y in own if y], [s for s, y in own if not y]
+            wins = sum((p > n) + (p == n) / 2 for p in pos for n in neg)
+            assert areas[g]["auroc"] == pytest.approx(wins / len(pos) / len(neg))
+            part = spark.createDataFrame(own, "rawPrediction double, label int")
+            area = BinaryClassificationEvaluator(metricName="areaUnderPR", numBins=0).evaluate(part)
+            assert areas[g]["aupr"] == pytest.approx(area)
+        points = curve_points(df.where("g = 'b'"), range_rows=range_rows).orderBy(F.desc("score")).collect()
+        assert (points[-1]["tp"], points[-1]["fp"]) == (areas["b"]["positives"], areas["b"]["negatives"])
+    assert ranking_areas(df.limit(0), by=("g",)).count() == 0
+
+
+def test_certificate_bounds_the_distance_from_the_best(blobs):
+    from pyspark.ml.classification import LinearSVC
+
+    from flowlens.operators.metrics import hinge_certificate
+
+    rows = blobs.withColumn("x", vector_to_array("features"))
+    reg, objectives, gaps = 0.05, [], []
+    for steps in (1, 3, 5):
+        model = LinearSVC(regParam=reg, maxIter=steps, tol=1e-3, standardization=False).fit(blobs)
+        out = hinge_certificate(rows, model.coefficients.toArray().tolist(), model.intercept, reg, "x").first()
+        objectives.append(out["objective"])
+        gaps.append(out["gap"])
+    best = min(objectives)
+    assert all(o - best <= g + 1e-9 for o, g in zip(objectives, gaps))
+    assert objectives[-1] <= objectives[0] and gaps[-1] < 0.05
+    with pytest.raises(ValueError):
+        hinge_certificate(rows, [0.0, 0.0, 0.0], 0.0, 0.0, "x")
 
 
 def test_repeated_holdout_keeps_every_round(blobs):
