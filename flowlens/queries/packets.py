@@ -13,10 +13,12 @@ from flowlens.queries.traffic import (
     RECORDS_PER_FILE,
     deep_frames,
     event_frames,
+    grow_captures,
     write_event_captures,
 )
 from flowlens.session import scratch_path
 from flowlens.sources.captures import read_capture
+from flowlens.streaming.growing import frames_read, read_on
 from flowlens.streaming.packets import packet_lines, stream_capture, write_stream
 
 QUERIES: dict = {}
@@ -361,6 +363,32 @@ def capture_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    _IN_FILES
+    + """
+    SELECT file, idx, strftime(ts, '%Y-%m-%d %H:%M:%S') AS time, size::INTEGER AS caplen, size::INTEGER AS len,
+           1 AS linktype, right(event_hex, 6) AS mac_end
+    FROM filed
+    """
+)
+def capture_growing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures read in three triggers while they grow, cut anywhere in between."""
+    whole, folder, store = (scratch_path(spark, f"growing-{part}") for part in ("whole", "folder", "store"))
+    write_event_captures(spark, sf_dir, whole)
+    for share in (40, 73, 100):
+        grow_captures(spark, whole, folder, share)
+        read_on(spark, folder, store)
+    return frames_read(spark, store).select(
+        F.element_at(F.split("file", "/"), -1).alias("file"),
+        "idx",
+        P.time_text(F.col("ts")).alias("time"),
+        "caplen",
+        "len",
+        "linktype",
+        F.lower(F.hex(F.substring("frame", 10, 3))).alias("mac_end"),
+    )
+
+
 def _streamed(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
     lines = packet_lines(
         stream_capture(spark, _captures(spark, sf_dir), files_per_trigger=50, **options)

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from flowlens.queries import table
 from flowlens.schema import CONNECTION_SCHEMA
 from flowlens.session import spread
+from flowlens.sources.captures import list_captures
+from flowlens.sources.formats import open_path
 
 RECORDS_PER_FILE = 2000
 
@@ -174,6 +176,30 @@ def write_event_captures(spark: SparkSession, sf_dir: str, path: str, formats=("
     return written.count()
 
 
+def grow_captures(spark: SparkSession, source: str, target: str, percent: int) -> int:
+    """Copy that share of the bytes of every capture in ``source``, as if it were still written."""
+
+    def copy(batches):
+        from pyarrow import fs
+
+        for batch in batches:
+            for path, length in zip(*[c.to_pylist() for c in batch.columns]):
+                name = f"{target.removeprefix('file:')}/{path.rsplit('/', 1)[1]}"
+                if "://" in target:
+                    filesystem, inner = fs.FileSystem.from_uri(name.replace("s3a://", "s3://", 1))
+                else:
+                    filesystem, inner = fs.LocalFileSystem(), name
+                filesystem.create_dir(inner.rsplit("/", 1)[0], recursive=True)
+                with open_path(path) as data, filesystem.open_output_stream(inner, compression=None) as out:
+                    left = length * percent // 100
+                    while left and (piece := data.read(min(left, 1 << 20))):
+                        out.write(piece)
+                        left -= len(piece)
+            yield batch
+
+    return list_captures(spark, source).select("path", "length").mapInArrow(copy, "path string, length bigint").count()
+
+
 def deep_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One frame per event with many tags or extension headers.
 

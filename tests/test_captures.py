@@ -12,6 +12,7 @@ import pytest
 
 from flowlens.sources import captures, formats
 from flowlens.sources.captures import list_captures, parallel_ranges, read_capture
+from flowlens.streaming.growing import frames_read, read_on
 
 START = 1_700_000_000
 
@@ -226,3 +227,34 @@ def test_guesses_in_random_bytes():
     head = classic([])
     assert formats.first_record(formats.Classic(head), Source(), 0, 100_000) is None
     assert formats.first_record(formats.NextGeneration(section()), Source(), 0, 100_000) is None
+
+
+# --- files that grow ----------------------------------------------------------------------
+
+
+def test_growing_files_lose_and_repeat_nothing(spark, tmp_path):
+    rng = random.Random(6)
+    folder, store = tmp_path / "in", str(tmp_path / "store")
+    folder.mkdir()
+    plain, blocks = pieces(rng, 60), pieces(rng, 60)
+    data = {"a.pcap": classic(plain), "b.pcapng": next_generation(blocks, ">", 17), "late.pcap": classic(plain[:5])}
+    assert frames_read(spark, store).count() == 0
+    for trigger, share in enumerate((0.0005, 0.3, 0.3, 0.301, 0.8, 1.0)):
+        for name, whole in data.items():
+            if name != "late.pcap" or share == 1.0:
+                (folder / name).write_bytes(whole[: int(len(whole) * share)])
+        assert read_on(spark, str(folder), store) == trigger
+        if trigger == 2:
+            assert frames_read(spark, store, 2).count() == 0
+    # A trigger that broke off has no mark of its end: it is done again.
+    (tmp_path / "store" / "trigger=5" / "_SUCCESS").unlink()
+    assert read_on(spark, str(folder), store) == 5
+    found: dict = {}
+    for r in frames_read(spark, store).orderBy("file", "idx").collect():
+        found.setdefault(r["file"].rsplit("/", 1)[1], []).append((r["idx"], bytes(r["frame"]), r["linktype"]))
+    assert found["a.pcap"] == [(i, f, 1) for i, f in enumerate(plain)]
+    assert found["b.pcapng"] == [(i, f, 100 + i // 17 if i >= 17 else 1) for i, f in enumerate(blocks)]
+    assert found["late.pcap"] == [(i, f, 1) for i, f in enumerate(plain[:5])]
+    (folder / "c.pcap.gz").write_bytes(gzip.compress(classic(plain)))
+    with pytest.raises(Exception, match="packed"):
+        read_on(spark, str(folder), store)
