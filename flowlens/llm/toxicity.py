@@ -32,11 +32,17 @@ SAMPLE = 3_000  # labelled texts that a model is trained on, at most
 EPOCHS = 10
 _BATCH = 256
 _CACHE = 200_000
+_WORDS = 8192  # words whose character runs are in memory at a time
 
 
 def _char_runs(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Rows of the character embeddings for runs of 3 to 5 bytes of words, one word after
     another, and how many each word has. Marks stand before and after a word."""
+    parts = [_runs_of(words[i : i + _WORDS]) for i in range(0, len(words), _WORDS)]
+    return tuple(np.concatenate(part) for part in zip(*parts))
+
+
+def _runs_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     marked = [b"^" + w + b"$" for w in words]
     sizes = np.fromiter(map(len, marked), np.int64, len(marked))
     data = np.frombuffer(b"".join(marked) + bytes(5), np.uint8).astype(np.uint64)
@@ -56,7 +62,7 @@ def _char_runs(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             holders.append(owner[inside])
     holder = np.concatenate(holders)
     order = np.argsort(holder, kind="stable")
-    return np.concatenate(rows)[order], np.bincount(holder, minlength=len(words))
+    return np.concatenate(rows)[order].astype(np.int32), np.bincount(holder, minlength=len(words)).astype(np.int32)
 
 
 def _scatter(index: np.ndarray, values: np.ndarray, rows: int) -> np.ndarray:
@@ -121,6 +127,17 @@ class Network:
         """What words add to the gates of both directions."""
         return {s: x @ self.w[f"in_{s}"] + self.w[f"b_{s}"] for s in "fb"}
 
+    def gates(self, rows: np.ndarray, runs: np.ndarray, counts: np.ndarray) -> dict[str, np.ndarray]:
+        """``projected`` for any number of words, some at a time."""
+        out = {s: np.empty((len(rows), 3 * HIDDEN), np.float32) for s in "fb"}
+        ends = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+        for a in range(0, len(rows), _WORDS):
+            b = min(a + _WORDS, len(rows))
+            some = self.projected(self.inputs(rows[a:b], runs[ends[a] : ends[b]], counts[a:b]))
+            for s in "fb":
+                out[s][a:b] = some[s]
+        return out
+
     def _read(self, side: str, given: np.ndarray, mask: np.ndarray, keep: list | None) -> np.ndarray:
         """States of one direction; where the mask is 0 the state stays as it is."""
         steps, n, _ = given.shape
@@ -225,7 +242,7 @@ def train(texts: list[bytes | None], labels: np.ndarray, epochs: int = EPOCHS, r
     for epoch in range(epochs):
         adam.rate = rate * (1 if epoch < epochs * 2 // 3 else 0.3)
         # Toxic texts train on their highest window, clean ones on it and a random one.
-        given = net.projected(net.inputs(rows, runs, lengths))
+        given = net.gates(rows, runs, lengths)
         logit = _score(net, given, first, size, ids)
         order = np.lexsort((-logit, owner))
         top = order[np.concatenate([[True], owner[order][1:] != owner[order][:-1]])]
@@ -286,9 +303,9 @@ class Scorer:
             self.known = {}
         new = [w for w in vocabulary if w not in self.known]
         if new:
-            x = self.net.inputs(np.array([_word_row(w) for w in new]), *_char_runs(new))
             count = len(self.known)
-            for s, g in self.net.projected(x).items():
+            found = self.net.gates(np.array([_word_row(w) for w in new]), *_char_runs(new))
+            for s, g in found.items():
                 if count + len(new) > len(self.given[s]):
                     room = np.empty((2 * (count + len(new)), 3 * HIDDEN), np.float32)
                     room[:count] = self.given[s][:count]
@@ -320,14 +337,18 @@ def sample(labelled: DataFrame, doc_id: str, label: str, most: int = SAMPLE) ->
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Network:
     """Train on documents with a label for which ``usable`` holds. Rows without an id, a
-    text or a label are not used; without both labels the network stays as it begins."""
-    known = labels.where(F.col(label).isin(0, 1)).where(usable).select(doc_id, label).dropDuplicates([doc_id])
+    text or a label are not used; without both labels the network stays as it begins. An id
+    with both labels counts as 1; of an id's texts, however often it occurs, the last in
+    order of bytes is used."""
+    known = labels.where(F.col(label).isin(0, 1)).where(usable).groupBy(doc_id).agg(F.max(label).alias(label))
     chosen = sample(known, doc_id, label)
     found = (
         docs.select(doc_id, F.col(text).cast("binary").alias("text"))
         .join(F.broadcast(chosen), doc_id)
         .where("text is not null")
-        .orderBy(doc_id, "text")
+        .groupBy(doc_id, label)
+        .agg(F.max("text").alias("text"))
+        .orderBy(doc_id)
         .select("text", label)
         .toArrow()
     )
