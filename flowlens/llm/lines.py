@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.llm.linking import link_groups, lookup
-from flowlens.llm.words import let
+from flowlens.llm.words import let, unused
 from flowlens.session import materialize
 
 EDITS = 2
@@ -262,7 +262,7 @@ def drop_repeated_lines(
     Rows, columns, blank lines and texts that lose nothing stay as they are, so a text
     may become empty; null texts stay null.
     """
-    row, gone_row, gone = "__row", "__gone_row", "__gone"
+    row, gone_row, gone = unused(docs.columns, "row", "gone_row", "gone")
     lost = (
         repeated_lines(docs, edits, least, doc_id, text)
         .groupBy(F.col("row").alias(gone_row))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.llm.linking import SetFilter, link_groups, lookup
-from flowlens.llm.words import distinct, hashes, mix, shingles, tokenize
+from flowlens.llm.words import distinct, hashes, mix, shingles, tokenize, unused
 from flowlens.session import materialize
 
 BANDS, ROWS = 40, 6  # at a similarity of 0.8 a pair shares no band once in 190,000 pairs
@@ -209,5 +209,6 @@ def near_duplicates(
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` without the rows whose document is in a group with a smaller id."""
     gone = near_duplicates(docs, doc_id=doc_id, text=text, **options).where(~F.col("kept"))
-    gone = materialize(gone.select(F.col("doc_id").alias("_id")).distinct(), "gone")
-    return docs.join(lookup(gone), F.col(doc_id).cast("bigint") == F.col("_id"), "left_anti")
+    (name,) = unused(docs.columns, "gone")
+    gone = materialize(gone.select(F.col("doc_id").alias(name)).distinct(), "gone")
+    return docs.join(lookup(gone), F.col(doc_id).cast("bigint") == F.col(name), "left_anti")

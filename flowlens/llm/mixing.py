@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlens.llm.words import words
+from flowlens.llm.words import unused, words
 from flowlens.session import materialize
 
 WEIGHTS = (3, 1, 2)
@@ -177,27 +177,28 @@ def mix_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", s
 
     Documents of which nothing is taken go. A document without words goes too.
     """
+    of, src, size, taken, n, take = unused(docs.columns, "of", "src", "size", "taken", "n", "take")
     plan = mix(docs, text, doc_id, source, **options).where("taken > 0").select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("size").alias("_size"),
-        F.col("taken").alias("_taken"),
+        F.col("doc_id").alias(of), F.col("source").alias(src), F.col("size").alias(size),
+        F.col("taken").alias(taken),
     ).distinct()
-    rows = docs.withColumn("_n", F.size(words(F.col(text))).cast("bigint"))
+    rows = docs.withColumn(n, F.size(words(F.col(text))).cast("bigint"))
     same = (
-        F.col(doc_id).eqNullSafe(F.col("_id"))
-        & F.col(source).eqNullSafe(F.col("_src"))
-        & (F.col("_n") == F.col("_size"))
+        F.col(doc_id).eqNullSafe(F.col(of))
+        & F.col(source).eqNullSafe(F.col(src))
+        & (F.col(n) == F.col(size))
     )
-    rest = F.col("_taken") % F.col("_n")
+    rest = F.col(taken) % F.col(n)
     times = F.concat(
-        F.array_repeat(F.col("_n"), F.floor(F.col("_taken") / F.col("_n")).cast("int")),
+        F.array_repeat(F.col(n), F.floor(F.col(taken) / F.col(n)).cast("int")),
         F.when(rest > 0, F.array(rest)).otherwise(F.expr("cast(array() as array<bigint>)")),
     )
-    whole = F.col("_take") == F.col("_n")
+    whole = F.col(take) == F.col(n)
     # The first words: skip blanks, then as many words with the blanks between them.
-    cut = F.array_join(F.slice(words(F.col(text)), F.lit(1), F.col("_take").cast("int")), " ")
+    cut = F.array_join(F.slice(words(F.col(text)), F.lit(1), F.col(take).cast("int")), " ")
     return (
         rows.join(plan, same)
-        .withColumn("_take", F.explode(times))
+        .withColumn(take, F.explode(times))
         .withColumn(text, F.when(whole, F.col(text)).otherwise(cut))
         .select(*docs.columns)
     )

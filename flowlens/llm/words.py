@@ -26,6 +26,18 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores in front as keep it apart from ``columns``."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def tokenize(texts: list[bytes | None], lower: bool = True):
     """Words of many texts as numbers: ``(ids, ends, vocabulary)``.
 
