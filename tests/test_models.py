@@ -5,8 +5,10 @@ from __future__ import annotations
 import pytest
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
+from flowlens.functions.vectors import active_indices, value_at, vector_size
 from flowlens.plans import experiment, models
 from flowlens.plans.prepare import CoarseLabeler, fit_features, prepared
 from flowlens.operators.metrics import ranking_area
@@ -305,3 +307,22 @@ def test_search_logs_every_point_of_every_round(records, algorithm, grid):
     log = experiment.search(records, 14, algorithm, ["conn_id"], grid, rounds=2).collect()
     assert len(log) == 6 and {r["fold"] for r in log} == {0, 1}
     assert len({(r["fold"], r["value"]) for r in log}) > 1
+
+
+def test_sparse_vectors_are_not_filled_up(spark):
+    wide = 2_000_000_000  # filled up, one vector would take 16 GB
+    rows = spark.createDataFrame(
+        [
+            (1, Vectors.sparse(wide, [0, 7, wide - 1], [0.5, 0.0, 1.0])),
+            (2, Vectors.dense([0.0, 2.0, 0.0])),
+            (3, Vectors.sparse(4, [], [])),
+        ],
+        ["id", "v"],
+    )
+    v = F.col("v")
+    found = rows.orderBy("id").select(active_indices(v), vector_size(v), value_at(v, 0), value_at(v, 7), value_at(v, 1))
+    assert [tuple(row) for row in found.collect()] == [
+        ([0, wide - 1], wide, 0.5, 0.0, 0.0),
+        ([1], 3, 0.0, None, 2.0),
+        ([], 4, 0.0, None, 0.0),
+    ]
