@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from flowlens.functions.split import id_hash
 from flowlens.operators.lookup import broadcast_if_small
 from flowlens.plans.models import estimator
-from flowlens.session import scratch_path
+from flowlens.session import discard, materialize, scratch_path
 
 # Chances of a row to be drawn at most 0, 1, ... times when as many rows are drawn as there are.
 _DRAWN = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(10)]
@@ -25,14 +25,18 @@ _DRAWN = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in r
 # --- bootstrapping by a hash ----------------------------------------------------------------
 
 
-def drawn_times(seed: int, *ids: Column) -> Column:
+def drawn_times(seed: int | Column, *ids: Column) -> Column:
     """How often a row is in a bootstrap sample: Poisson by a hash of its id.
 
     Depends on seed and id alone, so a task that runs again draws the same rows.
     """
-    at = id_hash(seed, *ids)
-    over = [F.when(at >= F.lit(math.floor(chance * (1 << 32))), 1).otherwise(0) for chance in _DRAWN]
-    return sum(over, F.lit(0)).cast("double")
+    cuts = [math.floor(chance * (1 << 32)) for chance in _DRAWN]
+
+    def times(at: Column) -> Column:
+        return sum([F.when(at >= F.lit(cut), 1).otherwise(0) for cut in cuts], F.lit(0)).cast("double")
+
+    # Inside a lambda the hash is one value; elsewhere each comparison may compute it again.
+    return F.get(F.transform(F.array(id_hash(seed, *ids)), times), F.lit(0))
 
 
 def fit_bagged(
@@ -40,17 +44,23 @@ def fit_bagged(
 ) -> list[Model]:
     """Trees on bootstrap samples of ``df``, tree ``j`` on the one of seed ``seed + j``.
 
-    The same rows give the same trees, however they are partitioned. ``df`` should be
-    stored or cached, as every tree reads it.
+    The same rows give the same trees, however they are partitioned. What the learner needs
+    is stored with the draws of all trees, as it reads the rows several times for each.
     """
+    keys = [F.col(c) for c in ids]
+    draws = F.array(*[drawn_times(seed + number, *keys).cast("tinyint") for number in range(trees)])
+    stored = materialize(df.select("features", "label", draws.alias("draws")), "drawn")
 
     def one(number: int) -> Model:
-        drawn = df.withColumn("drawn", drawn_times(seed + number, *[F.col(c) for c in ids]))
+        drawn = stored.select("features", "label", F.get("draws", F.lit(number)).cast("double").alias("drawn"))
         learner = estimator("DTree", **params)
         return learner.setWeightCol("drawn").fit(drawn.where("drawn > 0"))
 
-    with ThreadPool(max(1, min(parallelism, trees))) as pool:
-        return pool.map(inheritable_thread_target(df.sparkSession)(one), range(trees))
+    try:
+        with ThreadPool(max(1, min(parallelism, trees))) as pool:
+            return pool.map(inheritable_thread_target(df.sparkSession)(one), range(trees))
+    finally:
+        discard(stored)
 
 
 # --- nodes ------------------------------------------------------------------------------------
