@@ -9,9 +9,10 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from flowlens.functions.vectors import active_indices, value_at, vector_size
-from flowlens.plans import experiment, models
+from flowlens.plans import experiment, models, trees
 from flowlens.plans.prepare import CoarseLabeler, fit_features, prepared
 from flowlens.operators.metrics import ranking_area
+from flowlens.queries import learning
 from flowlens.queries.traffic import connections
 from flowlens.sources import synthetic
 from flowlens.sources.models import load_model, save_model
@@ -326,3 +327,21 @@ def test_sparse_vectors_are_not_filled_up(spark):
         ([1], 3, 0.0, None, 2.0),
         ([], 4, 0.0, None, 0.0),
     ]
+
+
+def test_draws_hash_a_row_once(spark):
+    rows = spark.range(200).withColumn("tree", (F.col("id") % 3).cast("int"))
+    by_column = trees.drawn_times(F.col("tree") + 100, F.col("id"))
+    plan = rows.select(by_column)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("md5(") <= 2  # the expression and its name
+    by_number = F.coalesce(*[F.when(F.col("tree") == j, trees.drawn_times(100 + j, F.col("id"))) for j in range(3)])
+    assert rows.where(by_column != by_number).count() == 0
+
+
+def test_forest_scores_rows_that_share_their_keys(spark, tmp_path):
+    items = spark.read.parquet(f"{SF_DIR}/lineitem.parquet").limit(300)
+    # The same keys again, with other features.
+    twins = items.withColumn("l_quantity", (F.col("l_quantity") % 50) + 1)
+    items.unionByName(twins).write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = learning.forest_scores(spark, str(tmp_path))
+    assert found.count() == 600 and found.where("trees <> 10").count() == 0
