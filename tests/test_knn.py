@@ -215,3 +215,30 @@ def test_approximate_search_measures_its_recall(spark):
     assert recall(knn_approximate(asked, train.limit(0), 3), knn_join(asked, train.limit(0), 3)).first()["found"] == 0
     with pytest.raises(ValueError):
         knn_approximate(asked, train, 5, share=0)
+
+
+def test_rough_kinds_keep_every_neighbour():
+    from flowlens.operators import knn
+
+    rng = np.random.default_rng(3)
+    a, b = rng.normal(size=(40, 16)), rng.normal(size=(5000, 16))
+    far = np.vstack([b, np.full((1, 16), 1e9)])  # one outlier makes steps and errors large
+    copies = np.repeat(b[:5], 900, axis=0)
+    for points in (b, far, copies, b * 1e35):
+        order = rng.permutation(len(points))
+        for p in (1, 2, 3):
+            exact = knn.distances(a, points, p)
+            rows, columns, dist = knn.block_top_k(a, points, order, 6, p)
+            assert rows.tolist() == np.repeat(np.arange(40), 6).tolist()
+            for i in range(40):
+                best = np.lexsort((order, exact[i]))[:6]
+                assert columns[6 * i : 6 * i + 6].tolist() == best.tolist()
+                assert dist[6 * i : 6 * i + 6].tolist() == exact[i, best].tolist()
+
+
+def test_blocks_copy_each_row_a_few_times():
+    from flowlens.operators import knn
+
+    # A million rows on each side: no row goes to more than a few dozen blocks.
+    million = np.array([1_000_000])
+    assert max(knn._blocks(million, knn._block_rows(million, million, 12))) <= 40
