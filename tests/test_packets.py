@@ -304,3 +304,17 @@ def test_cut_off_records_fail_on_request(spark, tmp_path):
         assert [(r["caplen"], bytes(r["frame"])) for r in kept] == [(2, b"xy"), (9, b"abc")][: 2 - k]
         with pytest.raises(Exception, match="cut-off record"):
             read_capture(spark, str(path), strict=True).collect()
+
+
+def test_frames_of_one_row_group_are_many_tasks(spark):
+    """Splits of a file do not cut a row group: all but one of these are empty."""
+    from flowlens.queries import traffic
+
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50k")
+    try:
+        for frames in (traffic.event_frames, traffic.deep_frames):
+            tasks = frames(spark, "/root/testdata/sf0.1").groupBy(F.spark_partition_id()).count().collect()
+            assert max(row["count"] for row in tasks) < 2 * traffic.FRAMES_PER_TASK
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
