@@ -242,3 +242,11 @@ def test_blocks_copy_each_row_a_few_times():
     # A million rows on each side: no row goes to more than a few dozen blocks.
     million = np.array([1_000_000])
     assert max(knn._blocks(million, knn._block_rows(million, million, 12))) <= 40
+
+
+def test_approximate_neighbours_of_a_small_table(spark):
+    """A fifth of the buckets holds nine of ten neighbours on few records too."""
+    from flowlens.queries import learning
+
+    row = learning.knn_approximate_recall(spark, f"{TESTDATA}/sf0.001").first()
+    assert row["enough"] and row["queries"] == 142
