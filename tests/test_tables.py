@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+import re
 from types import SimpleNamespace
 
+import oracle
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -17,6 +19,7 @@ from flowlens.functions import labels as L
 from flowlens.functions.split import fold_of, in_holdout
 from flowlens.operators import encode, lookup, metrics, profile, project, ragged, scale, trim
 from flowlens.operators.leaderboard import RUN_LOG_SCHEMA, leaderboard, params_key, summarize_runs
+from flowlens.queries import learning
 from flowlens.session import scratch_path, scratch_root
 from flowlens.sources import synthetic, tables
 
@@ -283,6 +286,34 @@ def test_scaling_learns_from_the_train_part_only(spark):
     assert [r["a"] for r in scale.scale_minmax(test, ["a"], fit_on=train).collect()] == [2.0, -0.5]
 
 
+def test_scaling_of_many_columns(spark):
+    names = [f"c{i}" for i in range(12)]
+    rows = [(i, *[None if j == i else float("nan") if j == i + 1 else float(i * j) for j in range(12)]) for i in range(5)]
+    df = spark.createDataFrame(rows, "id int, " + ", ".join(f"{c} double" for c in names))
+    wide = scale.MinMax(inputCols=names).fit(df).transform(df)
+    assert wide.columns == df.columns
+    each = df
+    for begin in range(0, 12, 4):  # few columns are scaled one by one
+        each = scale.scale_minmax(each, names[begin : begin + 4])
+    assert sorted(wide.collect()) == sorted(each.collect())
+    kept = scale.MinMax(inputCols=names, fillNull=False).fit(df).transform(df)
+    assert [r["c3"] for r in kept.orderBy("id").collect()] == [0.0, 0.25, None, None, 1.0]
+
+
+def test_prepared_rows_compile_to_short_methods(spark, capsys):
+    """The virtual machine optimizes no method of more than 8,000 bytes."""
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = learning.prepare_41(spark, f"{oracle.TESTDATA}/sf0.001")
+        capsys.readouterr()
+        rows.explain("codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) <= 8000
+
+
 # --- trimming --------------------------------------------------------------------------------
 
 
