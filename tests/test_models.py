@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import oracle
 import pytest
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -345,3 +346,19 @@ def test_forest_scores_rows_that_share_their_keys(spark, tmp_path):
     items.unionByName(twins).write.parquet(str(tmp_path / "lineitem.parquet"))
     found = learning.forest_scores(spark, str(tmp_path))
     assert found.count() == 600 and found.where("trees <> 10").count() == 0
+
+
+def test_parts_for_trees_are_stored_and_keep_their_slots(spark):
+    """Executor memory is left to the learners, and one-hot slots stay binary for trees."""
+    rows = connections(spark, f"{oracle.TESTDATA}/sf0.001")
+    train, test = models.holdout(rows, "conn_id")
+    before = len(spark.sparkContext._jsc.getPersistentRDDs())
+    with experiment._prepared_parts(train, test, 41, "DTree", ["conn_id"]) as parts:
+        sizes = [part.count() for part in parts]
+        assert len(spark.sparkContext._jsc.getPersistentRDDs()) == before
+        expected = prepared(fit_features(train, 41), train)
+        assert parts[0].schema["features"].metadata == expected.schema["features"].metadata
+        assert "binary" in parts[0].schema["features"].metadata["ml_attr"]["attrs"]
+        assert parts[0].exceptAll(expected).count() == 0
+    assert sizes == [train.count(), test.count()]
+    assert models.TREE_MEMORY_MB * 4 <= 1024  # in each of four tasks of an executor
