@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.functions import packets as P
+from flowlens.session import materialize
 
 
 def _step(df: DataFrame, **columns: str) -> DataFrame:
@@ -159,14 +160,16 @@ def layer_fields(packets: DataFrame) -> DataFrame:
 def protocol_table(packets: DataFrame, name: str, columns: list[str] | None = None) -> DataFrame:
     """The layers of one protocol, a column per field; missing fields are null.
 
-    Without ``columns`` the fields are looked up first, which is one more pass; a
-    protocol has no more fields than its header description and options name.
+    Without ``columns`` the fields are looked up first, in the layers of that protocol,
+    which are stored for it, so that the packets are dissected once; a protocol has no
+    more fields than its header description and options name.
     """
     rows = layer_rows(packets.where(P.has_layer(F.col("layers"), name))).where(
         F.col("name") == name
     )
     if columns is None:
-        found = layer_fields(packets).where(F.col("name") == name).select("field")
+        rows = materialize(rows, "protocol")
+        found = rows.select(F.explode(F.map_keys("fields")).alias("field")).distinct()
         columns = sorted(row["field"] for row in found.collect())
     return rows.select(
         "file",

@@ -5,12 +5,14 @@ from __future__ import annotations
 import datetime as dt
 import struct
 
+import oracle
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from flowlens.functions import packets as P
 from flowlens.operators import layers as D
+from flowlens.queries.traffic import event_frames, write_event_captures
 from flowlens.schema import FRAME_SCHEMA
 from flowlens.session import scratch_path
 from flowlens.sources.captures import read_capture
@@ -318,3 +320,34 @@ def test_frames_of_one_row_group_are_many_tasks(spark):
             assert max(row["count"] for row in tasks) < 2 * traffic.FRAMES_PER_TASK
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_protocol_table_dissects_once(spark):
+    looked = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            looked.add(batch.num_rows)
+            yield batch
+
+    frames = event_frames(spark, f"{oracle.TESTDATA}/sf0.001").limit(40)
+    rows = frames.count()
+    counted = frames.mapInArrow(count, frames.schema)
+    table = D.protocol_table(D.dissect(counted), "IP")
+    named = D.protocol_table(D.dissect(frames), "IP", table.columns[3:])
+    assert "src" in table.columns and table.collect() and sorted(table.collect()) == sorted(named.collect())
+    assert looked.value == rows
+
+
+def test_triggers_are_bounded_by_bytes(spark, tmp_path):
+    """Small captures go together, so that triggers grow with the bytes, not with the files."""
+    write_event_captures(spark, f"{oracle.TESTDATA}/sf0.01", str(tmp_path / "in"))
+    size = sum(f.stat().st_size for f in (tmp_path / "in").glob("*.pcap"))
+    found = []
+    for limit in (size * 2, size // 2):
+        lines = packet_lines(stream_capture(spark, str(tmp_path / "in"), bytes_per_trigger=limit))
+        out = str(tmp_path / f"out-{limit}")
+        query = write_stream(lines, out, str(tmp_path / f"checkpoint-{limit}"))
+        query.awaitTermination()
+        found.append((query.lastProgress["batchId"], spark.read.parquet(out).count()))
+    assert found[0] == (0, 10_000) and found[1][0] > 0 and found[1][1] == 10_000
