@@ -21,6 +21,8 @@ from flowlens.sources.captures import read_capture
 from flowlens.streaming.growing import frames_read, read_on
 from flowlens.streaming.packets import packet_lines, stream_capture, write_stream
 
+TRIGGER_BYTES = 128 << 20
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -391,7 +393,7 @@ def capture_growing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _streamed(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
     lines = packet_lines(
-        stream_capture(spark, _captures(spark, sf_dir), files_per_trigger=50, **options)
+        stream_capture(spark, _captures(spark, sf_dir), bytes_per_trigger=TRIGGER_BYTES, **options)
     )
     path = scratch_path(spark, "packet-lines")
     write_stream(lines, path, scratch_path(spark, "packet-lines-checkpoint")).awaitTermination()

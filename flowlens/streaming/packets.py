@@ -18,14 +18,20 @@ def stream_capture(
     path: str,
     pattern: str = PATTERN,
     files_per_trigger: int | None = None,
+    bytes_per_trigger: int | None = None,
     **options,
 ) -> DataFrame:
-    """Streaming frames of the capture files in a folder, each file once."""
+    """Streaming frames of the capture files in a folder, each file once.
+
+    A trigger takes so many files, or whole files of so many bytes, at most one of the two.
+    """
     reader = (
         spark.readStream.format("binaryFile").schema(_FILES).option("pathGlobFilter", pattern)
     )
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    if bytes_per_trigger:
+        reader = reader.option("maxBytesPerTrigger", bytes_per_trigger)
     return frames_of(reader.load(path), **options)
 
 
