@@ -4,7 +4,8 @@ A bucket names things that may be similar. Groups need no more than enough confi
 links to hold together, so most pairs of a large bucket need no look: each thing is
 first compared with one hub of the bucket, and only things that are then still in
 different groups are compared with each other. Links between things of one group are
-not lost, they would change nothing.
+not lost, they would change nothing. Buckets that are still large then share something
+that makes no link; finer ones take their place, by what is rare in them.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from flowlens.session import materialize
 
 BROADCAST_ROWS = 500_000  # of two or three numbers each
+LARGE = 16  # members of a bucket that are compared pair by pair without finer buckets
 
 
 def lookup(df: DataFrame, rows: int | None = None) -> DataFrame:
@@ -90,6 +92,7 @@ def link_groups(
     confirm: Callable[[DataFrame], DataFrame],
     only: SetFilter | None = None,
     hub_rounds: int = 2,
+    finer: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """``id, component`` of all ids that are linked with another.
 
@@ -104,6 +107,11 @@ def link_groups(
 
     Later hubs differ from bucket to bucket, so that a thing meets many others in one
     round. From then on only the pairs are compared that ``only`` allows.
+
+    Buckets that are left with more than ``LARGE`` members share something common that
+    makes no links. ``finer`` gets their ``id`` and returns ``bucket, id, lead, far`` with
+    buckets of its own, in which all links among these ids are candidates again. They
+    take the place of the large ones; hubs are those of least ``far``.
     """
     lead = F.when(F.col("lead"), F.col("id"))
     hubs = (
@@ -116,51 +124,81 @@ def link_groups(
     shared = materialize(
         members.join(lookup(hubs), "bucket").select("bucket", "id", "lead", "hub").distinct(), "shared"
     )
-    tested = links = groups = None
-    for turn in range(hub_rounds + 1):
-        if turn:
-            open_ = _unsettled(shared.select("bucket", "id", "lead"), groups)
-            if only:
-                open_ = open_.join(only.rows, "id")
-            shared = materialize(open_, "open")
-        if not shared.take(1):
-            break
-        if turn == 0:
-            pairs = shared.where("id <> hub").select(F.col("hub").alias("id_2"), "id")
-        else:
-            other = shared
-            if turn < hub_rounds:
-                order = F.struct(F.xxhash64("id", "bucket", F.lit(turn)), *shared.columns)
-                hub = shared.where("lead").groupBy("bucket").agg(F.min(order).alias("hub"))
-                other = hub.select(*[F.col(f"hub.{c}").alias(c) for c in shared.columns])
-                fits = F.expr("component <> component_2")
-            else:
-                fits = F.expr("component < component_2 and (lead or lead_2)")
-            other = other.select(*[F.col(c).alias(c if c == "bucket" else f"{c}_2") for c in shared.columns])
-            if only:
-                fits &= only.allows("_2")
-            pairs = shared.join(other, "bucket").where(fits).select("id_2", "id")
+    found = _Found(confirm, only)
+    found.compare(shared.where("id <> hub").select(F.col("hub").alias("id_2"), "id"))
+    shared = shared.select("bucket", "id", "lead", F.lit(0).alias("far"))
+    for turn in range(1, hub_rounds):
+        shared = found.unsettled(shared)
+        found.compare(found.with_hubs(shared, turn))
+    shared = found.unsettled(shared)
+    if finer:
+        large = materialize(shared.groupBy("bucket").count().where(F.col("count") > LARGE).select("bucket"), "large")
+        few = large.count()
+        if few:
+            ids = shared.join(lookup(large, few), "bucket").select("id").distinct()
+            fine = materialize(finer(materialize(ids, "ids")), "finer")
+            fine = found.unsettled(fine)
+            found.compare(found.with_hubs(fine, hub_rounds))
+            small = shared.join(lookup(large, few), "bucket", "left_anti")
+            shared = found.unsettled(small.unionByName(fine))
+    found.compare(found.all_pairs(shared))
+    return components(hubs.selectExpr("hub as a", "hub as b").limit(0)) if found.groups is None else found.groups
+
+
+class _Found:
+    """Pairs that were compared, the links among them, and the groups these make."""
+
+    def __init__(self, confirm: Callable[[DataFrame], DataFrame], only: SetFilter | None):
+        self.confirm, self.only = confirm, only
+        self.tested = self.links = self.groups = None
+
+    def compare(self, pairs: DataFrame) -> None:
+        """Confirm the pairs ``id, id_2`` that were not compared before."""
         pairs = pairs.select(F.least("id_2", "id").alias("a"), F.greatest("id_2", "id").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        if self.tested is not None:
+            pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
         if not pairs.take(1):
-            continue
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        found = materialize(confirm(pairs), "confirmed")
-        links = found if links is None else links.unionByName(found)
-        groups = components(links)
-    none = hubs.selectExpr("hub as a", "hub as b").limit(0)
-    return components(none) if groups is None else groups
-
-
-def _unsettled(shared: DataFrame, groups: DataFrame) -> DataFrame:
-    """Members, with their groups, of the buckets that have members of several groups."""
-    named = shared.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    several = (
-        named.groupBy("bucket")
-        .agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        .where("low <> high")
-        .select("bucket")
-    )
-    return named.join(several, "bucket")
+            return
+        self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
+        new = materialize(self.confirm(pairs), "confirmed")
+        if not new.take(1):
+            return
+        self.links = new if self.links is None else self.links.unionByName(new)
+        self.groups = components(self.links)
+
+    def unsettled(self, shared: DataFrame) -> DataFrame:
+        """Members, with their groups, of the buckets that have members of several groups."""
+        shared = shared.select("bucket", "id", "lead", "far")
+        if self.groups is None:
+            named = shared.withColumn("component", F.col("id"))
+        else:
+            named = shared.join(self.groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        several = (
+            named.groupBy("bucket")
+            .agg(F.min("component").alias("low"), F.max("component").alias("high"))
+            .where("low <> high")
+            .select("bucket")
+        )
+        named = named.join(several, "bucket")
+        if self.only:
+            named = named.join(self.only.rows, "id")
+        return materialize(named, "open")
+
+    def with_hubs(self, shared: DataFrame, turn: int) -> DataFrame:
+        """Pairs of ids of different groups with the hub of their bucket."""
+        order = F.struct(F.col("far").alias("_far"), F.xxhash64("id", "bucket", F.lit(turn)), *shared.columns)
+        hub = shared.where("lead").groupBy("bucket").agg(F.min(order).alias("hub"))
+        hub = hub.select(*[F.col(f"hub.{c}").alias(c if c == "bucket" else f"{c}_2") for c in shared.columns])
+        return self._joined(shared, hub, F.expr("component <> component_2"))
+
+    def all_pairs(self, shared: DataFrame) -> DataFrame:
+        """Pairs of ids of different groups that share a bucket in which one of them leads."""
+        other = shared.select(*[F.col(c).alias(c if c == "bucket" else f"{c}_2") for c in shared.columns])
+        fits = F.expr("component <> component_2 and (component < component_2 or not lead_2)")
+        return self._joined(shared.where("lead"), other, fits)
+
+    def _joined(self, shared: DataFrame, other: DataFrame, fits: Column) -> DataFrame:
+        if self.only:
+            fits &= self.only.allows("_2")
+        return shared.join(other, "bucket").where(fits).select("id_2", "id")

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.llm.linking import SetFilter, link_groups, lookup
@@ -143,6 +143,37 @@ def _similar(texts: DataFrame, size: int, percent: int) -> DataFrame:
     return texts.mapInArrow(run, "a bigint, b bigint")
 
 
+def _rare_shingles(texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """``bucket, id, lead, far`` of ``id, text``: texts that are similar enough share a bucket.
+
+    The shingles of a text are put in order, those first that few of the texts have. Sets
+    that have so much in common share one of the first, of which the smaller set needs
+    fewer: there it leads.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for begin in range(0, whole.num_rows, _BATCH):
+                batch = whole.slice(begin, _BATCH)
+                values, owner = shingle_sets(batch.column(1).to_pylist(), size)
+                sizes = np.bincount(owner, minlength=batch.num_rows)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(owner)), pa.array(values.view(np.int64)), pa.array(sizes[owner])],
+                    names=["id", "bucket", "size"],
+                )
+
+    sets = materialize(texts.mapInArrow(run, "id bigint, bucket bigint, size bigint"), "sets")
+    often = sets.groupBy("bucket").agg(F.count("*").alias("often"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("often", "bucket"))
+    placed = sets.join(often, "bucket").withColumn("place", place)
+    # Of x and y, x not smaller, at least percent of x and 2 * percent / (100 + percent) of y are shared.
+    probes = f"size - ({percent} * size + 99) div 100 + 1"
+    leads = f"size - (2 * {percent} * size + 99 + {percent}) div (100 + {percent}) + 1"
+    return placed.where(f"often > 1 and place <= {probes}").select(
+        "bucket", "id", F.expr(f"place <= {leads}").alias("lead"), F.lit(0).alias("far")
+    )
+
+
 def near_duplicates(
     docs: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS,
     doc_id: str = "doc_id", text: str = "text",
@@ -191,7 +222,10 @@ def near_duplicates(
     bits = has_set.join(classes, [*of_set, "doc_id", "text_hash"]).select(
         "id", F.col("n_shingles").alias("size"), *[F.get("bits", F.lit(i)).alias(f"bits{i}") for i in range(WORDS)]
     )
-    groups = link_groups(members, confirm, SetFilter(bits.dropDuplicates(["id"]), percent))
+    groups = link_groups(
+        members, confirm, SetFilter(bits.dropDuplicates(["id"]), percent),
+        finer=lambda ids: _rare_shingles(texts_of(ids), size, percent),
+    )
     named = classes.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("_smallest"))
     named = materialize(named.join(smallest, "component").select(*of_set, "_smallest"), "named")

@@ -236,3 +236,72 @@ def test_lines_of_odd_tables(spark):
     assert rows == [(-1, 0, 0), (-1, 1, 1), (3, 1, 0), (3, 1, 0), (7, 1, 1)]
     assert lines.summary(docs.limit(0)).collect() == []
     assert lines.drop_repeated_lines(docs.limit(0)).collect() == []
+
+
+@pytest.fixture
+def compared(monkeypatch):
+    """How many pairs each round compares."""
+    counts = []
+    store = linking.materialize
+
+    def counting(df, label):
+        stored = store(df, label)
+        if label == "pairs":
+            counts.append(stored.count())
+        return stored
+
+    monkeypatch.setattr(linking, "materialize", counting)
+    return counts
+
+
+@pytest.mark.parametrize(("size", "percent"), [(3, 85), (1, 60)])
+def test_rare_shingles_bring_links_together(spark, size, percent):
+    """Sets that are similar enough share a bucket, in which one of them leads."""
+    texts = sorted({t for t in near_texts() if t and t.strip()})
+    sets = [shingle_set(t, size) for t in texts]
+    df = spark.createDataFrame([(i, bytearray(t.encode())) for i, t in enumerate(texts)], "id bigint, text binary")
+    of = defaultdict(dict)
+    for r in minhash._rare_shingles(df, size, percent).collect():
+        of[r["id"]][r["bucket"]] = r["lead"]
+    links = [
+        (i, j) for i in range(len(sets)) for j in range(i)
+        if 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])
+    ]
+    assert len(links) > 60
+    assert [k for k in links if not any(of[k[0]][b] or of[k[1]][b] for b in of[k[0]].keys() & of[k[1]])] == []
+
+
+def test_near_duplicates_by_finer_buckets(spark, monkeypatch):
+    monkeypatch.setattr(linking, "LARGE", 1)
+    test_near_duplicates(spark, 3, 85)
+
+
+def test_lines_share_pieces(spark):
+    """Hardly any pair that is not near comes to the edit distance, and every near one does."""
+    rng = random.Random(47)
+    start = "".join(rng.choice("abcdefgh é") for _ in range(40))
+    rows = []
+    for i in range(400):
+        a = start + "".join(rng.choice("abcdefgh é") for _ in range(rng.randint(40, 90)))
+        b = list(a if i % 2 else start + "".join(rng.choice("abcdefgh é") for _ in range(len(a) - 40)))
+        for _ in range(rng.randint(0, 2)):
+            p = rng.randint(0, len(b))
+            b[p : p + rng.randint(0, 1)] = rng.choice(["", "a", "é"])
+        rows.append((i, a, "".join(b)))
+    df = spark.createDataFrame(rows, "i bigint, a string, b string")
+    got = {r["i"] for r in df.where(lines._share_pieces(F.col("a"), F.col("b"), 2)).collect()}
+    near = {i for i, a, b in rows if distance(a, b) <= 2}
+    assert near <= got
+    assert len(near) >= 200
+    assert len(got) <= len(near) + 4
+
+
+def test_documents_of_a_common_passage(spark, compared):
+    """Documents that share nine tenths of their shingles, too few for a link."""
+    rng = random.Random(43)
+    passage = [f"w{rng.randrange(10**6)}" for _ in range(2000)]
+    texts = [" ".join(passage + [f"u{i}_{k}" for k in range(210)]) for i in range(150)]
+    texts.append(texts[7] + " more")
+    rows = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(documents(spark, texts), 3, 85).collect()}
+    assert rows == {**{i: i for i in range(150)}, 150: 7}
+    assert sum(compared[2:]) <= 10 * len(texts)  # two rounds compare with hubs, by every band
