@@ -3,8 +3,8 @@
 Lines within a few edits of each other share a segment: if a line is cut into one segment
 more than there are edits, one of them is in the other line unchanged, and not far from
 its old place. Lines are indexed by their segments and probe, by length, the substrings
-that can be such a segment. Lines that meet are compared by a banded bit-parallel edit
-distance. All of it is DataFrame functions.
+that can be such a segment. Lines that meet, and have enough smaller pieces in common, are
+compared by a banded bit-parallel edit distance. All of it is DataFrame functions.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from flowlens.session import materialize
 EDITS = 2
 FILLED = r"[^\x20\x09-\x0D]"  # what a line that is not blank has
 LEAST = 20  # shorter lines are compared for equality only
+PIECES = 8  # of a line, all but as many as there are edits are in a line near it
 
 
 def split_lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -171,8 +172,20 @@ def edit_distance(a: Column, b: Column, edits: int) -> Column:
     return F.when(near, F.aggregate(right, state, step, lambda acc: acc["distance"])).otherwise(edits + 1)
 
 
+def _share_pieces(a: Column, b: Column, edits: int) -> Column:
+    """Whether so many pieces of ``a`` are in ``b`` that both can be within some edits.
+
+    An edit changes one piece at most; the others are somewhere in the other line.
+    """
+    n = F.char_length(a)
+    cuts = [(n * F.lit(k) / PIECES).cast("int") for k in range(PIECES + 1)]
+    pieces = [F.substr(a, low + 1, high - low) for low, high in zip(cuts, cuts[1:])]
+    return sum((F.contains(b, piece).cast("int") for piece in pieces), F.lit(0)) >= PIECES - edits
+
+
 def _near(texts: DataFrame, edits: int) -> DataFrame:
     """The pairs ``a, b`` of ``a, b, line_a, line_b`` within ``edits`` edits."""
+    texts = texts.where(_share_pieces(F.col("line_a"), F.col("line_b"), edits))
     # What lines begin and end with alike does not change their distance.
     pair = F.struct(F.col("line_a").alias("x"), F.col("line_b").alias("y"))
     trimmed = _without_common(_without_common(pair))
