@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from flowlens.llm import (
     audit,
+    bigrams,
     exact,
     fingerprints,
     language,
@@ -60,8 +61,8 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language-model scores of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held = language.held_out(F.col("doc_id"))
-    model = language.learn(docs.where(~held))
-    return language.score(docs, model).select(
+    model = bigrams.learn(docs, ~held)
+    return bigrams.score(docs, ~held, model).select(
         "doc_id", held.alias("held_out"), "n_tokens", "n_known",
         F.lit(model.tokens).cast("bigint").alias("train_tokens"), "base_score", "score",
     )
