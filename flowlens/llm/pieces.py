@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MARK = "▁"
-CACHE = 400_000  # distinct words a worker remembers before it starts anew
+CACHE = 200_000  # distinct words a worker remembers before it starts anew
 PAIRS = 1_000_000  # tested pairs of tokens a worker remembers before it starts anew
 
 
