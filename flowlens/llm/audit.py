@@ -21,6 +21,7 @@ from pyspark.sql.window import Window
 
 from flowlens.llm.hot import join_groups
 from flowlens.llm.words import words
+from flowlens.operators.lookup import fits_broadcast
 from flowlens.session import discard, materialize, scratch_path
 
 #: Conditions of the text filters, in their order of bits.
@@ -144,7 +145,9 @@ def interactions(rows: DataFrame, fails: Failing, letters: str = LETTERS) -> tup
         "id", "part", "filter", "good", "toxic",
         F.explode(F.filter(sets, lambda s: s.bitwiseAND(F.col("bit")) == 0)).alias("done"),
     )
-    here = left.select("id", "done")
+    # Survivors are repeated numbers and take little room in files: Spark sizes them by that
+    # and would broadcast millions of rows.
+    here = left.select("id", "done").hint("merge")
     kept = left.groupBy("part", "done").agg(F.count("*").alias("kept"))
     removed = tried.join(here, ["id", "done"], "left_semi").groupBy("part", "filter", "done").agg(
         F.count("*").alias("removed"),
@@ -159,9 +162,13 @@ def interactions(rows: DataFrame, fails: Failing, letters: str = LETTERS) -> tup
     return stored
 
 
+def _measured(counts: DataFrame) -> DataFrame:
+    return F.broadcast(counts) if fits_broadcast(counts) else counts.hint("merge")
+
+
 def by_order(rows: DataFrame, counts, letters: str = LETTERS) -> DataFrame:
     """A row for every part, order and step, zeros included."""
-    kept, removed, redundant = counts
+    kept, removed, redundant = (_measured(x) for x in counts)
     orders = F.array(*[F.lit("".join(order)) for order in permutations(letters)])
     step = F.col("step")
 

@@ -106,3 +106,18 @@ def test_no_labels_and_no_failures(spark):
 def test_empty(spark):
     assert found(spark, [], []) == []
     assert found(spark, [], [(1, 1, 1)]) == []
+
+
+def test_survivors_are_not_broadcast(spark, monkeypatch):
+    """However small the files of the survivors are: their rows are what counts."""
+    plans, store = [], audit.materialize
+
+    def stored(df, label):
+        if label == "counts":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return store(df, label)
+
+    monkeypatch.setattr(audit, "materialize", stored)
+    rows, labels = corpus()
+    assert found(spark, rows, labels) == expected(rows, labels)
+    assert len(plans) == 3 and not any("Broadcast" in plan for plan in plans)
