@@ -251,3 +251,64 @@ def test_approximate_neighbours_of_a_small_table(spark):
 
     row = learning.knn_approximate_recall(spark, f"{TESTDATA}/sf0.001").first()
     assert row["enough"] and row["queries"] == 142
+
+
+@pytest.mark.parametrize("p", [1, 2, 3])
+def test_tree_in_a_task_keeps_every_neighbour(p):
+    """With bounds from elsewhere, without, and where most rows are copies of one point."""
+    from flowlens.operators import knn
+
+    rng = np.random.default_rng(6)
+    a = rng.uniform(size=(70, 4))
+    cloud = rng.uniform(size=(6000, 4))
+    for points in (cloud, np.vstack([cloud[:1500], np.repeat(a[:1], 3000, axis=0)])):
+        order, exact = rng.permutation(len(points)), knn.distances(a, points, p)
+        kth = np.sort(exact, axis=1)[:, 4]
+        for bound in (kth, kth * 1.3, np.full(len(a), np.inf), np.where(np.arange(len(a)) % 2, kth, np.inf)):
+            rows, columns, dist = knn.tree_top_k(a, points, order, 5, p, bound)
+            for i in range(len(a)):
+                best = np.lexsort((order, exact[i]))[:5]
+                assert columns[rows == i].tolist() == best.tolist()
+                assert dist[rows == i].tolist() == exact[i, best].tolist()
+
+
+def _copies(monkeypatch, search, asked):
+    """Mean number of copies of a query in each join of blocks that a search makes."""
+    from flowlens.operators import knn
+
+    seen, join = [], knn._block_join
+
+    def counted(q, *args):
+        seen.append(q.count() / asked)
+        return join(q, *args)
+
+    with monkeypatch.context() as patch:
+        patch.setattr(knn, "_block_join", counted)
+        search()
+    return seen
+
+
+def test_few_copies_of_a_query_travel(spark, monkeypatch):
+    """To large cells, and to cells of many buckets: the shuffle of 1 GB took 70 GB of disk."""
+    from oracle import TESTDATA
+    from pyspark.ml.functions import vector_to_array
+
+    from flowlens.queries import learning
+
+    rows = learning._prepared(spark, f"{TESTDATA}/sf0.01", 14).withColumn("features", vector_to_array("features"))
+    train, asked = rows.where("not held").cache(), rows.where("held").limit(2000).cache()
+    options = {"query_id": "conn_id", "train_id": "conn_id"}
+    exact = _copies(monkeypatch, lambda: knn_join(asked, train, 1, route="boxes", **options), 2000)
+    near = _copies(monkeypatch, lambda: knn_approximate(asked, train, 10, share=0.2, **options), 2000)
+    print(f"copies of a query: exact {exact}, approximate {near}")
+    assert len(exact) == len(near) == 2 and max(exact) < 10 and max(near) < 4
+
+
+def test_sample_of_a_large_table_is_the_same(spark):
+    """Only rows of small hashes are sorted: a task kept, and sent, as many as were asked for."""
+    from flowlens.operators import knn
+
+    rows = spark.range(50_000).select(F.col("id").alias("tid"), F.array(F.col("id").cast("double")).alias("v"))
+    every, least = knn._sample(rows, "tid", 300), knn._sample(rows, "tid", 300, 50_000)
+    assert every.tolist() == least.tolist()
+    assert knn._sample(rows.limit(10), "tid", 300, 10).shape == (10, 1)
