@@ -362,3 +362,24 @@ def test_parts_for_trees_are_stored_and_keep_their_slots(spark):
         assert parts[0].exceptAll(expected).count() == 0
     assert sizes == [train.count(), test.count()]
     assert models.TREE_MEMORY_MB * 4 <= 1024  # in each of four tasks of an executor
+
+
+def test_neighbour_runs_keep_nothing_in_memory(spark, monkeypatch):
+    """A cached train part filled the executors, which keep it beside the blocks they compare."""
+    from oracle import TESTDATA
+
+    from flowlens.plans import experiment
+    from flowlens.queries import learning
+
+    kept, predict = [], experiment.knn_predict
+
+    def watched(*args, **options):
+        kept.append(spark.sparkContext._jsc.getPersistentRDDs().size())
+        plan = args[1]._jdf.queryExecution().withCachedData().toString()
+        kept.append("InMemoryRelation" in plan)
+        return predict(*args, **options)
+
+    monkeypatch.setattr(experiment, "knn_predict", watched)
+    spark.catalog.clearCache()
+    assert learning.run_separate_table(spark, f"{TESTDATA}/sf0.001").count() == 1
+    assert kept == [0, False]
