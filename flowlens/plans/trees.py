@@ -6,15 +6,18 @@ import math
 from functools import reduce
 from multiprocessing.pool import ThreadPool
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.ml import Model
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from flowlens.functions.split import id_hash
-from flowlens.operators.lookup import broadcast_if_small
+from flowlens.functions.split import hash_digits
+from flowlens.operators.lookup import broadcast_if_small, fits_broadcast
 from flowlens.plans.models import estimator
 from flowlens.session import discard, materialize, scratch_path
 
@@ -25,18 +28,40 @@ _DRAWN = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in r
 # --- bootstrapping by a hash ----------------------------------------------------------------
 
 
+def _times(digits: Column) -> Column:
+    """Draws of a row by the digits of its hash; most rows are done after a comparison or two."""
+    found = F.when(digits < f"{math.floor(_DRAWN[0] * (1 << 32)):08x}", 0.0)
+    for k, chance in enumerate(_DRAWN[1:], 1):
+        found = found.when(digits < f"{math.floor(chance * (1 << 32)):08x}", float(k))
+    return found.otherwise(float(len(_DRAWN)))
+
+
 def drawn_times(seed: int | Column, *ids: Column) -> Column:
     """How often a row is in a bootstrap sample: Poisson by a hash of its id.
 
     Depends on seed and id alone, so a task that runs again draws the same rows.
     """
-    cuts = [math.floor(chance * (1 << 32)) for chance in _DRAWN]
+    # Inside a lambda the hash is one value; elsewhere each comparison may compute it again.
+    return F.get(F.transform(F.array(hash_digits(seed, *ids)), _times), F.lit(0))
 
-    def times(at: Column) -> Column:
-        return sum([F.when(at >= F.lit(cut), 1).otherwise(0) for cut in cuts], F.lit(0)).cast("double")
 
-    # Inside a lambda the hash is one value; elsewhere each comparison may compute it again.
-    return F.get(F.transform(F.array(id_hash(seed, *ids)), times), F.lit(0))
+def draw_rows(df: DataFrame, ids: list[str], trees: int = 10, seed: int = 100, merge: bool = True) -> DataFrame:
+    """``features, label, draws``, stored: rows of equal features and label are one, with the
+    draws of all of them for each tree.
+
+    The learner, and a count of the rows in nodes, see no difference, because a weight is a
+    sum; only a least number of rows in a node is of rows that are not merged.
+    """
+    keys = [F.col(c) for c in ids]
+    digits = F.array(*[hash_digits(seed + number, *keys) for number in range(trees)])
+    # With two uses the digits stay a column, which is compiled; within a lambda's argument
+    # they would be interpreted.
+    draws = F.when(F.size("_digits") > 0, F.transform("_digits", _times))
+    drawn = df.select("features", "label", digits.alias("_digits")).select("features", "label", draws.alias("draws"))
+    if not merge:
+        return materialize(drawn, "drawn")
+    sums = F.array(*[F.sum(F.get("draws", F.lit(number))) for number in range(trees)])
+    return materialize(drawn.groupBy("features", "label").agg(sums.alias("draws")), "drawn")
 
 
 def fit_bagged(
@@ -47,20 +72,23 @@ def fit_bagged(
     The same rows give the same trees, however they are partitioned. What the learner needs
     is stored with the draws of all trees, as it reads the rows several times for each.
     """
-    keys = [F.col(c) for c in ids]
-    draws = F.array(*[drawn_times(seed + number, *keys).cast("tinyint") for number in range(trees)])
-    stored = materialize(df.select("features", "label", draws.alias("draws")), "drawn")
+    stored = draw_rows(df, ids, trees, seed, merge=params.get("minInstancesPerNode", 1) == 1)
+    try:
+        return fit_drawn(stored, trees, parallelism, **params)
+    finally:
+        discard(stored)
+
+
+def fit_drawn(drawn: DataFrame, trees: int = 10, parallelism: int = 4, **params) -> list[Model]:
+    """A tree for each of the samples of ``draw_rows``."""
 
     def one(number: int) -> Model:
-        drawn = stored.select("features", "label", F.get("draws", F.lit(number)).cast("double").alias("drawn"))
+        rows = drawn.select("features", "label", F.get("draws", F.lit(number)).alias("drawn"))
         learner = estimator("DTree", **params)
-        return learner.setWeightCol("drawn").fit(drawn.where("drawn > 0"))
+        return learner.setWeightCol("drawn").fit(rows.where("drawn > 0"))
 
-    try:
-        with ThreadPool(max(1, min(parallelism, trees))) as pool:
-            return pool.map(inheritable_thread_target(df.sparkSession)(one), range(trees))
-    finally:
-        discard(stored)
+    with ThreadPool(max(1, min(parallelism, trees))) as pool:
+        return pool.map(inheritable_thread_target(drawn.sparkSession)(one), range(trees))
 
 
 # --- nodes ------------------------------------------------------------------------------------
@@ -146,11 +174,62 @@ def place_rows(rows: DataFrame, nodes: DataFrame, features: str = "features") ->
     return placed.drop("_values")
 
 
+def _descend(rows: DataFrame, nodes: list, keys: tuple[str, ...], features: str) -> DataFrame:
+    """``keys``, the sum of the shares of a row's leaves in all trees, and the number of trees.
+
+    The nodes go to every task, where a batch of rows moves down all trees level by level.
+    """
+    place = {(n["tree"], n["node"]): i for i, n in enumerate(nodes)}
+    feature = np.array([-1 if n["feature"] is None else n["feature"] for n in nodes])
+    cut = np.array([np.inf if n["cut"] is None else n["cut"] for n in nodes])
+    share = np.array([np.nan if n["share"] is None else n["share"] for n in nodes])
+    below = np.array([
+        [i, i] if n["feature"] is None else [place[n["tree"], 2 * n["node"] + side] for side in (0, 1)]
+        for i, n in enumerate(nodes)
+    ])
+    roots = [i for (_, node), i in sorted(place.items()) if node == 1]
+    levels = max(n["node"] for n in nodes).bit_length() - 1
+    column = np.maximum(feature, 0)
+
+    def score(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = batch.column(len(keys))
+            values = lists.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            every, total = np.arange(batch.num_rows), np.zeros(batch.num_rows)
+            for root in roots:
+                at = np.full(batch.num_rows, root)
+                for _ in range(levels):
+                    # Missing values are not at most the cut and go right.
+                    at = below[at, (~(values[every, column[at]] <= cut[at])).astype(np.intp)]
+                total += share[at]
+            columns = [*batch.columns[: len(keys)], pa.array(total), pa.array(np.full(len(every), len(roots)))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*keys, "share", "count"])
+
+    asked = rows.select(*keys, vector_to_array(features).alias("_values"))
+    added = [T.StructField("share", T.DoubleType()), T.StructField("count", T.LongType())]
+    return asked.mapInArrow(score, T.StructType([*asked.schema.fields[:-1], *added]))
+
+
 def score_rows(rows: DataFrame, nodes: DataFrame, *keys: str, features: str = "features") -> DataFrame:
     """``keys``, ``probability`` of class 1, the mean of the leaves' shares, ``prediction`` and
-    the number of ``trees``. ``keys`` must name a row."""
-    placed = place_rows(rows.select(*keys, features), nodes, features)
+    the number of ``trees``. ``keys`` must name a row.
+
+    A row goes down all trees at once, unless the nodes are too many for a task, or some
+    split by nominal values; then rows move by joins, once for each tree.
+    """
     total = F.aggregate("class_weights", F.lit(0.0), lambda a, x: a + x)
+    share = F.when(F.col("feature").isNull(), F.get("class_weights", F.lit(1)) / total)
+    slim = nodes.select("tree", "node", "feature", "cut", share.alias("share"))
+    if fits_broadcast(slim) and nodes.where("left_values is not null").isEmpty() and not nodes.isEmpty():
+        scored = _descend(rows, slim.collect(), keys, features)
+        if nodes.select("tree").distinct().count() > 1:
+            scored = scored.groupBy(*keys).agg(F.sum("share").alias("share"), F.sum("count").alias("count"))
+        scored = scored.select(*keys, (F.col("share") / F.col("count")).alias("probability"), F.col("count").alias("trees"))
+        # Equal shares go to class 0, as in the learner.
+        return scored.withColumn("prediction", (F.col("probability") > 0.5).cast("double"))
+    placed = place_rows(rows.select(*keys, features), nodes, features)
     leaves = nodes.where("feature is null").select(
         "tree", "node", (F.get("class_weights", F.lit(1)) / total).alias("share")
     )

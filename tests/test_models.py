@@ -383,3 +383,56 @@ def test_neighbour_runs_keep_nothing_in_memory(spark, monkeypatch):
     spark.catalog.clearCache()
     assert learning.run_separate_table(spark, f"{TESTDATA}/sf0.001").count() == 1
     assert kept == [0, False]
+
+
+def test_equal_rows_are_drawn_as_one(spark):
+    """The sums of their draws are stored, and trees are those of single rows."""
+    from flowlens.plans import trees
+    from pyspark.ml.functions import array_to_vector
+
+    rows = spark.range(4000).select(
+        "id",
+        array_to_vector(F.array((F.col("id") % 7).cast("double"), (F.col("id") % 5).cast("double"))).alias("features"),
+        ((F.col("id") % 35) * (F.col("id") % 3) > 30).cast("double").alias("label"),
+    )
+    drawn = trees.draw_rows(rows, ["id"], 3, 100)
+    assert drawn.count() <= 70
+    single = rows.select(*[F.sum(trees.drawn_times(100 + j, F.col("id"))) for j in range(3)]).first()
+    assert drawn.select(*[F.sum(F.get("draws", F.lit(j))) for j in range(3)]).first() == single
+    every = trees.draw_rows(rows, ["id"], 3, 100, merge=False)
+    assert every.count() == 4000
+
+    def nodes(df):
+        return trees.node_table(spark, trees.fit_drawn(df, 3, maxDepth=3))
+
+    def known(table):
+        return sorted((r["tree"], r["node"], r["feature"], r["cut"], tuple(r["class_weights"])) for r in table.collect())
+
+    one = nodes(drawn)
+    assert known(one) == known(nodes(every))
+    counts = trees.node_counts(drawn, one, weight=F.get("draws", F.col("tree"))).where("node = 1").orderBy("tree")
+    assert [r["n"] for r in counts.collect()] == list(single)
+
+
+def test_rows_go_down_all_trees_at_once(blobs):
+    """Without a row for each tree and level; and as by joins."""
+    from flowlens.plans import trees
+
+    nodes = trees.node_table(blobs.sparkSession, trees.fit_bagged(blobs, ["id"], 3, maxDepth=4))
+    holes = blobs.withColumn("features", F.when(F.col("id") % 3 == 0, nans()(F.col("features"))).otherwise(F.col("features")))
+    scored = trees.score_rows(holes, nodes, "id")
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan
+    placed = trees.place_rows(holes, nodes).join(nodes, ["tree", "node"])
+    share = F.get("class_weights", F.lit(1)) / (F.get("class_weights", F.lit(0)) + F.get("class_weights", F.lit(1)))
+    joined = {r["id"]: (r["p"], r["n"]) for r in placed.groupBy("id").agg(F.avg(share).alias("p"), F.count("*").alias("n")).collect()}
+    found = {r["id"]: (r["probability"], r["trees"]) for r in scored.collect()}
+    assert found.keys() == joined.keys()
+    assert all(found[i] == pytest.approx(joined[i]) for i in found)
+
+
+def nans():
+    """Vectors with a missing first value."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    return lambda v: array_to_vector(F.transform(vector_to_array(v), lambda x, i: F.when(i == 0, F.lit(float("nan"))).otherwise(x)))
